@@ -1,0 +1,5 @@
+"""Streaming.
+
+The audited workloads are batch only: there is no stream, watermark or state
+in what this engine reproduces, so nothing here is built.  Lineage (the only
+append-only log) is written as an appended table, see ``sources.lineage``."""
