@@ -41,69 +41,140 @@ def value_histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFr
             .groupBy(*by, "v").agg(F.count(F.lit(1)).alias("cnt")))
 
 
-def ranked_histogram(hist: DataFrame, by: Sequence[str] = (), buckets: int | None = None) -> DataFrame:
-    """Adds ``r0`` (rank of the first copy, 0-based) and ``n`` (group size)."""
+def bucketed_histogram(hist: DataFrame, by: Sequence[str] = (), buckets: int | None = None):
+    """Returns (hist with ``_bucket``, bucket table ``(by, _bucket, _off, _btot, n)``).
+
+    Buckets are ranges of distinct values cut by ``percentile_approx`` over the
+    histogram, so they hold about the same number of distinct values.  The
+    bucket table has groups x buckets rows."""
     by = list(by)
     nb = buckets or _buckets(hist)
     probs = [i / nb for i in range(1, nb)]
     if probs:
-        bounds = hist.groupBy(*by).agg(F.percentile_approx("v", probs, 10000).alias("_bounds"))
+        bounds = hist.groupBy(*by).agg(F.percentile_approx("v", probs, 10000).alias("_bounds")) if by \
+            else hist.agg(F.percentile_approx("v", probs, 10000).alias("_bounds"))
         with_b = hist.join(F.broadcast(bounds), by, "inner") if by else hist.crossJoin(F.broadcast(bounds))
         with_b = with_b.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: F.col("v") > b))).drop("_bounds")
     else:
         with_b = hist.withColumn("_bucket", F.lit(0))
-    # bucket totals: groups x buckets rows, small by construction
     tot = with_b.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_btot"))
     w_off = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     w_all = Window.partitionBy(*by)
     tot = (tot.withColumn("_off", F.coalesce(F.sum("_btot").over(w_off), F.lit(0)))
-              .withColumn("n", F.sum("_btot").over(w_all)).drop("_btot"))
-    joined = with_b.join(F.broadcast(tot), by + ["_bucket"], "inner")
+              .withColumn("n", F.sum("_btot").over(w_all)))
+    return with_b, tot
+
+
+def rank_select(df: DataFrame, value: str, targets: DataFrame, by: Sequence[str] = (),
+                buckets: int | None = None) -> DataFrame:
+    """Exact order statistics: for each row of ``targets`` (by..., rank, any
+    payload columns) the value whose 0-based rank in its group is ``rank``.
+
+    Only the buckets that contain a wanted rank are ranked by a window, so the
+    sort work is a few buckets, not the table."""
+    by = list(by)
+    hist = value_histogram(df, value, by)
+    with_b, tot = bucketed_histogram(hist, by, buckets)
+    # which bucket holds each wanted rank (small x small)
+    t = targets.alias("t")
+    b = tot.alias("b")
+    cond = [(F.col("t.rank") >= F.col("b._off")) & (F.col("t.rank") < F.col("b._off") + F.col("b._btot"))]
+    cond += [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
+    tb = t.join(F.broadcast(b), cond, "inner").select("t.*", "b._bucket", "b._off")
+    keep = tb.select(*by, "_bucket", "_off").distinct()
+    sub = with_b.join(F.broadcast(keep), by + ["_bucket"], "inner")
     w_in = Window.partitionBy(*by, "_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    return (joined.withColumn("r0", F.col("_off") + F.coalesce(F.sum("cnt").over(w_in), F.lit(0)))
-                  .drop("_off", "_bucket"))
+    ranked = sub.withColumn("r0", F.col("_off") + F.coalesce(F.sum("cnt").over(w_in), F.lit(0)))
+    h = ranked.alias("h")
+    tt = tb.drop("_off").alias("tt")
+    cond2 = [F.col("tt._bucket") == F.col("h._bucket"),
+             (F.col("tt.rank") >= F.col("h.r0")) & (F.col("tt.rank") < F.col("h.r0") + F.col("h.cnt"))]
+    cond2 += [F.col(f"tt.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by]
+    return h.join(F.broadcast(tt), cond2, "inner").select("tt.*", F.col("h.v").alias("value")).drop("_bucket")
+
+
+def group_sizes(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., n) non-null, non-NaN values per group (one partial aggregate)."""
+    v = F.col(value).cast("double")
+    ok = df.where(v.isNotNull() & ~F.isnan(v))
+    return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else ok.agg(F.count(F.lit(1)).alias("n"))
+
+
+# Largest number of distinct values per group for which the single-aggregate
+# ``percentile`` path is used; its buffer holds one entry per distinct value.
+AGGREGATE_PATH_MAX_DISTINCT = 1_000_000
+
+
+def _aggregate_path_ok(df: DataFrame, value: str, by: Sequence[str]) -> bool:
+    """Size check: HyperLogLog distinct count per group (one cheap pass, a
+    groups-sized result).  HLL++ has about 1% relative error, so the bound is
+    applied with a 5% margin."""
+    v = F.col(value).cast("double")
+    ok = df.where(v.isNotNull() & ~F.isnan(v))
+    agg = F.approx_count_distinct(v, 0.01).alias("d")
+    d = ok.groupBy(*by).agg(agg) if by else ok.agg(agg)
+    mx = d.agg(F.max("d")).collect()[0][0]
+    return mx is None or mx * 1.05 <= AGGREGATE_PATH_MAX_DISTINCT
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int | None = None) -> DataFrame:
+                    buckets: int | None = None, method: str = "auto") -> DataFrame:
     """One row per (by..., q_idx) with ``q`` (the probability) and ``q_value``.
 
-    Groups without a non-null value produce no rows."""
+    ``method='aggregate'`` uses the exact ``percentile`` aggregate (bounded by the
+    distinct values of a group); ``'distributed'`` uses the histogram/rank plan
+    that never holds a group in one task; ``'auto'`` picks the aggregate only
+    after checking that every group is small enough.  Groups without a value
+    produce no rows."""
+    by = list(by)
+    if method == "auto":
+        method = "aggregate" if _aggregate_path_ok(df, value, by) else "distributed"
+    if method == "aggregate":
+        return _quantiles_aggregate(df, value, probs, by)
+    return _quantiles_distributed(df, value, probs, by, buckets)
+
+
+def _quantiles_aggregate(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+    v = F.col(value).cast("double")
+    ok = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
+    agg = F.percentile("_v", [float(p) for p in probs]).alias("_q")
+    q = ok.groupBy(*by).agg(agg) if by else ok.agg(agg).where(F.col("_q").isNotNull())
+    pr = F.array(*[F.lit(float(p)) for p in probs])
+    return q.select(*by, F.posexplode(F.arrays_zip(pr.alias("q"), F.col("_q").alias("q_value"))).alias("q_idx", "z")) \
+        .select(*by, "q_idx", "z.q", "z.q_value")
+
+
+def _quantiles_distributed(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
+                           buckets: int | None = None) -> DataFrame:
     by = list(by)
     spark = df.sparkSession
-    hist = value_histogram(df, value, by)
-    ranked = ranked_histogram(hist, by, buckets)
-    sizes = ranked.groupBy(*by).agg(F.first("n").alias("n")) if by else ranked.agg(F.first("n").alias("n"))
+    sizes = group_sizes(df, value, by).where(F.col("n") > 0)
     pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "q_idx int, q double")
-    # wanted ranks: groups x probabilities, each with the two neighbouring ranks
     targets = (sizes.crossJoin(F.broadcast(pdf))
                .withColumn("pos", F.col("q") * (F.col("n") - 1))
                .withColumn("lo", F.floor("pos").cast("long"))
-               .withColumn("hi", F.ceil("pos").cast("long"))
-               .withColumn("frac", F.col("pos") - F.col("lo")))
+               .withColumn("frac", F.col("pos") - F.col("lo"))
+               .withColumn("hi", F.ceil("pos").cast("long")))
     t_long = targets.select(*by, "q_idx", "q", "frac", F.explode(F.array(
         F.struct(F.lit(0).alias("side"), F.col("lo").alias("rank")),
         F.struct(F.lit(1).alias("side"), F.col("hi").alias("rank")))).alias("t")).select(
         *by, "q_idx", "q", "frac", "t.side", "t.rank")
-    cond = [(F.col("t.rank") >= F.col("h.r0")) & (F.col("t.rank") < F.col("h.r0") + F.col("h.cnt"))]
-    cond += [F.col(f"t.{b}").eqNullSafe(F.col(f"h.{b}")) for b in by]
-    hit = (ranked.alias("h").join(F.broadcast(t_long.alias("t")), cond, "inner")
-           .select(*[F.col(f"t.{b}").alias(b) for b in by], "t.q_idx", "t.q", "t.frac", "t.side", "h.v"))
+    hit = rank_select(df, value, t_long, by, buckets)
     return (hit.groupBy(*by, "q_idx", "q", "frac")
-               .agg(F.max(F.when(F.col("side") == 0, F.col("v"))).alias("vlo"),
-                    F.max(F.when(F.col("side") == 1, F.col("v"))).alias("vhi"))
+               .agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("vlo"),
+                    F.max(F.when(F.col("side") == 1, F.col("value"))).alias("vhi"))
                .select(*by, "q_idx", "q",
                        (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("q_value")))
 
 
 def quantile_array(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                   buckets: int | None = None) -> DataFrame:
+                   buckets: int | None = None, method: str = "auto") -> DataFrame:
     """(by..., edges ARRAY<DOUBLE>) in probability order."""
-    q = exact_quantiles(df, value, probs, by, buckets)
+    q = exact_quantiles(df, value, probs, by, buckets, method)
     agg = F.transform(F.array_sort(F.collect_list(F.struct("q_idx", "q_value"))), lambda s: s["q_value"])
     return q.groupBy(*by).agg(agg.alias("edges")) if by else q.agg(agg.alias("edges"))
 
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    q = exact_quantiles(df, value, [0.5], by)
+def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "auto") -> DataFrame:
+    q = exact_quantiles(df, value, [0.5], by, method=method)
     return q.select(*by, F.col("q_value").alias("median"))

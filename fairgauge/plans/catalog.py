@@ -1,3 +1,4 @@
 """Imports every query module so that all queries are registered."""
 from fairgauge.plans import q_fairness  # noqa: F401
 from fairgauge.plans import q_quality  # noqa: F401
+from fairgauge.plans import q_drift  # noqa: F401
