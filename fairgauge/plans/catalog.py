@@ -2,3 +2,4 @@
 from fairgauge.plans import q_fairness  # noqa: F401
 from fairgauge.plans import q_quality  # noqa: F401
 from fairgauge.plans import q_drift  # noqa: F401
+from fairgauge.plans import q_policy  # noqa: F401
