@@ -373,3 +373,12 @@ def latest_run_conversations(spark, sf):
           "SELECT conv_id AS run_id, turn AS seq, role AS step FROM conversations ORDER BY conv_id DESC, turn DESC LIMIT 8")
 def last_entries_conversations(spark, sf):
     return lg.last_entries(_conv_log(spark, sf)).select("run_id", "seq", "step")
+
+
+@register("lead_model_unlisted", _TWO_MODELS_SQL + _BIN_METRICS_SQL
+          + "SELECT 'logistic_regression' AS model, false AS is_regression FROM (SELECT 1)")
+def lead_model_unlisted(spark, sf):
+    """A model outside the fixed order (gradient_boosting) never wins over a listed one."""
+    ml = me.long_metrics(me.binary_metrics(_two_models(spark, sf)))
+    ml = ml.withColumn("model", F.when(F.col("model") == "random_forest", "gradient_boosting").otherwise(F.col("model")))
+    return po.lead_model(ml)
