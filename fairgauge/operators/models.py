@@ -78,6 +78,7 @@ class RidgeFit:
     coefficients: np.ndarray
     intercept: float
     loo_errors: dict
+    per_alpha: dict = None      # alpha -> (coefficients, intercept)
 
 
 def _gram_partials(features: str, label: str, p: int):
@@ -151,7 +152,8 @@ def ridge_cv(train: DataFrame, features: str = "features", label: str = "label",
     best = int(np.argmin(err))
     a = alphas[best]
     return RidgeFit(alpha=float(a), coefficients=betas[a], intercept=float(ints[best]),
-                    loo_errors={float(al): float(e) for al, e in zip(alphas, err)})
+                    loo_errors={float(al): float(e) for al, e in zip(alphas, err)},
+                    per_alpha={float(al): (betas[al], float(ints[j])) for j, al in enumerate(alphas)})
 
 
 def ridge_model(fit: RidgeFit, features: str = "features", prediction: str = "prediction"):

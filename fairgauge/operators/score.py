@@ -17,3 +17,9 @@ def name_of_class(df: DataFrame, idx: str, names: DataFrame, out: str = "class_n
     names table has one row per class; AQE broadcasts it at its measured size."""
     j = df.join(names.withColumnRenamed("class_name", "_cn"), F.col(idx) == F.col("code"), "left")
     return j.withColumn(out, F.coalesce(F.col("_cn"), F.col(idx).cast("string"))).drop("code", "_cn")
+
+
+def choose_model(name: str) -> str:
+    """A name containing 'logistic' or 'linear' picks the linear model, anything else the ensemble."""
+    n = name.lower()
+    return "linear" if ("logistic" in n or "linear" in n) else "ensemble"
