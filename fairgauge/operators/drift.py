@@ -72,16 +72,23 @@ def side_counts(base_long: DataFrame, comp_long: DataFrame, cls: str) -> DataFra
     return u.groupBy("feature", "cls").agg(F.count_if("_b").alias("nb"), F.count_if(~F.col("_b")).alias("nc"))
 
 
-def numeric_psi(base_long: DataFrame, comp_long: DataFrame, bins: int = 10) -> DataFrame:
-    """(feature, psi) on baseline decile bins; constant baseline -> 0."""
-    edges = decile_edges(base_long, bins)
-    def binned(df):
-        return (df.join(F.broadcast(edges), "feature", "inner").where(F.col("inner").isNotNull())
-                .select("feature", bin_index().alias("bin")))
-    counts = side_counts(binned(base_long), binned(comp_long), "bin")
+def numeric_psi(base_long: DataFrame, comp_long: DataFrame, bins: int = 10,
+                features: Sequence[str] | None = None) -> DataFrame:
+    """(feature, psi) on baseline decile bins; constant or empty baseline
+    and empty comparison give 0.  Both sides are tagged and unioned, so the
+    edge table is joined once; ``features`` (when known) lists the output rows
+    without scanning for them."""
+    edges = decile_edges(base_long, bins).where(F.col("inner").isNotNull()).select("feature", "inner")
+    tagged = base_long.select("feature", "v", F.lit(True).alias("_b")).unionByName(
+        comp_long.select("feature", "v", F.lit(False).alias("_b")))
+    binned = tagged.join(F.broadcast(edges), "feature", "inner").select("feature", bin_index().alias("cls"), "_b")
+    counts = binned.groupBy("feature", "cls").agg(F.count_if("_b").alias("nb"), F.count_if(~F.col("_b")).alias("nc"))
     psi = _psi_from_counts(counts)
-    feats = base_long.select("feature").union(comp_long.select("feature")).distinct()
-    return feats.join(psi, "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
+    if features is not None:
+        feats = base_long.sparkSession.createDataFrame([(f,) for f in features], "feature string")
+    else:
+        feats = base_long.select("feature").union(comp_long.select("feature")).distinct()
+    return feats.join(F.broadcast(psi), "feature", "left").select("feature", F.coalesce("psi", F.lit(0.0)).alias("psi"))
 
 
 def categorical_psi(base_long: DataFrame, comp_long: DataFrame) -> DataFrame:
@@ -99,7 +106,7 @@ def drift_report(baseline: DataFrame, current: DataFrame, features: Sequence[str
     cat = [c for c in feats if c not in num]
     parts = []
     if num:
-        parts.append(numeric_psi(long_numeric(baseline, num), long_numeric(current, num), bins)
+        parts.append(numeric_psi(long_numeric(baseline, num), long_numeric(current, num), bins, num)
                      .withColumn("kind", F.lit("numeric")))
     if cat:
         p = categorical_psi(long_categorical(baseline, cat), long_categorical(current, cat))

@@ -70,7 +70,7 @@ def _lines_sides(spark, sf):
                                                   _stack_sql("lineitem", _LINE_FEATS, f"l_shipdate >= {_CUT}")))
 def psi_numeric_lineitem(spark, sf):
     b, c = _lines_sides(spark, sf)
-    return rounded(dr.numeric_psi(dr.long_numeric(b, _LINE_FEATS), dr.long_numeric(c, _LINE_FEATS)))
+    return rounded(dr.numeric_psi(dr.long_numeric(b, _LINE_FEATS), dr.long_numeric(c, _LINE_FEATS), features=_LINE_FEATS))
 
 
 _EV_CUT = "TIMESTAMP '2024-01-15'"
