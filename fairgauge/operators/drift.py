@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairgauge.functions import floor_at, psi_status
@@ -52,17 +52,24 @@ def bin_index(v: str = "v", inner: str = "inner") -> F.Column:
     return F.size(F.filter(F.col(inner), lambda x: F.col(v) > x))
 
 
+def _feature_totals(counts: DataFrame, *cols: str) -> DataFrame:
+    """Per-feature totals as an aggregate (one row per feature, so the join back
+    is a broadcast bounded by the number of columns).  A window partitioned by
+    feature would put every class of a feature in one task."""
+    return counts.groupBy("feature").agg(*[F.sum(c).alias(f"_t{c}") for c in cols])
+
+
 def _psi_from_counts(counts: DataFrame) -> DataFrame:
     """counts: (feature, cls, nb, nc) -> (feature, psi).  Shares are per side and
     floored at epsilon without renormalising; a feature with an empty side
     gets 0."""
-    w = Window.partitionBy("feature")
-    s = (counts.withColumn("_tb", F.sum("nb").over(w)).withColumn("_tc", F.sum("nc").over(w))
-         .withColumn("pb", floor_at(F.col("nb") / F.col("_tb"), PSI_EPSILON))
-         .withColumn("pc", floor_at(F.col("nc") / F.col("_tc"), PSI_EPSILON)))
+    tot = _feature_totals(counts, "nb", "nc")
+    s = (counts.join(F.broadcast(tot), "feature")
+         .withColumn("pb", floor_at(F.col("nb") / F.col("_tnb"), PSI_EPSILON))
+         .withColumn("pc", floor_at(F.col("nc") / F.col("_tnc"), PSI_EPSILON)))
     term = (F.col("pc") - F.col("pb")) * F.log(F.col("pc") / F.col("pb"))
     return s.groupBy("feature").agg(
-        F.when((F.max("_tb") > 0) & (F.max("_tc") > 0), F.sum(term)).otherwise(F.lit(0.0)).alias("psi"))
+        F.when((F.max("_tnb") > 0) & (F.max("_tnc") > 0), F.sum(term)).otherwise(F.lit(0.0)).alias("psi"))
 
 
 def side_counts(base_long: DataFrame, comp_long: DataFrame, cls: str) -> DataFrame:
@@ -133,15 +140,17 @@ def worst_drift(report: DataFrame) -> DataFrame:
 def normalized_frequency(long_df: DataFrame, cls: str = "cls") -> DataFrame:
     """(feature, cls, cnt, share) with share = cnt / total of the feature."""
     c = long_df.groupBy("feature", cls).agg(F.count(F.lit(1)).alias("cnt"))
-    return c.withColumn("share", F.col("cnt") / F.sum("cnt").over(Window.partitionBy("feature")))
+    tot = _feature_totals(c, "cnt")
+    return c.join(F.broadcast(tot), "feature").select("feature", cls, "cnt", (F.col("cnt") / F.col("_tcnt")).alias("share"))
 
 
 def aligned_shares(base_long: DataFrame, comp_long: DataFrame) -> DataFrame:
     """(feature, cls, base_share, comp_share) over the union of classes, missing = 0."""
     c = side_counts(base_long, comp_long, "cls")
-    w = Window.partitionBy("feature")
-    return c.select("feature", "cls", F.coalesce(F.col("nb") / F.sum("nb").over(w), F.lit(0.0)).alias("base_share"),
-                    F.coalesce(F.col("nc") / F.sum("nc").over(w), F.lit(0.0)).alias("comp_share"))
+    tot = _feature_totals(c, "nb", "nc")
+    return c.join(F.broadcast(tot), "feature").select(
+        "feature", "cls", F.coalesce(F.col("nb") / F.col("_tnb"), F.lit(0.0)).alias("base_share"),
+        F.coalesce(F.col("nc") / F.col("_tnc"), F.lit(0.0)).alias("comp_share"))
 
 
 # Fixed texts of the drift table.

@@ -172,10 +172,13 @@ def bin_numeric_group(scored: DataFrame, value: str, by: Sequence[str] = (),
 
 
 def selection_rate_gap(scored: DataFrame, threshold: float = 0.5, by: Sequence[str] = ()) -> DataFrame:
-    """Mean of (score >= threshold) per group, then the max - min gap."""
+    """Mean of (score >= threshold) per group, then the max - min gap (an
+    aggregate over the group table joined back as one row per ``by`` key)."""
     by = list(by)
     p = (F.col("score") >= F.lit(float(threshold))).cast("double")
     g = (scored.where(F.col("grp").isNotNull()).groupBy(*by, F.col("grp").cast("string").alias("grp"))
          .agg(F.avg(p).alias("rate")))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(1))
-    return g.select(*by, "grp", "rate", (F.max("rate").over(w) - F.min("rate").over(w)).alias("gap"))
+    aggs = [(F.max("rate") - F.min("rate")).alias("gap")]
+    gap = g.groupBy(*by).agg(*aggs) if by else g.agg(*aggs)
+    j = g.join(F.broadcast(gap), by, "inner") if by else g.crossJoin(F.broadcast(gap))
+    return j.select(*by, "grp", "rate", "gap")

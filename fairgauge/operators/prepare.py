@@ -50,7 +50,18 @@ def _lit_sql(v) -> str:
     return repr(float(v))
 
 
-def fit_stats(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> PrepStats:
+# Largest number of levels one-hot encoded for a column when no ``max_levels``
+# is given; the levels are the model's vocabulary and travel to the driver.
+MAX_ONE_HOT_LEVELS = 100_000
+
+
+def fit_stats(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+              max_levels: int | None = None) -> PrepStats:
+    """``max_levels`` keeps the most frequent levels of each categorical column
+    (ties by value); other values encode like an unseen level (all zeros).
+    Without it, a column with more than ``MAX_ONE_HOT_LEVELS`` levels is an error
+    (list it as an ID column or set ``max_levels``) -- nothing unbounded is
+    gathered to the driver."""
     from fairgauge.operators.drift import long_numeric
     from fairgauge.operators.quantiles import exact_quantiles
     numeric, categorical = list(numeric), list(categorical)
@@ -68,12 +79,23 @@ def fit_stats(train: DataFrame, numeric: Sequence[str], categorical: Sequence[st
         stds = {c: (row[f"s{i}"] or 0.0) for i, c in enumerate(numeric)}
     if categorical:
         vals = category_values(train, categorical)
-        # mode = most frequent, smallest on ties; levels in sorted order
+        # mode = most frequent, smallest on ties (an aggregate; partial per task)
         m = vals.groupBy("column_name").agg(
             F.min(F.struct((-F.col("cnt")).alias("k"), F.col("value").alias("v"))).alias("_m"),
-            F.array_sort(F.collect_list("value")).alias("levels")).collect()
+            F.count(F.lit(1)).alias("n_levels")).collect()
         modes = {r["column_name"]: r["_m"]["v"] for r in m}
-        levels = {r["column_name"]: list(r["levels"]) for r in m}
+        too_many = [r["column_name"] for r in m if r["n_levels"] > (max_levels or MAX_ONE_HOT_LEVELS)]
+        if too_many and max_levels is None:
+            raise ValueError(f"categorical columns with more than {MAX_ONE_HOT_LEVELS} levels: {too_many}; "
+                             "list them as ID columns or pass max_levels")
+        kept = vals
+        if max_levels is not None:
+            from pyspark.sql import Window
+            w = Window.partitionBy("column_name").orderBy(F.desc("cnt"), "value")
+            kept = vals.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= max_levels)
+        # levels in sorted order, at most the bound above per column
+        lv = kept.groupBy("column_name").agg(F.array_sort(F.collect_list("value")).alias("levels")).collect()
+        levels = {r["column_name"]: list(r["levels"]) for r in lv}
         for c in categorical:
             levels.setdefault(c, [])
     return PrepStats(numeric, categorical, medians, means, stds, modes, levels)
@@ -118,8 +140,9 @@ def _empty_like(stats: PrepStats):
     return spark.createDataFrame([], ", ".join(cols) if cols else "x int")
 
 
-def fit_prepare(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> tuple[PipelineModel, PrepStats]:
-    stats = fit_stats(train, numeric, categorical)
+def fit_prepare(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
+                max_levels: int | None = None) -> tuple[PipelineModel, PrepStats]:
+    stats = fit_stats(train, numeric, categorical, max_levels)
     return prep_pipeline(stats), stats
 
 

@@ -327,18 +327,34 @@ def _lines_table(spark, sf):
                                                     "l_returnflag", "l_linestatus")
 
 
-def _audit_lines(spark, sf):
+def _audit_lines(spark, sf, family="forest"):
     from fairgauge.plans.audit import AuditConfig, audit
-    return audit(_lines_table(spark, sf), AuditConfig(ensemble_iters=20))
+    return audit(_lines_table(spark, sf), AuditConfig(ensemble_iters=20, ensemble_family=family))
 
 
 @register("audit_gates_lines")
 def audit_gates_lines(spark, sf):
     """Full audit of lineitem (target l_linestatus, demographic found by the
-    rules) -> the gate table (rows-only: models are fitted)."""
+    rules, logistic + random forest) -> the gate table (rows-only: models are fitted)."""
     return _audit_lines(spark, sf).gates.select("seq", "rule", "pillar", "metric_value", "threshold", "status")
 
 
+@register("audit_boosted_lines")
+def audit_boosted_lines(spark, sf):
+    """I18 with the boosted ensemble (20 rounds) -> the metrics of both models (rows-only)."""
+    return _audit_lines(spark, sf, "boosting").metrics
+
+
+@register("audit_certificate_lines")
+def audit_certificate_lines(spark, sf):
+    """K6 nested: the audit certificate as one row (summary, gates, metrics, fairness) and as JSON."""
+    from fairgauge.operators import report as rp
+    r = _audit_lines(spark, sf)
+    gaps = r.gaps.where(F.col("model") == "logistic_regression")
+    c = rp.certificate(r.verdict, r.gates, r.metrics, gaps, "lineitem", r.roles.target, r.roles.demographic, r.roles.task)
+    return c.select("*", F.to_json(F.struct(*c.columns)).alias("json"))
+
+
 @register("audit_regression_orders")
 def audit_regression_orders(spark, sf):
     """I18 regression path: orders -> o_totalprice with ridge (LOO alpha) and boosted trees."""

@@ -40,16 +40,30 @@ def get_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str =
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names shared storage and is used unchanged.
-    Only when it is unset (local tests) do we set a fresh scratch folder."""
+    On a cluster that setting names shared storage and is used unchanged; if it
+    is missing there, this is an error (a machine-local folder would not
+    survive the loss of an executor).  Only a local-mode session (tests, the
+    bench) gets a fresh scratch folder when the setting is unset."""
     current = spark.conf.get("spark.checkpoint.dir", None)
     if not current:
+        jdir = spark.sparkContext._jsc.sc().getCheckpointDir()
+        current = jdir.get() if jdir.isDefined() else None
+    if not current:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a shared folder on a cluster")
         current = tempfile.mkdtemp(prefix="fairgauge-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     spark.sparkContext.setCheckpointDir(current)
     return current
 
 
+def cut_lineage(df):
+    """Reliable checkpoint into the shared checkpoint folder: the plan above
+    is cut and the rows survive executor loss."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A table path under the shared checkpoint folder (for lineage cuts and
     intermediate tables that must survive executor loss)."""
