@@ -327,7 +327,7 @@ def _lines_table(spark, sf):
                                                     "l_returnflag", "l_linestatus")
 
 
-def _audit_lines(spark, sf, family="forest"):
+def _audit_lines(spark, sf, family="boosting"):
     from fairgauge.plans.audit import AuditConfig, audit
     return audit(_lines_table(spark, sf), AuditConfig(ensemble_iters=20, ensemble_family=family))
 
@@ -335,14 +335,14 @@ def _audit_lines(spark, sf, family="forest"):
 @register("audit_gates_lines")
 def audit_gates_lines(spark, sf):
     """Full audit of lineitem (target l_linestatus, demographic found by the
-    rules, logistic + random forest) -> the gate table (rows-only: models are fitted)."""
+    rules, logistic + boosted trees) -> the gate table (rows-only: models are fitted)."""
     return _audit_lines(spark, sf).gates.select("seq", "rule", "pillar", "metric_value", "threshold", "status")
 
 
-@register("audit_boosted_lines")
-def audit_boosted_lines(spark, sf):
-    """I18 with the boosted ensemble (20 rounds) -> the metrics of both models (rows-only)."""
-    return _audit_lines(spark, sf, "boosting").metrics
+@register("audit_metrics_lines")
+def audit_metrics_lines(spark, sf):
+    """I18 -> the metrics of both models, long form (rows-only)."""
+    return _audit_lines(spark, sf).metrics
 
 
 @register("audit_certificate_lines")
