@@ -156,12 +156,10 @@ def ridge_cv(train: DataFrame, features: str = "features", label: str = "label",
                     per_alpha={float(al): (betas[al], float(ints[j])) for j, al in enumerate(alphas)})
 
 
-def ridge_model(fit: RidgeFit, features: str = "features", prediction: str = "prediction"):
+def ridge_model(fit: RidgeFit, spark, features: str = "features", prediction: str = "prediction"):
     """A Spark LinearRegressionModel carrying the ridge solution (so scoring,
     saving and loading are the library's)."""
     from pyspark.ml.linalg import Vectors
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
     jvm = spark.sparkContext._jvm
     coef = Vectors.dense(fit.coefficients.tolist())
     from pyspark.ml.common import _py2java

@@ -101,7 +101,7 @@ def fit_stats(train: DataFrame, numeric: Sequence[str], categorical: Sequence[st
     return PrepStats(numeric, categorical, medians, means, stds, modes, levels)
 
 
-def prep_pipeline(stats: PrepStats, features_col: str = "features") -> PipelineModel:
+def prep_pipeline(spark, stats: PrepStats, features_col: str = "features") -> PipelineModel:
     """Build the fitted preparation pipeline from statistics."""
     sel = ["*"]
     for c in stats.numeric:
@@ -130,12 +130,10 @@ def prep_pipeline(stats: PrepStats, features_col: str = "features") -> PipelineM
                   if drop else SQLTransformer(statement="SELECT * FROM __THIS__"))
     # every stage is already fitted (statistics are literals), so fitting the
     # pipeline only wires the stages together
-    return Pipeline(stages=stages).fit(_empty_like(stats))
+    return Pipeline(stages=stages).fit(_empty_like(spark, stats))
 
 
-def _empty_like(stats: PrepStats):
-    from pyspark.sql import SparkSession
-    spark = SparkSession.getActiveSession()
+def _empty_like(spark, stats: PrepStats):
     cols = [f"`{c}` double" for c in stats.numeric] + [f"`{c}` string" for c in stats.categorical]
     return spark.createDataFrame([], ", ".join(cols) if cols else "x int")
 
@@ -143,7 +141,7 @@ def _empty_like(stats: PrepStats):
 def fit_prepare(train: DataFrame, numeric: Sequence[str], categorical: Sequence[str],
                 max_levels: int | None = None) -> tuple[PipelineModel, PrepStats]:
     stats = fit_stats(train, numeric, categorical, max_levels)
-    return prep_pipeline(stats), stats
+    return prep_pipeline(train.sparkSession, stats), stats
 
 
 def prepared_columns(df: DataFrame, stats: PrepStats) -> DataFrame:
