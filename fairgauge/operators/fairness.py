@@ -60,24 +60,21 @@ def binary_gaps(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def multiclass_group_audit(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """N, accuracy and macro-F1 per group.  The classes of a group are
     those seen as actual or predicted in it.  Each row is emitted twice (as
-    actual and as predicted class), then one groupBy(grp, class) counts tp, n_actual,
-    n_pred; F1 = 2tp / (n_actual + n_pred)."""
+    actual and as predicted class) and one groupBy(grp, class) counts tp,
+    n_actual, n_pred; F1 = 2tp / (n_actual + n_pred).  Group size and accuracy
+    come from the same counts (n = sum n_actual, hits = sum tp): one scan."""
     by = list(by)
     base = scored.where(F.col("grp").isNotNull()).select(
-        *by, F.col("grp").cast("string").alias("grp"), "actual", "prediction")
-    per_group = base.groupBy(*by, "grp").agg(
-        F.count(F.lit(1)).alias("n"),
-        F.avg((F.col("actual") == F.col("prediction")).cast("double")).alias("accuracy"))
-    two = base.select(*by, "grp", (F.col("actual") == F.col("prediction")).alias("hit"),
-                      F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("actual").alias("cls")),
-                                        F.struct(F.lit(1).alias("side"), F.col("prediction").alias("cls"))))
-                      .alias("e")).select(*by, "grp", "hit", "e.side", "e.cls")
-    per_class = two.groupBy(*by, "grp", "cls").agg(
+        *by, F.col("grp").cast("string").alias("grp"), (F.col("actual") == F.col("prediction")).alias("hit"),
+        F.explode(F.array(F.struct(F.lit(0).alias("side"), F.col("actual").alias("cls")),
+                          F.struct(F.lit(1).alias("side"), F.col("prediction").alias("cls")))).alias("e"))
+    per_class = base.select(*by, "grp", "hit", "e.side", "e.cls").groupBy(*by, "grp", "cls").agg(
         F.count_if(F.col("side") == 0).alias("n_actual"), F.count_if(F.col("side") == 1).alias("n_pred"),
         F.count_if((F.col("side") == 0) & F.col("hit")).alias("tp"))
-    f1 = per_class.groupBy(*by, "grp").agg(
+    g = per_class.groupBy(*by, "grp").agg(
+        F.sum("n_actual").alias("n"), F.sum("tp").alias("_hits"),
         F.avg(safe_div(2 * F.col("tp"), F.col("n_actual") + F.col("n_pred"))).alias("macro_f1"))
-    return per_group.join(f1, by + ["grp"], "inner").select(*by, "grp", "n", "accuracy", "macro_f1")
+    return g.select(*by, "grp", "n", (F.col("_hits") / F.col("n")).alias("accuracy"), "macro_f1")
 
 
 def prediction_distribution(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:

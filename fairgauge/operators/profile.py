@@ -56,18 +56,21 @@ def category_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(column, mode, n_categories, missing_pct); mode 'Missing' when a
-    column has no value."""
-    vals = category_values(df, columns)
-    modes = vals.groupBy("column_name").agg(
-        F.min(F.struct((-F.col("cnt")).alias("k"), F.col("value").alias("v"))).alias("_m"),
-        F.count(F.lit(1)).alias("n_categories"))
-    aggs = [F.avg(is_missing(df, c).cast("double")).alias(f"e{i}") for i, c in enumerate(columns)]
-    miss = _stack(df.agg(*aggs), len(columns), [f"{i}, {_lit(c)}, e{i}" for i, c in enumerate(columns)],
-                  "pos, column_name, missing_pct")
-    return (miss.join(modes, "column_name", "left")
+    """(pos, column_name, mode, n_categories, missing_pct); mode 'Missing'
+    when a column has no value.  One scan: values are grouped per column
+    including the null value, and everything else is an aggregate of that."""
+    long = _long_values(df, columns)
+    vals = long.groupBy("column_name", "value").agg(F.count(F.lit(1)).alias("cnt"))
+    present = F.col("value").isNotNull()
+    prof = vals.groupBy("column_name").agg(
+        F.min(F.when(present, F.struct((-F.col("cnt")).alias("k"), F.col("value").alias("v")))).alias("_m"),
+        F.count_if(present).alias("n_categories"),
+        F.sum(F.when(~present, F.col("cnt")).otherwise(0)).alias("_miss"), F.sum("cnt").alias("_n"))
+    pos = df.sparkSession.createDataFrame([(i, c) for i, c in enumerate(columns)], "pos int, column_name string")
+    return (pos.join(prof, "column_name", "left")
             .select("pos", "column_name", F.coalesce(F.col("_m.v"), F.lit("Missing")).alias("mode"),
-                    F.coalesce("n_categories", F.lit(0)).cast("long").alias("n_categories"), "missing_pct"))
+                    F.coalesce("n_categories", F.lit(0)).cast("long").alias("n_categories"),
+                    (F.col("_miss") / F.col("_n")).alias("missing_pct")))
 
 
 def role_range_table(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
