@@ -49,11 +49,43 @@ def _slots(sources: Sequence[str]):
 
 
 def row_contributions(df: DataFrame, coefficients: Sequence[float], sources: Sequence[str],
-                      numeric: Sequence[str], features: str = "features", out: str = "factors") -> DataFrame:
+                      numeric: Sequence[str], features: str = "features", out: str = "factors",
+                      stats=None) -> DataFrame:
     """Per row an array of (name, label, contribution) -- coef x prepared
     value for each numeric column, and for each categorical column the
-    contribution of its active level (columns with no active level, i.e. an
-    unseen value, are left out)."""
+    contribution of its active level (a column whose value is an unseen level
+    is left out).
+
+    With the fitted preparation ``stats`` the contributions are computed from the
+    source columns by plain arithmetic and a literal level -> coefficient map
+    (whole-stage codegen, no vector conversion); without them, from the
+    prepared vector."""
+    if stats is None:
+        return _row_contributions_vector(df, coefficients, sources, numeric, features, out)
+    from fairgauge.operators.quality import _q
+    items, pos = [], 0
+    for c in stats.numeric:
+        med, mu, sd = stats.medians.get(c), stats.means.get(c), stats.stds.get(c) or 0.0
+        x = (F.coalesce(F.col(_q(c)).cast("double"), F.lit(med)) - F.lit(mu)) / F.lit(sd if sd > 0 else 1.0)
+        contrib = x * F.lit(float(coefficients[pos]))
+        pos += 1
+        label = F.concat(humanize(F.lit(c)), F.lit(" ("), F.coalesce(F.col(_q(c)).cast("string"), F.lit("Missing")),
+                         F.lit(")"))
+        items.append(F.struct(F.lit(c).alias("name"), label.alias("label"), contrib.alias("contribution")))
+    for c in stats.categorical:
+        lv = stats.levels[c]
+        m = F.create_map(*[x for i, level in enumerate(lv) for x in (F.lit(level), F.lit(float(coefficients[pos + i])))])
+        pos += len(lv)
+        v = F.coalesce(F.col(_q(c)).cast("string"), F.lit(stats.modes.get(c)))
+        contrib = F.try_element_at(m, v) if lv else F.lit(None).cast("double")
+        label = F.concat(humanize(F.lit(c)), F.lit(" ("), F.coalesce(F.col(_q(c)).cast("string"), F.lit("Missing")),
+                         F.lit(")"))
+        items.append(F.when(contrib.isNotNull(),
+                            F.struct(F.lit(c).alias("name"), label.alias("label"), contrib.alias("contribution"))))
+    return df.withColumn(out, F.array_compact(F.array(*items)))
+
+
+def _row_contributions_vector(df, coefficients, sources, numeric, features, out):
     coef = F.array(*[F.lit(float(c)) for c in coefficients])
     x = vector_to_array(features)
     c = F.zip_with(x, coef, lambda a, b: a * b)
@@ -62,27 +94,31 @@ def row_contributions(df: DataFrame, coefficients: Sequence[float], sources: Seq
         if src in numeric:
             contrib = F.element_at(c, start + 1)
             present = F.lit(True)
-            val = F.col(f"`{src}`").cast("string")
         else:
             contrib = F.aggregate(F.slice(c, start + 1, width), F.lit(0.0), lambda acc, v: acc + v)
             present = F.aggregate(F.slice(x, start + 1, width), F.lit(0.0), lambda acc, v: acc + v) > 0
-            val = F.col(f"`{src}`").cast("string")
+        val = F.col(f"`{src}`").cast("string")
         label = F.concat(humanize(F.lit(src)), F.lit(" ("), F.coalesce(val, F.lit("Missing")), F.lit(")"))
         items.append(F.when(present, F.struct(F.lit(src).alias("name"), label.alias("label"),
                                               contrib.alias("contribution"))))
-    arr = F.filter(F.array(*items), lambda s: s.isNotNull())
-    return df.withColumn(out, arr)
-
-
-def top_factors(factors: str = "factors") -> tuple[F.Column, F.Column]:
-    """up to three contributions > 0.01 (descending) and three < -0.01 (ascending)."""
-    pos = F.filter(F.col(factors), lambda s: s["contribution"] > FACTOR_MIN)
-    neg = F.filter(F.col(factors), lambda s: s["contribution"] < -FACTOR_MIN)
-    desc = F.array_sort(pos, lambda a, b: F.when(a["contribution"] > b["contribution"], -1)
-                        .when(a["contribution"] < b["contribution"], 1).otherwise(0))
-    asc = F.array_sort(neg, lambda a, b: F.when(a["contribution"] < b["contribution"], -1)
-                       .when(a["contribution"] > b["contribution"], 1).otherwise(0))
-    return F.slice(desc, 1, FACTORS_PER_SIDE), F.slice(asc, 1, FACTORS_PER_SIDE)
+    return df.withColumn(out, F.array_compact(F.array(*items)))
+
+
+def top_factors(factors: str = "factors", n_items: int | None = None) -> tuple[F.Column, F.Column]:
+    """up to three contributions > 0.01 (descending) and three < -0.01
+    (ascending).  Built from ``sort_array`` over (contribution, name) pairs and
+    ``array_compact`` -- no lambdas."""
+    f = F.col(factors)
+    k = n_items if n_items is not None else 64
+    pos_items, neg_items = [], []
+    for i in range(1, k + 1):
+        e = F.try_element_at(f, F.lit(i))
+        key = F.struct(e["contribution"].alias("contribution"), e["name"].alias("name"), e["label"].alias("label"))
+        pos_items.append(F.when(e["contribution"] > FACTOR_MIN, key))
+        neg_items.append(F.when(e["contribution"] < -FACTOR_MIN, key))
+    up = F.slice(F.sort_array(F.array_compact(F.array(*pos_items)), asc=False), 1, FACTORS_PER_SIDE)
+    down = F.slice(F.sort_array(F.array_compact(F.array(*neg_items)), asc=True), 1, FACTORS_PER_SIDE)
+    return up, down
 
 
 def feature_means(df: DataFrame, features: str = "features") -> list[float]:

@@ -210,8 +210,8 @@ f AS (SELECT p.*, c1 * x1 AS f1, c2 * x2 AS f2, c3 * x3 + c4 * x4 + c5 * x5 AS f
           "FROM f")
 def contributions_lines(spark, sf):
     vec, st, coefs = _slopes(spark, sf)
-    r = ex.row_contributions(vec, coefs, st.source_of, st.numeric)
-    up, down = ex.top_factors()
+    r = ex.row_contributions(vec, coefs, st.source_of, st.numeric, stats=st)
+    up, down = ex.top_factors(n_items=len(st.numeric) + len(st.categorical))
     get = lambda n: F.filter("factors", lambda s: s["name"] == n)[0]["contribution"]
     return r.select("l_orderkey", "l_linenumber", F.round(get("l_quantity"), 6).alias("q_contrib"),
                     F.round(get("l_discount"), 6).alias("d_contrib"), F.round(get("l_returnflag"), 6).alias("r_contrib"),
