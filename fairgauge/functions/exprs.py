@@ -113,7 +113,8 @@ def clip_lower(pred, target_min) -> Column:
 def pct_of_limit(value, limit) -> Column:
     """Share of a limit used, in percent, clamped to 0..100 (0 when limit <= 0)."""
     v, lim = col_of(value), col_of(limit)
-    return F.when(lim > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), v / lim * 100.0))).otherwise(F.lit(0.0))
+    return F.when(lim > 0, F.least(F.lit(100.0), F.greatest(F.lit(0.0), F.try_divide(v, lim) * 100.0))) \
+        .otherwise(F.lit(0.0))
 
 
 def lookup(map_col, key, default) -> Column:

@@ -73,9 +73,9 @@ def _psi_from_counts(counts: DataFrame) -> DataFrame:
     gets 0."""
     tot = _feature_totals(counts, "nb", "nc")
     s = (counts.join(F.broadcast(tot), "feature")
-         .withColumn("pb", floor_at(F.col("nb") / F.col("_tnb"), PSI_EPSILON))
-         .withColumn("pc", floor_at(F.col("nc") / F.col("_tnc"), PSI_EPSILON)))
-    term = (F.col("pc") - F.col("pb")) * F.log(F.col("pc") / F.col("pb"))
+         .withColumn("pb", floor_at(F.coalesce(F.try_divide("nb", "_tnb"), F.lit(0.0)), PSI_EPSILON))
+         .withColumn("pc", floor_at(F.coalesce(F.try_divide("nc", "_tnc"), F.lit(0.0)), PSI_EPSILON)))
+    term = (F.col("pc") - F.col("pb")) * F.log(F.try_divide("pc", "pb"))
     return s.groupBy("feature").agg(
         F.when((F.max("_tnb") > 0) & (F.max("_tnc") > 0), F.sum(term)).otherwise(F.lit(0.0)).alias("psi"))
 
@@ -150,7 +150,7 @@ def normalized_frequency(long_df: DataFrame, cls: str = "cls") -> DataFrame:
     """(feature, cls, cnt, share) with share = cnt / total of the feature."""
     c = long_df.groupBy("feature", cls).agg(F.count(F.lit(1)).alias("cnt"))
     tot = _feature_totals(c, "cnt")
-    return c.join(F.broadcast(tot), "feature").select("feature", cls, "cnt", (F.col("cnt") / F.col("_tcnt")).alias("share"))
+    return c.join(F.broadcast(tot), "feature").select("feature", cls, "cnt", F.try_divide("cnt", "_tcnt").alias("share"))
 
 
 def aligned_shares(base_long: DataFrame, comp_long: DataFrame) -> DataFrame:
@@ -158,8 +158,8 @@ def aligned_shares(base_long: DataFrame, comp_long: DataFrame) -> DataFrame:
     c = side_counts(base_long, comp_long, "cls")
     tot = _feature_totals(c, "nb", "nc")
     return c.join(F.broadcast(tot), "feature").select(
-        "feature", "cls", F.coalesce(F.col("nb") / F.col("_tnb"), F.lit(0.0)).alias("base_share"),
-        F.coalesce(F.col("nc") / F.col("_tnc"), F.lit(0.0)).alias("comp_share"))
+        "feature", "cls", F.coalesce(F.try_divide("nb", "_tnb"), F.lit(0.0)).alias("base_share"),
+        F.coalesce(F.try_divide("nc", "_tnc"), F.lit(0.0)).alias("comp_share"))
 
 
 # Fixed texts of the drift table.

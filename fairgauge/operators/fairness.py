@@ -52,7 +52,7 @@ def binary_gaps(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:
              F.count(F.lit(1)).alias("n_groups")]
     g = groups.groupBy(*by).agg(*aggs) if by else groups.agg(*aggs)
     return g.select(*by, "n_groups", "demographic_gap", "equal_opportunity_gap", "fpr_gap", "fnr_gap",
-                    F.when(F.col("_mx") > 0, F.col("_mn") / F.col("_mx")).otherwise(1.0)
+                    F.when(F.col("_mx") > 0, F.try_divide("_mn", "_mx")).otherwise(1.0)
                     .alias("disparate_impact_ratio"),
                     F.lit("binary").alias("task_subtype"))
 
@@ -74,7 +74,7 @@ def multiclass_group_audit(scored: DataFrame, by: Sequence[str] = ()) -> DataFra
     g = per_class.groupBy(*by, "grp").agg(
         F.sum("n_actual").alias("n"), F.sum("tp").alias("_hits"),
         F.avg(safe_div(2 * F.col("tp"), F.col("n_actual") + F.col("n_pred"))).alias("macro_f1"))
-    return g.select(*by, "grp", "n", (F.col("_hits") / F.col("n")).alias("accuracy"), "macro_f1")
+    return g.select(*by, "grp", "n", safe_div("_hits", "n").alias("accuracy"), "macro_f1")
 
 
 def prediction_distribution(scored: DataFrame, by: Sequence[str] = ()) -> DataFrame:
@@ -83,7 +83,7 @@ def prediction_distribution(scored: DataFrame, by: Sequence[str] = ()) -> DataFr
     c = (scored.where(F.col("grp").isNotNull())
          .groupBy(*by, F.col("grp").cast("string").alias("grp"), "prediction").agg(F.count(F.lit(1)).alias("cnt")))
     w = Window.partitionBy(*by, "grp")
-    return c.select(*by, "grp", "prediction", "cnt", (F.col("cnt") / F.sum("cnt").over(w)).alias("share"))
+    return c.select(*by, "grp", "prediction", "cnt", F.try_divide(F.col("cnt"), F.sum("cnt").over(w)).alias("share"))
 
 
 def multiclass_gaps(groups: DataFrame, by: Sequence[str] = ()) -> DataFrame:

@@ -53,7 +53,7 @@ def regression_metrics(scored: DataFrame, by: Sequence[str] = ("model",)) -> Dat
             F.avg(F.abs(e) / F.greatest(F.abs("actual"), F.lit(MAPE_FLOOR))).alias("mape")]
     g = scored.groupBy(*by).agg(*aggs) if by else scored.agg(*aggs)
     sst = F.col("_vy") * F.col("n")
-    r2 = (F.when(sst > 0, F.lit(1.0) - F.col("_ssr") / sst)
+    r2 = (F.when(sst > 0, F.lit(1.0) - F.try_divide(F.col("_ssr"), sst))
           .when(F.col("_ssr") == 0, F.lit(1.0)).otherwise(F.lit(0.0)))
     return g.select(*by, r2.alias("r2_score"), "mae", "rmse", "mape")
 

@@ -70,7 +70,7 @@ def categorical_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return (pos.join(prof, "column_name", "left")
             .select("pos", "column_name", F.coalesce(F.col("_m.v"), F.lit("Missing")).alias("mode"),
                     F.coalesce("n_categories", F.lit(0)).cast("long").alias("n_categories"),
-                    (F.col("_miss") / F.col("_n")).alias("missing_pct")))
+                    F.try_divide(F.col("_miss"), F.col("_n")).alias("missing_pct")))
 
 
 def role_range_table(df: DataFrame, numeric: Sequence[str], categorical: Sequence[str]) -> DataFrame:
@@ -112,11 +112,11 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
     """Positive share; outside [0.35, 0.65] -> balanced weights
     n / (2 * n_class) per class, else 1.0."""
     agg = df.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col(label) == 1).alias("n_pos"))
-    share = F.col("n_pos") / F.col("n")
+    share = F.try_divide(F.col("n_pos"), F.col("n"))
     imb = (share < BALANCE_LOW) | (share > BALANCE_HIGH)
     return agg.select("n", "n_pos", share.alias("positive_share"), imb.alias("imbalanced"),
-                      F.when(imb, F.col("n") / (2.0 * (F.col("n") - F.col("n_pos")))).otherwise(1.0).alias("weight_0"),
-                      F.when(imb, F.col("n") / (2.0 * F.col("n_pos"))).otherwise(1.0).alias("weight_1"))
+                      F.when(imb, F.try_divide(F.col("n"), 2.0 * (F.col("n") - F.col("n_pos")))).otherwise(1.0).alias("weight_0"),
+                      F.when(imb, F.try_divide(F.col("n"), 2.0 * F.col("n_pos"))).otherwise(1.0).alias("weight_1"))
 
 
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:

@@ -22,7 +22,7 @@ def reweigh_table(train: DataFrame, group: str, label: str = "label") -> DataFra
     nn = c.agg(F.sum("n_gy").alias("n_all"))
     c2 = (c.withColumn("n_g", F.sum("n_gy").over(Window.partitionBy("_g")))
           .join(F.broadcast(ny), "_y").crossJoin(F.broadcast(nn)))
-    w = (F.col("n_g").cast("double") * F.col("n_y")) / (F.col("n_all").cast("double") * F.col("n_gy"))
+    w = F.try_divide(F.col("n_g").cast("double") * F.col("n_y"), F.col("n_all").cast("double") * F.col("n_gy"))
     return c2.select("_g", "_y", "n_gy", w.alias("weight"))
 
 
