@@ -1,9 +1,8 @@
 """Label encoding (B11-B14) and the risk-tier mapping."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import NumericType
 
 from fairgauge.functions import col_of
 
@@ -38,17 +37,30 @@ def binary_label(df: DataFrame, target: str, wanted: str | None = None, out: str
     return res
 
 
+# Largest number of classes coded through a literal map (the class list is
+# the label vocabulary and is gathered once, like a fitted StringIndexer).
+MAX_CLASSES = 100_000
+
+
+def sorted_classes(df: DataFrame, target: str) -> list:
+    """Distinct non-null class values in sorted order (numbers as numbers, text
+    as text).  Bounded: more than ``MAX_CLASSES`` classes is an error."""
+    vals = (df.select(F.col(target).alias("_cv")).where(F.col("_cv").isNotNull()).distinct()
+            .limit(MAX_CLASSES + 1).collect())
+    if len(vals) > MAX_CLASSES:
+        raise ValueError(f"{target} has more than {MAX_CLASSES} classes; treat it as a regression target")
+    return sorted(r["_cv"] for r in vals)
+
+
 def multiclass_codes(df: DataFrame, target: str, out: str = "label") -> DataFrame:
-    """code = position of the class in sorted order (numbers sort as
-    numbers, text as text); null -> -1.  The class table has one row per class
-    and is joined back; AQE broadcasts it when its measured size is small."""
-    is_num = isinstance(df.schema[target].dataType, NumericType)
-    classes = df.select(F.col(target).alias("_cv")).where(F.col("_cv").isNotNull()).distinct()
-    classes = classes.withColumn("_code", F.dense_rank().over(Window.orderBy("_cv")) - 1)
-    if not is_num:
-        pass
-    joined = df.join(classes, df[target] == classes["_cv"], "left")
-    return joined.withColumn(out, F.coalesce(F.col("_code"), F.lit(-1)).cast("int")).drop("_cv", "_code")
+    """code = position of the class in sorted order; null -> -1.  The
+    codes are a literal map, so coding is a narrow projection (no join, no
+    single-partition window)."""
+    classes = sorted_classes(df, target)
+    if not classes:
+        return df.withColumn(out, F.lit(-1).cast("int"))
+    m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
+    return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(target)), F.lit(-1)).cast("int"))
 
 
 def regression_label(df: DataFrame, target: str, out: str = "label") -> DataFrame:

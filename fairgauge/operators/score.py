@@ -1,22 +1,22 @@
 """Scoring helpers."""
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def class_names(df: DataFrame, target: str) -> DataFrame:
-    """(code, class_name): sorted class values with their codes."""
-    v = df.select(F.col(target).alias("class_name")).where(F.col("class_name").isNotNull()).distinct()
-    return v.select((F.dense_rank().over(Window.orderBy("class_name")) - 1).cast("int").alias("code"),
-                    F.col("class_name").cast("string").alias("class_name"))
+def class_names(df: DataFrame, target: str) -> dict:
+    """code -> class name (text) in sorted class order (bounded like the label vocabulary)."""
+    from fairgauge.operators.labels import sorted_classes
+    return {i: str(c) for i, c in enumerate(sorted_classes(df, target))}
 
 
-def name_of_class(df: DataFrame, idx: str, names: DataFrame, out: str = "class_name") -> DataFrame:
-    """C4: class index -> class name, the index as text when unmapped.  The
-    names table has one row per class; AQE broadcasts it at its measured size."""
-    j = df.join(names.withColumnRenamed("class_name", "_cn"), F.col(idx) == F.col("code"), "left")
-    return j.withColumn(out, F.coalesce(F.col("_cn"), F.col(idx).cast("string"))).drop("code", "_cn")
+def name_of_class(df: DataFrame, idx: str, names: dict, out: str = "class_name") -> DataFrame:
+    """C4: class index -> class name, the index as text when unmapped (a literal map lookup)."""
+    if not names:
+        return df.withColumn(out, F.col(idx).cast("string"))
+    m = F.create_map(*[x for k, v in names.items() for x in (F.lit(int(k)), F.lit(v))])
+    return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(idx).cast("int")), F.col(idx).cast("string")))
 
 
 def choose_model(name: str) -> str:

@@ -113,14 +113,10 @@ def weighted_rows_lines(spark, sf):
 def class_names_lines(spark, sf):
     from fairgauge.operators.score import class_names
     li = read_table(spark, sf, "lineitem")
+    from fairgauge.operators.score import name_of_class
     names = class_names(li, "l_returnflag")
     p = li.select((F.col("l_linenumber") % 4).cast("int").alias("idx"))
-    return class_names_apply(p, names).groupBy("idx", "class_name").agg(F.count(F.lit(1)).alias("n"))
-
-
-def class_names_apply(df, names):
-    from fairgauge.operators.score import name_of_class
-    return name_of_class(df, "idx", names)
+    return name_of_class(p, "idx", names).groupBy("idx", "class_name").agg(F.count(F.lit(1)).alias("n"))
 
 
 # --- gates on the two fixed models of lineitem -------------------------------------------------

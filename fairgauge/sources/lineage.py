@@ -17,6 +17,12 @@ def log_steps(spark: SparkSession, path: str, run_id: str, steps: list[tuple[str
     spark.createDataFrame(rows, LINEAGE_SCHEMA).write.mode("append").parquet(path)
 
 
+def append_log(entries: DataFrame, path: str) -> None:
+    """A5 for many runs at once: an entries table (run_id, seq, step, status,
+    description, ts) appended in one distributed write."""
+    entries.select("run_id", "seq", "step", "status", "description", "ts").write.mode("append").parquet(path)
+
+
 def read_log(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(LINEAGE_SCHEMA).parquet(path)
 
