@@ -11,7 +11,7 @@ from collections.abc import Sequence
 
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fairgauge.functions import humanize
@@ -27,8 +27,12 @@ def coefficient_table(spark: SparkSession, names: Sequence[str], sources: Sequen
     """I16 + F1 + E5: (pos, feature, source_column, coefficient, importance, rank);
     rank by absolute coefficient, ties by name.  p rows."""
     rows = [(i, n, s, float(c), abs(float(c))) for i, (n, s, c) in enumerate(zip(names, sources, coefficients))]
-    t = spark.createDataFrame(rows, "pos int, feature string, source_column string, coefficient double, importance double")
-    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    # the coefficients are model parameters already on the driver: rank them there
+    order = sorted(range(len(rows)), key=lambda i: (-rows[i][4], rows[i][1]))
+    rank = {i: r + 1 for r, i in enumerate(order)}
+    rows = [r + (rank[i],) for i, r in enumerate(rows)]
+    return spark.createDataFrame(rows, "pos int, feature string, source_column string, coefficient double, "
+                                       "importance double, rank int")
 
 
 def top_features(table: DataFrame, k: int = TOP_FEATURES) -> DataFrame:
@@ -138,8 +142,10 @@ def mean_abs_attribution(test: DataFrame, coefficients: Sequence[float], backgro
     phi = F.zip_with(F.zip_with(x, mu, lambda a, b: a - b), coef, lambda d, c: F.abs(d * c))
     m = test.select(array_to_vector(phi).alias("_p")).agg(Summarizer.mean(F.col("_p")).alias("m")).collect()[0]["m"]
     vals = m.toArray().tolist() if m is not None else [0.0] * len(names)
-    t = spark.createDataFrame([(n, float(v)) for n, v in zip(names, vals)], "feature string, importance double")
-    return t.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("importance"), "feature")))
+    order = sorted(range(len(vals)), key=lambda i: (-float(vals[i]), names[i]))
+    rank = {i: r + 1 for r, i in enumerate(order)}
+    return spark.createDataFrame([(n, float(v), rank[i]) for i, (n, v) in enumerate(zip(names, vals))],
+                                 "feature string, importance double, rank int")
 
 
 def attribution_sum(df: DataFrame, coefficients: Sequence[float], background_mean: Sequence[float],

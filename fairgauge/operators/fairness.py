@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fairgauge.functions import safe_div
+from fairgauge.operators.joins import attach_row
 
 # Fixed labels of the tercile bins.
 TERCILE_LABELS = ("Low Range", "Mid Range", "High Range")
@@ -164,7 +165,7 @@ def bin_numeric_group(scored: DataFrame, value: str, by: Sequence[str] = (),
     table has one row per ``by`` group and is broadcast."""
     by = list(by)
     edges = tercile_edges(scored, value, by)
-    j = scored.join(F.broadcast(edges), by, "left") if by else scored.crossJoin(F.broadcast(edges))
+    j = scored.join(F.broadcast(edges), by, "left") if by else attach_row(scored, edges)
     return j.withColumn(out, tercile_label(value, labels=labels)).drop("edges", "method")
 
 
@@ -177,5 +178,5 @@ def selection_rate_gap(scored: DataFrame, threshold: float = 0.5, by: Sequence[s
          .agg(F.avg(p).alias("rate")))
     aggs = [(F.max("rate") - F.min("rate")).alias("gap")]
     gap = g.groupBy(*by).agg(*aggs) if by else g.agg(*aggs)
-    j = g.join(F.broadcast(gap), by, "inner") if by else g.crossJoin(F.broadcast(gap))
+    j = g.join(F.broadcast(gap), by, "inner") if by else attach_row(g, gap)
     return j.select(*by, "grp", "rate", "gap")

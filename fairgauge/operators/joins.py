@@ -19,3 +19,18 @@ def join_small(big: DataFrame, small: DataFrame, on: Sequence[str] | str, how: s
     n = small.count()
     side = F.broadcast(small) if n <= max_rows else small
     return big.join(side, on, how)
+
+
+def attach_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
+    """Attach the columns of a table that has exactly one row (a statistic, a
+    fitted scalar, a verdict) to every row: a broadcast of one row, never a
+    product of two data tables."""
+    return df.crossJoin(F.broadcast(one_row))
+
+
+def expand(df: DataFrame, rows: list[dict]) -> DataFrame:
+    """Repeat every row once per entry of a fixed literal list (thresholds,
+    pipeline steps, a limits grid): a Generate over a literal array, no join."""
+    arr = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in r.items()]) for r in rows])
+    keys = list(rows[0].keys())
+    return df.select("*", F.explode(arr).alias("_e")).select("*", *[F.col(f"_e.{k}").alias(k) for k in keys]).drop("_e")

@@ -30,7 +30,8 @@ def binary_label(df: DataFrame, target: str, wanted: str | None = None, out: str
     ``null_label='negative'`` keeps nulls as 0 (parity); ``'drop'`` removes them."""
     pc = positive_class(df, target, wanted).select("pos")
     t = F.col(target).cast("string")
-    res = (df.crossJoin(F.broadcast(pc))  # one row
+    from fairgauge.operators.joins import attach_row
+    res = (attach_row(df, pc)
            .withColumn(out, F.when(t == F.col("pos"), 1.0).otherwise(0.0)).drop("pos"))
     if null_label == "drop":
         res = res.where(F.col(target).isNotNull())
@@ -69,7 +70,8 @@ def regression_label(df: DataFrame, target: str, out: str = "label") -> DataFram
     from fairgauge.operators.quantiles import exact_median
     num = df.withColumn(out, F.col(target).cast("string").try_cast("double"))
     med = exact_median(num, out).select(F.col("median").alias("_med"))
-    return (num.crossJoin(F.broadcast(med))
+    from fairgauge.operators.joins import attach_row
+    return (attach_row(num, med)
             .withColumn(out, F.coalesce(F.col(out), F.col("_med"))).drop("_med"))
 
 

@@ -73,7 +73,8 @@ def multiclass_metrics(scored: DataFrame, by: Sequence[str] = ("model",)) -> Dat
     aggs = [F.avg(safe_div("tp", "np")).alias("precision"), F.avg(safe_div("tp", "na")).alias("recall"),
             F.avg(safe_div(2 * F.col("tp"), F.col("na") + F.col("np"))).alias("f1_score")]
     m = pc.groupBy(*by).agg(*aggs) if by else pc.agg(*aggs)
-    return acc.join(m, by, "inner") if by else acc.crossJoin(m)
+    from fairgauge.operators.joins import attach_row
+    return acc.join(m, by, "inner") if by else attach_row(acc, m)
 
 
 def long_metrics(wide: DataFrame, by: Sequence[str] = ("model",)) -> DataFrame:

@@ -122,6 +122,7 @@ def class_balance(df: DataFrame, label: str = "label") -> DataFrame:
 def with_class_weight(df: DataFrame, label: str = "label", out: str = "weight") -> DataFrame:
     """Attach the balanced class weight (a one-row table, broadcast)."""
     w = class_balance(df, label).select("weight_0", "weight_1")
-    return (df.crossJoin(F.broadcast(w))
+    from fairgauge.operators.joins import attach_row
+    return (attach_row(df, w)
             .withColumn(out, F.when(F.col(label) == 1, F.col("weight_1")).otherwise(F.col("weight_0")))
             .drop("weight_0", "weight_1"))

@@ -82,7 +82,8 @@ def quality_summary(df: DataFrame, duplicates: bool = True) -> DataFrame:
     """One row with counts, both scores and their status."""
     base = shape_and_missing(df)
     dup = duplicate_rows(df) if duplicates else df.sparkSession.range(1).select(F.lit(0).cast("long").alias("duplicate_rows"))
-    j = base.crossJoin(dup)
+    from fairgauge.operators.joins import attach_row
+    j = attach_row(base, dup)
     return j.select("num_rows", "num_columns", "total_missing_values", "duplicate_rows",
                     score_v1("total_missing_values", "duplicate_rows").alias("score_v1"),
                     score_v2("num_rows", "num_columns", "total_missing_values", "duplicate_rows").alias("score_v2")) \

@@ -53,7 +53,8 @@ def bucketed_histogram(hist: DataFrame, by: Sequence[str] = (), buckets: int | N
     if probs:
         bounds = hist.groupBy(*by).agg(F.percentile_approx("v", probs, 10000).alias("_bounds")) if by \
             else hist.agg(F.percentile_approx("v", probs, 10000).alias("_bounds"))
-        with_b = hist.join(F.broadcast(bounds), by, "inner") if by else hist.crossJoin(F.broadcast(bounds))
+        from fairgauge.operators.joins import attach_row
+        with_b = hist.join(F.broadcast(bounds), by, "inner") if by else attach_row(hist, bounds)
         with_b = with_b.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: F.col("v") > b))).drop("_bounds")
     else:
         with_b = hist.withColumn("_bucket", F.lit(0))
@@ -149,8 +150,8 @@ def _quantiles_distributed(df: DataFrame, value: str, probs: Sequence[float], by
     by = list(by)
     spark = df.sparkSession
     sizes = group_sizes(df, value, by).where(F.col("n") > 0)
-    pdf = spark.createDataFrame([(i, float(p)) for i, p in enumerate(probs)], "q_idx int, q double")
-    targets = (sizes.crossJoin(F.broadcast(pdf))
+    from fairgauge.operators.joins import expand
+    targets = (expand(sizes, [{"q_idx": i, "q": float(p)} for i, p in enumerate(probs)])
                .withColumn("pos", F.col("q") * (F.col("n") - 1))
                .withColumn("lo", F.floor("pos").cast("long"))
                .withColumn("frac", F.col("pos") - F.col("lo"))

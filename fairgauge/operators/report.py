@@ -6,6 +6,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from fairgauge.operators.joins import attach_row, expand
+
 
 def metrics_side_by_side(metrics_long: DataFrame, models: Sequence[str]) -> DataFrame:
     """K1: metric rows x model columns (pivot values listed, so no extra pass)."""
@@ -50,12 +52,12 @@ def certificate(verdict: DataFrame, gates: DataFrame, metrics_long: DataFrame, g
     head = verdict.select(F.lit(dataset).alias("dataset"), F.lit(target).alias("target_column"),
                           F.lit(demographic or "None Selected (Audits Skipped)").alias("demographic_column"),
                           F.lit(task).alias("task"), "score", "max_score", "final_status", "risk", "tier")
-    return head.crossJoin(g).crossJoin(m).crossJoin(f)
+    return attach_row(attach_row(attach_row(head, g), m), f)
 
 
 def certificate_flat(verdict: DataFrame, gates: DataFrame) -> DataFrame:
     """K6 flat form: one row per gate with the verdict repeated."""
-    return gates.crossJoin(verdict.select("score", "max_score", "final_status", "risk"))
+    return attach_row(gates, verdict.select("score", "max_score", "final_status", "risk"))
 
 
 # Fixed step list of a full run; the first three run in data-only mode.
@@ -67,7 +69,7 @@ DATA_ONLY_STEPS = 3
 def run_steps(spark: SparkSession, runs: DataFrame) -> DataFrame:
     """K7: (run_id, seq, step, status) for every run x step; runs carries
     (run_id, data_only); in data-only mode the last five steps are SKIPPED."""
-    steps = spark.createDataFrame([(i + 1, s) for i, s in enumerate(PIPELINE_STEPS)], "seq int, step string")
-    return runs.crossJoin(F.broadcast(steps)).select(
+    steps = expand(runs, [{"seq": i + 1, "step": s} for i, s in enumerate(PIPELINE_STEPS)])
+    return steps.select(
         "run_id", "seq", "step",
         F.when(F.col("data_only") & (F.col("seq") > DATA_ONLY_STEPS), "SKIPPED").otherwise("COMPLETED").alias("status"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from fairgauge.operators.joins import join_small
+from fairgauge.operators.joins import attach_row, join_small
 
 
 def group_text(col: str) -> F.Column:
@@ -21,7 +21,8 @@ def reweigh_table(train: DataFrame, group: str, label: str = "label") -> DataFra
     ny = c.groupBy("_y").agg(F.sum("n_gy").alias("n_y"))
     nn = c.agg(F.sum("n_gy").alias("n_all"))
     c2 = (c.withColumn("n_g", F.sum("n_gy").over(Window.partitionBy("_g")))
-          .join(F.broadcast(ny), "_y").crossJoin(F.broadcast(nn)))
+          .join(F.broadcast(ny), "_y"))
+    c2 = attach_row(c2, nn)
     w = F.try_divide(F.col("n_g").cast("double") * F.col("n_y"), F.col("n_all").cast("double") * F.col("n_gy"))
     return c2.select("_g", "_y", "n_gy", w.alias("weight"))
 

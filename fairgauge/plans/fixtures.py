@@ -58,7 +58,8 @@ def scored_reg(spark: SparkSession, sf_dir: str) -> DataFrame:
     fit = li.agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"),
                  F.regr_intercept("l_extendedprice", "l_quantity").alias("a"))
     pred = F.col("a") + F.col("b") * F.col("l_quantity")
-    return (li.crossJoin(F.broadcast(fit))
+    from fairgauge.operators.joins import attach_row
+    return (attach_row(li, fit)
             .select(F.lit("ols").alias("model"), lines_key().alias("key"),
                     F.col("l_returnflag").alias("grp"), F.col("l_extendedprice").alias("actual"),
                     pred.alias("score"), pred.alias("prediction"), "l_quantity", "l_linestatus"))

@@ -71,7 +71,8 @@ def mitigation_decision_docs(spark, sf):
     s = scored_docs(spark, sf)
     di = fa.binary_gaps(fa.binary_group_audit(s)).select("disparate_impact_ratio")
     w = rw.reweigh_table(s, "grp", "actual")
-    j = w.crossJoin(F.broadcast(di))
+    from fairgauge.operators.joins import attach_row
+    j = attach_row(w, di)
     mit = F.col("disparate_impact_ratio") < 0.8
     return rounded(j.select("disparate_impact_ratio", mit.alias("mitigate"), F.col("_g").alias("grp"),
                             F.col("_y").alias("actual"), F.when(mit, F.col("weight")).otherwise(1.0).alias("weight")))

@@ -78,7 +78,8 @@ def imputed_means_events(spark, sf):
         F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("t"))
     mv = numeric_profile(ev, ["v"]).select(F.col("mean").alias("_mv"))
     mode = categorical_profile(ev, ["t"]).select(F.col("mode").alias("_mode"))
-    filled = ev.crossJoin(F.broadcast(mv)).crossJoin(F.broadcast(mode)).select(
+    from fairgauge.operators.joins import attach_row
+    filled = attach_row(attach_row(ev, mv), mode).select(
         F.coalesce("t", "_mode").alias("t"), F.coalesce("v", "_mv").alias("v"))
     return rounded(filled.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v_mean")))
 
@@ -173,7 +174,8 @@ def regression_clip_lines(spark, sf):
     """I13 + H16: regression scores clipped at the target minimum when it is >= 0."""
     s = scored_reg(spark, sf)
     tmin = s.agg(F.min("actual").alias("_tmin"))
-    c = s.crossJoin(F.broadcast(tmin)).withColumn("clipped", clip_lower("prediction", "_tmin"))
+    from fairgauge.operators.joins import attach_row
+    c = attach_row(s, tmin).withColumn("clipped", clip_lower("prediction", "_tmin"))
     return rounded(c.groupBy("grp").agg(F.count(F.lit(1)).alias("n"), F.avg("clipped").alias("mean_clipped"),
                                         F.count_if((F.col("_tmin") >= 0) & (F.col("prediction") < F.col("_tmin")))
                                         .alias("n_clipped")))

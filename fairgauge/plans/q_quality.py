@@ -8,6 +8,7 @@ from fairgauge.operators import labels as lb
 from fairgauge.operators import profile as pf
 from fairgauge.operators import quality as qa
 from fairgauge.operators import roles as ro
+from fairgauge.operators.joins import attach_row
 from fairgauge.plans.registry import register, rounded
 from fairgauge.session import read_table
 
@@ -265,7 +266,7 @@ def regression_label_events(spark, sf):
     from fairgauge.operators.quantiles import exact_median
     med = exact_median(raw, "_raw")
     return lab.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("_raw").isNull()).alias("n_filled"),
-                   F.sum("label").alias("sum_label")).crossJoin(med).select(
+                   F.sum("label").alias("sum_label")).transform(lambda d: attach_row(d, med)).select(
         "n", "n_filled", r6("median").alias("median"), r6("sum_label").alias("sum_label"))
 
 
