@@ -384,3 +384,24 @@ def audit_data_only_orders(spark, sf):
         "o_totalprice", F.when(F.col("o_orderkey") % 7 != 0, F.col("o_totalprice")))
     r = audit(o, AuditConfig(data_only=True))
     return r.quality.select("num_rows", "num_columns", "total_missing_values")
+
+
+@register("audit_profile_lines")
+def audit_profile_lines(spark, sf):
+    """I18 profile output (D9/D10 on the training rows) and the catalog entry (D12) (rows-only)."""
+    from fairgauge.plans.audit import AuditConfig, audit
+    r = audit(_lines_table(spark, sf), AuditConfig(ensemble=False, mitigate=False, dataset_name="lineitem"))
+    return r.profile
+
+
+@register("audit_legacy_gaps_customer")
+def audit_legacy_gaps_customer(spark, sf):
+    """I18 + D21 in the audit: customer with derived gender and senior attributes,
+    target c_mktsegment = BUILDING; the legacy two-value rate gaps per model (rows-only)."""
+    from fairgauge.plans.audit import AuditConfig, audit
+    c = read_table(spark, sf, "customer").select(
+        F.when(F.col("c_custkey") % 2 == 0, "Female").otherwise("Male").alias("gender"),
+        (F.col("c_nationkey") % 5 == 0).cast("int").alias("SeniorCitizen"), "c_acctbal",
+        (F.col("c_mktsegment") == "BUILDING").cast("int").alias("building"))
+    r = audit(c, AuditConfig(ensemble=False, lineage_path=scratch_path(spark, "lineage_audits")))
+    return r.attribute_gaps

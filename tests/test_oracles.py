@@ -7,7 +7,8 @@ from tests.oracle import compare
 QUERIES = E.queries()
 ORACLE = E.oracle_sql()
 SLOW_ROWS_ONLY = {"audit_gates_lines", "audit_regression_orders", "boosted_metrics_lines", "forest_balanced_docs",
-                  "audit_metrics_lines", "audit_certificate_lines"}
+                  "audit_metrics_lines", "audit_certificate_lines", "audit_profile_lines",
+                  "audit_legacy_gaps_customer"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
