@@ -50,9 +50,10 @@ def bucketed_histogram(hist: DataFrame, by: Sequence[str] = (), buckets: int | N
     by = list(by)
     nb = buckets or _buckets(hist)
     probs = [i / nb for i in range(1, nb)]
+    acc = max(10000, 10 * nb)       # sketch resolution finer than the buckets
     if probs:
-        bounds = hist.groupBy(*by).agg(F.percentile_approx("v", probs, 10000).alias("_bounds")) if by \
-            else hist.agg(F.percentile_approx("v", probs, 10000).alias("_bounds"))
+        bounds = hist.groupBy(*by).agg(F.percentile_approx("v", probs, acc).alias("_bounds")) if by \
+            else hist.agg(F.percentile_approx("v", probs, acc).alias("_bounds"))
         from fairgauge.operators.joins import attach_row
         with_b = hist.join(F.broadcast(bounds), by, "inner") if by else attach_row(hist, bounds)
         with_b = with_b.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: F.col("v") > b))).drop("_bounds")
@@ -106,16 +107,25 @@ def group_sizes(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
 AGGREGATE_PATH_MAX_DISTINCT = 1_000_000
 
 
-def _aggregate_path_ok(df: DataFrame, value: str, by: Sequence[str]) -> bool:
-    """Size check: HyperLogLog distinct count per group (one cheap pass, a
-    groups-sized result).  HLL++ has about 1% relative error, so the bound is
-    applied with a 5% margin."""
+# Distinct values per bucket aimed at by the distributed path: the only
+# window of that path ranks one bucket, so this bounds its task.
+DISTINCT_PER_BUCKET = 100_000
+MAX_BUCKETS = 1_000_000
+
+
+def _max_distinct(df: DataFrame, value: str, by: Sequence[str]) -> int:
+    """Size check: largest HyperLogLog distinct count over the groups (one cheap
+    pass, a groups-sized result)."""
     v = F.col(value).cast("double")
     ok = df.where(v.isNotNull() & ~F.isnan(v))
     agg = F.approx_count_distinct(v, 0.01).alias("d")
     d = ok.groupBy(*by).agg(agg) if by else ok.agg(agg)
-    mx = d.agg(F.max("d")).collect()[0][0]
-    return mx is None or mx * 1.05 <= AGGREGATE_PATH_MAX_DISTINCT
+    return d.agg(F.max("d")).collect()[0][0] or 0
+
+
+def _aggregate_path_ok(mx: int) -> bool:
+    """HLL++ has about 1% relative error, so the bound is applied with a 5% margin."""
+    return mx * 1.05 <= AGGREGATE_PATH_MAX_DISTINCT
 
 
 def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
@@ -129,7 +139,10 @@ def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Seque
     produce no rows."""
     by = list(by)
     if method == "auto":
-        method = "aggregate" if _aggregate_path_ok(df, value, by) else "distributed"
+        mx = _max_distinct(df, value, by)
+        method = "aggregate" if _aggregate_path_ok(mx) else "distributed"
+        if method == "distributed" and buckets is None:
+            buckets = min(MAX_BUCKETS, max(_buckets(df), -(-int(mx * 1.05) // DISTINCT_PER_BUCKET)))
     if method == "aggregate":
         return _quantiles_aggregate(df, value, probs, by)
     return _quantiles_distributed(df, value, probs, by, buckets)

@@ -70,3 +70,17 @@ def test_checkpoint_dir_is_read_from_session(spark):
     from fairgauge.session import ensure_checkpoint_dir
     d = ensure_checkpoint_dir(spark)
     assert d and spark.conf.get("spark.checkpoint.dir") == d
+
+
+def test_auto_routes_large_groups_to_distributed(spark, sf_small, monkeypatch):
+    from fairgauge.operators import quantiles as qu
+    monkeypatch.setattr(qu, "AGGREGATE_PATH_MAX_DISTINCT", 10)
+    monkeypatch.setattr(qu, "DISTINCT_PER_BUCKET", 50)
+    li = spark.read.parquet(f"{sf_small}/lineitem.parquet").select("l_returnflag", "l_extendedprice")
+    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
+    got = {(r["l_returnflag"], r["q_idx"]): r["q_value"]
+           for r in qu.exact_quantiles(li, "l_extendedprice", probs, ["l_returnflag"]).collect()}
+    pdf = li.toPandas()
+    for g, sub in pdf.groupby("l_returnflag"):
+        want = np.quantile(sub["l_extendedprice"].to_numpy(), probs)
+        assert np.allclose([got[(g, i)] for i in range(len(probs))], want, rtol=1e-12)
