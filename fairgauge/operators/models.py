@@ -35,7 +35,7 @@ def logistic(train: DataFrame, features: str = "features", label: str = "label",
     """Binary (or multinomial) logistic regression, L2, C = 1."""
     tot = train.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).collect()[0][0] or 1
     lr = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / float(tot), elasticNetParam=0.0,
-                            standardization=False, maxIter=max_iter, tol=1e-8)
+                            standardization=False, maxIter=max_iter, tol=1e-6)
     if weight:
         lr.setWeightCol(weight)
     return lr.fit(train)

@@ -405,3 +405,12 @@ def audit_legacy_gaps_customer(spark, sf):
         (F.col("c_mktsegment") == "BUILDING").cast("int").alias("building"))
     r = audit(c, AuditConfig(ensemble=False, lineage_path=scratch_path(spark, "lineage_audits")))
     return r.attribute_gaps
+
+
+@register("audit_multiclass_orders")
+def audit_multiclass_orders(spark, sf):
+    """I18 multiclass path: orders -> o_orderstatus (three classes): multinomial
+    logistic + forest, macro metrics, per-group accuracy / macro-F1 (rows-only)."""
+    from fairgauge.plans.audit import AuditConfig, audit
+    o = read_table(spark, sf, "orders").select("o_totalprice", "o_orderpriority", "o_custkey", "o_orderstatus")
+    return audit(o, AuditConfig(ensemble_iters=20)).groups
