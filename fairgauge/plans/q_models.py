@@ -414,3 +414,23 @@ def audit_multiclass_orders(spark, sf):
     from fairgauge.plans.audit import AuditConfig, audit
     o = read_table(spark, sf, "orders").select("o_totalprice", "o_orderpriority", "o_custkey", "o_orderstatus")
     return audit(o, AuditConfig(ensemble_iters=20)).groups
+
+
+@register("what_if_lines")
+def what_if_lines(spark, sf):
+    """Batch what-if: every lineitem row (with every third quantity missing, so
+    the training mean fills it) scored by the audited linear model, with class
+    name, risk band and the top boosters / reducers (rows-only)."""
+    r = _audit_lines(spark, sf)
+    rows = _lines_table(spark, sf).withColumn(
+        "l_quantity", F.when(F.abs(F.xxhash64("l_extendedprice", "l_discount")) % 3 != 0, F.col("l_quantity")))
+    s = r.score_rows(rows, "Logistic Regression")
+    return s.select("l_returnflag", "score", "class_name", "risk_band",
+                    F.transform("boosters", lambda b: b["name"]).alias("boosters"),
+                    F.transform("reducers", lambda b: b["name"]).alias("reducers"))
+
+
+@register("audit_sweep_lines")
+def audit_sweep_lines(spark, sf):
+    """J17 inside the audit: the threshold sweep of the fitted linear model (rows-only)."""
+    return _audit_lines(spark, sf).sweep
