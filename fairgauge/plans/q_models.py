@@ -434,3 +434,12 @@ def what_if_lines(spark, sf):
 def audit_sweep_lines(spark, sf):
     """J17 inside the audit: the threshold sweep of the fitted linear model (rows-only)."""
     return _audit_lines(spark, sf).sweep
+
+
+@register("audit_multiclass_boosted_orders")
+def audit_multiclass_boosted_orders(spark, sf):
+    """I8 multiclass: one boosted model per class (one-vs-rest, 10 rounds each) in
+    the orders audit -> macro metrics of both models (rows-only)."""
+    from fairgauge.plans.audit import AuditConfig, audit
+    o = read_table(spark, sf, "orders").select("o_totalprice", "o_orderpriority", "o_custkey", "o_orderstatus")
+    return audit(o, AuditConfig(ensemble_iters=10, multiclass_boosting="one_vs_rest", mitigate=False)).metrics

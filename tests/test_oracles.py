@@ -9,7 +9,7 @@ ORACLE = E.oracle_sql()
 SLOW_ROWS_ONLY = {"audit_gates_lines", "audit_regression_orders", "boosted_metrics_lines", "forest_balanced_docs",
                   "audit_metrics_lines", "audit_certificate_lines", "audit_profile_lines",
                   "audit_legacy_gaps_customer", "audit_multiclass_orders",
-                  "what_if_lines", "audit_sweep_lines"}
+                  "what_if_lines", "audit_sweep_lines", "audit_multiclass_boosted_orders"}
 
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
