@@ -148,6 +148,39 @@ def mean_abs_attribution(test: DataFrame, coefficients: Sequence[float], backgro
                                  "feature string, importance double, rank int")
 
 
+# Up to this many prepared features, attributions are plain column aggregates.
+COLUMN_FORM_MAX_FEATURES = 256
+
+
+def mean_abs_attribution_columns(test: DataFrame, stats, coefficients: Sequence[float],
+                                 background_mean: Sequence[float]) -> DataFrame:
+    """I17 + D32 from the source columns and the fitted statistics: one aggregate
+    of avg(|coef x (prepared value - background mean)|) per prepared feature,
+    all plain arithmetic (whole-stage codegen).  Same result as
+    ``mean_abs_attribution`` on the prepared vector."""
+    from fairgauge.operators.quality import _q
+    exprs, names, j = [], [], 0
+    for c in stats.numeric:
+        med, mu, sd = stats.medians.get(c), stats.means.get(c), stats.stds.get(c) or 0.0
+        x = (F.coalesce(F.col(_q(c)).cast("double"), F.lit(med)) - F.lit(mu)) / F.lit(sd if sd > 0 else 1.0)
+        exprs.append(F.avg(F.abs((x - F.lit(float(background_mean[j]))) * F.lit(float(coefficients[j])))).alias(f"a{j}"))
+        names.append(f"num__{c}")
+        j += 1
+    for c in stats.categorical:
+        v = F.coalesce(F.col(_q(c)).cast("string"), F.lit(stats.modes.get(c)))
+        for lv in stats.levels[c]:
+            x = (v == F.lit(lv)).cast("double")
+            exprs.append(F.avg(F.abs((x - F.lit(float(background_mean[j]))) * F.lit(float(coefficients[j])))).alias(f"a{j}"))
+            names.append(f"cat__{c}_{lv}")
+            j += 1
+    row = test.agg(*exprs).collect()[0] if exprs else None
+    vals = [float(row[f"a{i}"] or 0.0) for i in range(len(names))] if row is not None else []
+    order = sorted(range(len(vals)), key=lambda i: (-vals[i], names[i]))
+    rank = {i: r + 1 for r, i in enumerate(order)}
+    return test.sparkSession.createDataFrame([(n, v, rank[i]) for i, (n, v) in enumerate(zip(names, vals))],
+                                             "feature string, importance double, rank int")
+
+
 def attribution_sum(df: DataFrame, coefficients: Sequence[float], background_mean: Sequence[float],
                     features: str = "features") -> F.Column:
     """Sum of signed attributions of a row (equals margin - background margin)."""

@@ -106,3 +106,17 @@ def test_ridge_matches_closed_form(spark, sf_small):
         err = np.mean(((yc - Xc @ beta) / (1 - h)) ** 2)
         assert abs(fit.loo_errors[a] - err) < 1e-6 * err
     assert fit.alpha == min(fit.loo_errors, key=lambda k: (fit.loo_errors[k], k))
+
+
+def test_attribution_column_form_matches_vector_form(spark, sf_small):
+    from fairgauge.operators import explain as ex
+    from fairgauge.operators.prepare import fit_prepare
+    li = spark.read.parquet(f"{sf_small}/lineitem.parquet")
+    pm, st = fit_prepare(li, ["l_quantity", "l_discount"], ["l_returnflag"])
+    v = pm.transform(li)
+    coefs = [0.3, -1.2, 0.5, 0.0, -0.7]
+    mu = ex.feature_means(v)
+    a = {r["feature"]: r["importance"] for r in ex.mean_abs_attribution(v, coefs, mu, st.feature_names).collect()}
+    b = {r["feature"]: r["importance"] for r in ex.mean_abs_attribution_columns(li, st, coefs, mu).collect()}
+    assert a.keys() == b.keys()
+    assert all(abs(a[k] - b[k]) < 1e-9 for k in a)
