@@ -24,6 +24,16 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+# Functions of this module run inside tasks (mapInPandas): ship them by value
+# so executors need not have the package installed.
+try:
+    import sys as _sys
+
+    from pyspark import cloudpickle as _cp
+    _cp.register_pickle_by_value(_sys.modules[__name__])
+except Exception:  # pragma: no cover
+    pass
+
 # Fixed defaults of the model families.
 RIDGE_ALPHAS = (0.1, 1.0, 10.0)
 RIDGE_ALPHAS_WIDE = tuple(float(a) for a in np.logspace(-3, 3, 10))
