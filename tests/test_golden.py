@@ -119,3 +119,30 @@ def test_mode_lowest_on_ties(spark):
     df = spark.createDataFrame([("b",), ("a",), ("b",), ("a",), (None,)], "c string")
     r = categorical_profile(df, ["c"]).collect()[0]
     assert r["mode"] == "a" and r["n_categories"] == 2 and math.isclose(r["missing_pct"], 0.2)
+
+
+def test_f1_gate_and_custom_limits(spark):
+    ml = spark.createDataFrame([("logistic_regression", "accuracy", 0.8), ("logistic_regression", "recall", 0.6),
+                                ("logistic_regression", "f1_score", 0.55)], "model string, metric string, value double")
+    gaps = spark.createDataFrame([("sex", 0.1, 0.85)], "demographic_column string, demographic_gap double, "
+                                                       "disparate_impact_ratio double")
+    g = {r["rule"]: r for r in po.gate_table(spark, ml, gaps, None, f1_gate=True,
+                                             custom_limits={"min_accuracy": 0.9}).collect()}
+    assert g["Model F1 Score"]["status"] == "PASS"
+    assert g["Model Accuracy"]["status"] == "FAIL" and g["Model Accuracy"]["threshold"] == 0.9
+    assert g["Demographic Bias Gap"]["status"] == "PASS"
+    high = {r["rule"]: r["status"] for r in po.gate_table(spark, ml, gaps, None, tier="High").collect()}
+    assert high["Demographic Bias Gap"] == "FAIL" and high["Model Recall"] == "FAIL"
+
+
+def test_regression_gates(spark):
+    ml = spark.createDataFrame([("linear_regression", "r2_score", 0.6), ("linear_regression", "mae", 3.0)],
+                               "model string, metric string, value double")
+    gaps = spark.createDataFrame([("grp", 0.2, 1.0)], "demographic_column string, demographic_gap double, "
+                                                      "disparate_impact_ratio double")
+    g = {r["rule"]: r["status"] for r in po.gate_table(spark, ml, gaps, None).collect()}
+    assert g == {"Demographic Audit Registration": "PASS", "Prediction Target Definition": "PASS",
+                 "Model R² Score": "PASS", "Group Error Disparity": "FAIL"}
+    d = {r["k"]: r["v"] for r in po.decision_map(po.gate_table(spark, ml, gaps, None))
+         .select(F.explode("decisions").alias("k", "v")).collect()}
+    assert d["r2_score"] == "PASS" and d["demographic_fairness"] == "FAIL"
