@@ -52,6 +52,19 @@ def _slots(sources: Sequence[str]):
     return out
 
 
+def _sentinel(*names: str) -> F.Column:
+    """A struct that stands for 'no item': NaN contribution (Spark treats NaN as
+    equal to NaN), so ``array_remove`` drops it -- unlike ``array_compact``,
+    which Spark rewrites into a lambda ``filter``."""
+    fields = {"name": F.lit(""), "label": F.lit(""), "contribution": F.lit(float("nan"))}
+    return F.struct(*[fields[n].alias(n) for n in names])
+
+
+def _drop_missing(items, *names: str) -> F.Column:
+    s = _sentinel(*names)
+    return F.array_remove(F.array(*[F.coalesce(i, s) for i in items]), s)
+
+
 def row_contributions(df: DataFrame, coefficients: Sequence[float], sources: Sequence[str],
                       numeric: Sequence[str], features: str = "features", out: str = "factors",
                       stats=None) -> DataFrame:
@@ -86,7 +99,7 @@ def row_contributions(df: DataFrame, coefficients: Sequence[float], sources: Seq
                          F.lit(")"))
         items.append(F.when(contrib.isNotNull(),
                             F.struct(F.lit(c).alias("name"), label.alias("label"), contrib.alias("contribution"))))
-    return df.withColumn(out, F.array_compact(F.array(*items)))
+    return df.withColumn(out, _drop_missing(items, "name", "label", "contribution"))
 
 
 def _row_contributions_vector(df, coefficients, sources, numeric, features, out):
@@ -105,13 +118,13 @@ def _row_contributions_vector(df, coefficients, sources, numeric, features, out)
         label = F.concat(humanize(F.lit(src)), F.lit(" ("), F.coalesce(val, F.lit("Missing")), F.lit(")"))
         items.append(F.when(present, F.struct(F.lit(src).alias("name"), label.alias("label"),
                                               contrib.alias("contribution"))))
-    return df.withColumn(out, F.array_compact(F.array(*items)))
+    return df.withColumn(out, _drop_missing(items, "name", "label", "contribution"))
 
 
 def top_factors(factors: str = "factors", n_items: int | None = None) -> tuple[F.Column, F.Column]:
     """up to three contributions > 0.01 (descending) and three < -0.01
     (ascending).  Built from ``sort_array`` over (contribution, name) pairs and
-    ``array_compact`` -- no lambdas."""
+    ``array_remove`` of a sentinel -- no lambdas."""
     f = F.col(factors)
     k = n_items if n_items is not None else 64
     pos_items, neg_items = [], []
@@ -120,8 +133,9 @@ def top_factors(factors: str = "factors", n_items: int | None = None) -> tuple[F
         key = F.struct(e["contribution"].alias("contribution"), e["name"].alias("name"), e["label"].alias("label"))
         pos_items.append(F.when(e["contribution"] > FACTOR_MIN, key))
         neg_items.append(F.when(e["contribution"] < -FACTOR_MIN, key))
-    up = F.slice(F.sort_array(F.array_compact(F.array(*pos_items)), asc=False), 1, FACTORS_PER_SIDE)
-    down = F.slice(F.sort_array(F.array_compact(F.array(*neg_items)), asc=True), 1, FACTORS_PER_SIDE)
+    cols = ("contribution", "name", "label")
+    up = F.slice(F.sort_array(_drop_missing(pos_items, *cols), asc=False), 1, FACTORS_PER_SIDE)
+    down = F.slice(F.sort_array(_drop_missing(neg_items, *cols), asc=True), 1, FACTORS_PER_SIDE)
     return up, down
 
 

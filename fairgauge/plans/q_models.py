@@ -214,11 +214,13 @@ def contributions_lines(spark, sf):
     vec, st, coefs = _slopes(spark, sf)
     r = ex.row_contributions(vec, coefs, st.source_of, st.numeric, stats=st)
     up, down = ex.top_factors(n_items=len(st.numeric) + len(st.categorical))
-    get = lambda n: F.filter("factors", lambda s: s["name"] == n)[0]["contribution"]
+    # lambda-free: name -> contribution map, and struct fields taken from arrays directly
+    by_name = F.map_from_entries(F.arrays_zip(F.col("factors.name"), F.col("factors.contribution")))
+    get = lambda n: F.try_element_at(by_name, F.lit(n))
     return r.select("l_orderkey", "l_linenumber", F.round(get("l_quantity"), 6).alias("q_contrib"),
                     F.round(get("l_discount"), 6).alias("d_contrib"), F.round(get("l_returnflag"), 6).alias("r_contrib"),
-                    F.array_join(F.transform(up, lambda s: s["name"]), ",").alias("boosters"),
-                    F.array_join(F.transform(down, lambda s: s["name"]), ",").alias("reducers"))
+                    F.array_join(up.getField("name"), ",").alias("boosters"),
+                    F.array_join(down.getField("name"), ",").alias("reducers"))
 
 
 _ATTR_SQL = _SLOPES_SQL + """,
@@ -426,8 +428,7 @@ def what_if_lines(spark, sf):
         "l_quantity", F.when(F.abs(F.xxhash64("l_extendedprice", "l_discount")) % 3 != 0, F.col("l_quantity")))
     s = r.score_rows(rows, "Logistic Regression")
     return s.select("l_returnflag", "score", "class_name", "risk_band",
-                    F.transform("boosters", lambda b: b["name"]).alias("boosters"),
-                    F.transform("reducers", lambda b: b["name"]).alias("reducers"))
+                    F.col("boosters.name").alias("boosters"), F.col("reducers.name").alias("reducers"))
 
 
 @register("audit_sweep_lines")
