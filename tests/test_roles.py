@@ -38,3 +38,11 @@ def test_name_helpers():
     assert ro.ordered_unique(["b", "a", "b"]) == ["b", "a"]
     assert ro.id_name_match("record_id") and ro.id_name_match("KeyCol") and not ro.id_name_match("price")
     assert choose_model("Logistic Regression") == "linear" and choose_model("Random Forest") == "ensemble"
+
+
+def test_cluster_conf_sizes_partitions():
+    from fairgauge.session import cluster_conf
+    c = cluster_conf(100 * (1 << 40), 8000)
+    assert int(c["spark.sql.shuffle.partitions"]) == 409600
+    assert cluster_conf(1 << 20, 16)["spark.sql.shuffle.partitions"] == "32"
+    assert c["spark.sql.adaptive.skewJoin.enabled"] == "true"
