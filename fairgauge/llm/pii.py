@@ -17,6 +17,7 @@ import re
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 KINDS = ("email", "ip", "card", "phone", "iban", "ssn")
 ALWAYS = KINDS[:4]
@@ -30,7 +31,8 @@ CONTEXT = {
     "iban": ("iban", "account", "bank", "konto", "compte", "cuenta"),
     "ssn": ("ssn", "social", "security", "tax", "id"),
 }
-SPAN = "array<struct<kind:string,start:long,end:long,score:double>>"
+SPAN = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()),
+                                 T.StructField("end", T.LongType()), T.StructField("score", T.DoubleType())]))
 _SPAN_TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -141,7 +143,7 @@ def _spans_udf(texts: pa.Array) -> pa.Array:
     return pa.array([[{"kind": k, "start": s, "end": e, "score": c} for k, s, e, c in row] for row in found], _SPAN_TYPE)
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _redact_udf(texts: pa.Array) -> pa.Array:
     return pa.array([t if t is None else redact_text(t, find_spans(t)) for t in (x.as_py() for x in texts)], pa.string())
 
