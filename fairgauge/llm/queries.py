@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgauge.llm import mixing, packing, pii, sharding
+from fairgauge.llm import mixing, packing, pii, sharding, simhash
 from fairgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -41,3 +41,9 @@ def op4_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     counts = [pii.span_count(F.col("found"), k).alias(f"n_{k}") for k in pii.ALWAYS]
     return found.select("doc_id", *counts, F.sha2(pii.span_list(F.col("found"), pii.ALWAYS), 256).alias("base_sha256"),
                         pii.span_list(F.col("found")).alias("spans"))
+
+
+@_query
+def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
