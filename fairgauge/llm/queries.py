@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgauge.llm import mixing, packing, pii, sharding, simhash
+from fairgauge.llm import classifier, embedding_caps, mixing, packing, pii, quality_rules, sharding, simhash
 from fairgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -47,3 +47,23 @@ def op4_find_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_simhash_gray(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+@_query
+def op6_line_frequency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = quality_rules.judge(table(spark, sf_dir, "documents"), carry=["doc_id"])
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
+                         "kept", "lost_words")
+
+
+@_query
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "labels")
+    graded = labels.select("doc_id", classifier.grade(F.col("quality"), F.col("toxic")).alias("grade"))
+    scored = classifier.classify(docs, classifier.train(docs, graded))
+    return scored.select("doc_id", "score", "expected_grade", "tail", "kept")
+
+
+@_query
+def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
