@@ -4,7 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgauge.llm import classifier, embedding_caps, mixing, packing, pii, quality_rules, sharding, simhash
+from fairgauge.llm import (classifier, embedding_caps, mixing, packing, pii, quality_rules, sharding, simhash,
+                           suffix_dedup)
 from fairgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -67,3 +68,8 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embedding_caps.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@_query
+def op7_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
