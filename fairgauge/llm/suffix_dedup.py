@@ -2,10 +2,10 @@
 
 Only prefixes of ``least`` (200) bytes matter, so suffixes are sorted to that depth:
 
-1. Sampled tuples. Positions whose place in the document, modulo ``PERIOD``, lies in a difference cover are named by
-   the ``least - PERIOD + 1`` bytes that start there; names are sorted, and equal neighbours are repeated. For any
-   two positions some shift below ``PERIOD`` takes both into the sample, so two equal 200-byte strings hold a pair
-   of sampled tuples of one name: a position with no repeated name in its next ``PERIOD`` places is unique, and
+1. Sampled tuples. Positions whose place in the document, modulo a period of 133, lies in a difference cover are named by
+   the 68 (``least`` - period + 1) bytes that start there; names are sorted, and equal neighbours are repeated. For any
+   two positions some shift below the period takes both into the sample, so two equal 200-byte strings hold a pair
+   of sampled tuples of one name: a position with no repeated name in its next 133 places is unique, and
    the recursion ends for it.
 2. Remaining suffixes. The others are sorted by their 200-byte prefix, and equal neighbours are repeated.
 3. Bytes covered by a repeated prefix are removed.
@@ -26,35 +26,40 @@ an empty table gives an empty result; other columns are ignored unless named in
 from __future__ import annotations
 
 import hashlib
-from itertools import groupby
-from operator import itemgetter
+from itertools import product
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairgauge.llm.common import cut
+from fairgauge.llm.exchange import SENT, Names, answered, batch, bucket_of, by_block, dealt, int_key, send, text_rows
 
 BLOCK_BYTES = 12 << 20
 #: Names a bucket is sized for.
 BUCKET_NAMES = 2_000_000
 #: Starts hashed at once.
 STRETCH = 1 << 17
-#: Modulus of the difference cover; q * q + q + 1 for a prime q, so that a perfect cover of q + 1 places exists.
-PERIOD = 133
+#: The difference cover has ORDER + 1 places modulo ORDER * ORDER + ORDER + 1 (12 of 133).
+ORDER = 11
 
 
-def difference_cover(modulus: int) -> list[int]:
-    """A set of places in which every difference modulo ``modulus`` occurs, found greedily in order of gain."""
-    cover, missing = [0, 1], set(range(2, modulus - 1))
-    while missing:
-        def gain(x: int) -> int:
-            return len({(x - c) % modulus for c in cover} & missing | {(c - x) % modulus for c in cover} & missing)
-        best = max(range(modulus), key=lambda x: (gain(x), -x))
-        missing -= {(best - c) % modulus for c in cover} | {(c - best) % modulus for c in cover}
-        cover.append(best)
-    return sorted(cover)
+_LOST = "key binary, n_removed long, n_spans long, kept_sha256 string"
+
+
+def difference_cover(q: int) -> list[int]:
+    """q + 1 places modulo q * q + q + 1 (q prime) whose differences are each residue once: the powers of a generator of
+    the field of q ** 3 elements that lie in a plane."""
+    n = q * q + q + 1
+    for a, b, c in product(range(q), repeat=3):                                 # x ** 3 = a x ** 2 + b x + c
+        places, (s0, s1, s2) = [], (1, 0, 0)
+        for i in range(n):
+            if s2 == 0:
+                places.append(i)
+            s0, s1, s2 = c * s2 % q, (s0 + b * s2) % q, (s1 + a * s2) % q
+        if len(places) == q + 1 and len({(x - y) % n for x in places for y in places}) == n:
+            return places
+    raise ValueError("q must be prime")
 
 
 class WindowHash:
@@ -131,111 +136,26 @@ class Block:
         return tuple(np.concatenate(o or [np.zeros(0, np.uint64)]) for o in out)
 
 
-def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
-    return ((h >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
-
-
-class Names:
-    """A block's distinct names in bucket order: what it sends, and which of its positions an answer marks."""
-
-    def __init__(self, bucket: np.ndarray, name: np.ndarray, buckets: int):
-        order = np.argsort(name, kind="stable")
-        small = bucket.astype(np.uint16) if buckets < 1 << 16 else bucket.astype(np.uint32)
-        order = order[np.argsort(small[order], kind="stable")]
-        b, v = bucket[order], name[order]
-        new = np.ones(len(order), bool)
-        new[1:] = (b[1:] != b[:-1]) | (v[1:] != v[:-1])
-        self.first = np.flatnonzero(new)
-        self.values = v[self.first]
-        self.bounds = np.searchsorted(b[self.first], np.arange(buckets + 1, dtype=b.dtype))
-        self.number = np.empty(len(order), np.int64)            # distinct name of each position
-        self.number[order] = np.cumsum(new) - 1
-        self.twice = np.diff(np.r_[self.first, len(order)]) > 1  # held twice in this very block
-
-    def sent(self):
-        for k in np.flatnonzero(np.diff(self.bounds)):
-            yield int(k), self.values[self.bounds[k]:self.bounds[k + 1]]
-
-    def marked(self, answers: dict[int, bytes]) -> np.ndarray:
-        """Whether each position's name is held elsewhere too."""
-        held = self.twice.copy()
-        for k, bits in answers.items():
-            a, b = self.bounds[k], self.bounds[k + 1]
-            held[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
-        return held[self.number]
-
-
-#: Rows on their way between blocks and buckets: a block's texts (kind 2, key the text's hash), answers (kind 0 for
-#: names, 1 for prefixes, key the bucket), and the candidates a block has noted for itself (kind -1).
-_ROW = "block long, kind int, key binary, body binary"
-_SENT = "bucket long, block long, body binary"
-
-
-def _int_key(k: int) -> bytes:
-    return int(k).to_bytes(8, "big")
-
-
-def _by_block(batches):
-    """``(block, {kind: {key: body}})`` of a partition sorted by block, kind and key; copies of a text fall together."""
-    def rows():
-        for b in batches:
-            columns = [b.column(c) for c in ("block", "kind", "key", "body")]
-            for i in range(b.num_rows):
-                yield tuple(c[i].as_py() for c in columns)
-    for block, group in groupby(rows(), itemgetter(0)):
-        kinds: dict[int, dict[bytes, bytes]] = {-1: {}, 0: {}, 1: {}, 2: {}}
-        for _, kind, key, body in group:
-            kinds[kind][key] = body
-        yield block, kinds
-
-
-def _answers(rows: dict[bytes, bytes]) -> dict[int, bytes]:
-    return {int.from_bytes(k, "big"): v for k, v in rows.items()}
-
-
-def _batch(rows: list[tuple], names: list[str], types: list[pa.DataType]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names)
-
-
-def _send(batches, work):
-    """Runs ``work(block, kinds)`` on each block; its rows go out as bucket, block, body."""
-    for block, kinds in _by_block(batches):
-        rows, size = [], 0
-        for bucket, body in work(kinds):
-            rows.append((bucket, block, body))
-            size += len(body)
-            if size > 4 << 20:
-                yield _batch(rows, ["bucket", "block", "body"], [pa.int64(), pa.int64(), pa.binary()])
-                rows, size = [], 0
-        if rows:
-            yield _batch(rows, ["bucket", "block", "body"], [pa.int64(), pa.int64(), pa.binary()])
-
-
-def _answer(sent: DataFrame, parts: int, width: str, kind: int) -> DataFrame:
-    """One answer for each sent row: a bit a name, set if another row of the bucket holds it too. Notes (negative
-    buckets) pass through under kind -1."""
-    def run(batches):
-        def rows():
-            for b in batches:
-                columns = [b.column(c) for c in ("bucket", "block", "body")]
-                for i in range(b.num_rows):
-                    yield tuple(c[i].as_py() for c in columns)
-        for bucket, group in groupby(rows(), itemgetter(0)):
-            out = []
-            if bucket < 0:
-                out = [(block, -1, b"", body) for _, block, body in group]
-            else:
-                blocks, bodies = zip(*((block, np.frombuffer(body, width)) for _, block, body in group))
-                everything = np.sort(np.concatenate(bodies))
-                twice = everything[1:][everything[1:] == everything[:-1]]       # names are distinct within a block
-                for block, own in zip(blocks, bodies):
-                    if len(twice):
-                        at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
-                        if (hit := twice[at] == own).any():
-                            out.append((block, kind, _int_key(bucket), np.packbits(hit).tobytes()))
-            if out:
-                yield _batch(out, ["block", "kind", "key", "body"], [pa.int64(), pa.int32(), pa.binary(), pa.binary()])
-    return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _ROW)
+def _marked(names: Names, answers: dict[int, bytes]) -> np.ndarray:
+    """Whether each position's name is held elsewhere too."""
+    held = names.twice.copy()
+    for k, bits in answers.items():
+        a, b = names.bounds[k], names.bounds[k + 1]
+        held[a:b] |= np.unpackbits(np.frombuffer(bits, np.uint8), count=b - a).astype(bool)
+    return held[names.number]
+
+
+def _shared(width: str, kind: int):
+    """The answer to a row of names: a bit a name, set if another block's row holds it too."""
+    def work(bucket, blocks, bodies):
+        bodies = [np.frombuffer(body, width) for body in bodies]
+        everything = np.sort(np.concatenate(bodies))
+        twice = everything[1:][everything[1:] == everything[:-1]]               # names are distinct within a block
+        for block, own in zip(blocks, bodies if len(twice) else ()):
+            at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
+            if (hit := twice[at] == own).any():
+                yield block, kind, int_key(bucket), np.packbits(hit).tobytes()
+    return work
 
 
 def _notes(starts: np.ndarray) -> bytes:
@@ -251,83 +171,67 @@ def _noted(body: bytes) -> np.ndarray:
     return np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
-def removals(texts: DataFrame, total_bytes: int, least: int = 200, period: int = PERIOD, seed: int = 42,
+def removals(texts: DataFrame, total_bytes: int, least: int = 200, order: int = ORDER, seed: int = 42,
              block_bytes: int = BLOCK_BYTES, bucket_names: int = BUCKET_NAMES) -> DataFrame:
-    """``key, n_removed, n_spans, kept_sha256`` of the distinct ``texts(key, body)`` that lose any byte to another
+    """``key, n_removed, n_spans, kept_sha256`` of the distinct ``texts(key, body, n)`` that lose any byte to another
     place of the distinct texts."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if period > least - 15:
-        raise ValueError("a period must leave tuples of at least 16 bytes")
-    cover, length = difference_cover(period), least - period + 1
+    cover, period = difference_cover(order), order * order + order + 1
+    length = least - period + 1
+    if length < 16:
+        raise ValueError("the period must leave tuples of at least 16 bytes")
     in_cover = np.isin(np.arange(period), cover)
     blocks = max(1, -(-total_bytes // block_bytes))
     name_buckets = max(4 * parts, total_bytes * len(cover) // period // bucket_names)
     prefix_buckets = max(4 * parts, total_bytes // bucket_names)
 
-    def once(batches):
-        """Copies within a task go no further."""
-        seen: set[bytes] = set()
-        for b in batches:
-            keys = b.column("key").to_pylist()
-            keep = [i for i, k in enumerate(keys) if k not in seen and not seen.add(k)]
-            if keep:
-                yield b.take(pa.array(keep, pa.int32()))
-
-    rows = texts.mapInArrow(once, "key binary, body binary").select(
-        F.pmod(F.xxhash64("key"), F.lit(blocks)).alias("block"), F.lit(2).alias("kind"), "key", "body")
-
-    def dealt(*answers: DataFrame) -> DataFrame:
-        every = rows
-        for a in answers:
-            every = every.unionByName(a)
-        return every.repartition(parts, "block").sortWithinPartitions("block", "kind", "key")
+    rows = text_rows(texts, blocks)
 
     def block_names(block: Block) -> tuple[np.ndarray, Names]:
         at, h = block.sampled(WindowHash(seed), in_cover, length)
-        return at, Names(_bucket(h, name_buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), name_buckets)
+        return at, Names(bucket_of(h, name_buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), name_buckets)
 
     def block_prefixes(block: Block, starts: np.ndarray) -> Names:
         h1, h2 = block.prefixes((WindowHash(seed + 1), WindowHash(seed + 2)), starts, least)
-        return Names(_bucket(h1, prefix_buckets), h2, prefix_buckets)
+        return Names(bucket_of(h1, prefix_buckets), h2, prefix_buckets)
+
+    def packed(names: Names):
+        for bucket, a, b in names.sent():
+            yield bucket, names.values[a:b].tobytes()
 
     def send_names(batches):
-        def work(kinds):
-            block = Block(list(kinds[2].values()))
-            for bucket, values in block_names(block)[1].sent():
-                yield bucket, values.tobytes()
-        yield from _send(batches, work)
+        return send(batches, lambda got: packed(block_names(Block(list(got.texts.values())))[1]))
 
     def send_prefixes(batches):
-        def work(kinds):
-            block = Block(list(kinds[2].values()))
+        def work(got):
+            block = Block(list(got.texts.values()))
             at, names = block_names(block)
-            starts = block.candidates(at[names.marked(_answers(kinds[0]))], period, least)
-            for bucket, values in block_prefixes(block, starts).sent():
-                yield bucket, values.tobytes()
-            yield -1 - int.from_bytes(next(iter(kinds[2]), b"\0")[:2], "big"), _notes(starts)
-        yield from _send(batches, work)
+            starts = block.candidates(at[_marked(names, got.answers.get(0, {}))], period, least)
+            yield from packed(block_prefixes(block, starts))
+            yield -1 - int.from_bytes(next(iter(got.texts))[:2], "big"), _notes(starts)
+        return send(batches, work)
 
     def remove(batches):
-        for _, kinds in _by_block(batches):
-            block, out = Block(list(kinds[2].values())), []
-            starts = _noted(kinds[-1].get(b"", b""))
-            starts = starts[block_prefixes(block, starts).marked(_answers(kinds[1]))] if len(starts) else starts
+        for _, got in by_block(batches):
+            block, out = Block(list(got.texts.values())), []
+            starts = _noted(got.notes)
+            if len(starts):
+                starts = starts[_marked(block_prefixes(block, starts), got.answers.get(1, {}))]
             edge = np.zeros(len(block.data) + 1, np.int32)
             edge[starts] += 1
             edge[starts + least] -= 1
             gone = np.cumsum(edge[:-1]) > 0
-            for key, a, b in zip(kinds[2], block.begins, block.ends):
+            for key, a, b in zip(got.texts, block.begins, block.ends):
                 own = gone[a:b]
                 if own.any():
                     spans = int(own[0]) + int(np.count_nonzero(own[1:] & ~own[:-1]))
                     out.append((key, int(own.sum()), spans, hashlib.sha256(block.data[a:b][~own].tobytes()).hexdigest()))
             if out:
-                yield _batch(out, ["key", "n_removed", "n_spans", "kept_sha256"],
-                             [pa.binary(), pa.int64(), pa.int64(), pa.string()])
+                yield batch(out, _LOST)
 
-    names = cut(_answer(dealt().mapInArrow(send_names, _SENT), parts, "<u4", 0), "names")
-    prefixes = cut(_answer(dealt(names).mapInArrow(send_prefixes, _SENT), parts, "<u8", 1), "prefixes")
-    return dealt(prefixes).mapInArrow(remove, "key binary, n_removed long, n_spans long, kept_sha256 string")
+    names = cut(answered(dealt(parts, rows).mapInArrow(send_names, SENT), parts, _shared("<u4", 0)), "names")
+    prefixes = cut(answered(dealt(parts, rows, names).mapInArrow(send_prefixes, SENT), parts, _shared("<u8", 1)), "prefixes")
+    return dealt(parts, rows, prefixes).mapInArrow(remove, _LOST)
 
 
 def dedup(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: str = "text",
@@ -341,7 +245,7 @@ def dedup(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: s
     long_enough = keyed.where(F.col("n_bytes") >= least)
     total = long_enough.agg(F.sum("n_bytes")).first()[0] or 0
     texts = docs.select(text.alias("t")).where(F.octet_length("t") >= least).select(
-        F.unhex(F.sha2("t", 256)).alias("key"), F.col("t").cast("binary").alias("body"))
+        F.unhex(F.sha2("t", 256)).alias("key"), F.col("t").cast("binary").alias("body"), F.lit(1).cast("long").alias("n"))
     changed = cut(removals(texts, total, least, **options), "removed")
     changed = changed.select(F.lower(F.hex("key")).alias("_sha"), "n_removed", "n_spans", "kept_sha256")
     copied = long_enough.groupBy("sha").count().where("count > 1").select(F.col("sha").alias("_copied"))
