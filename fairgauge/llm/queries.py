@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgauge.llm import (classifier, embedding_caps, mixing, packing, pii, quality_rules, sharding, simhash,
-                           suffix_dedup)
+from fairgauge.llm import (classifier, embedding_caps, mixing, ngram_trie, packing, pii, quality_rules, sharding,
+                           simhash, suffix_dedup)
 from fairgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -73,3 +73,8 @@ def op10_embedding_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op7_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_trie.score(table(spark, sf_dir, "documents"))

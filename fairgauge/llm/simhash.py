@@ -245,18 +245,41 @@ def links(prints: DataFrame, max_bits: int = 2) -> DataFrame:
     return small.unionByName(_group_links(finer, ["outer", "key"], open_bits, max_bits))
 
 
-def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id",
-                    text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per row: ``doc_id, fp`` (the fingerprint as a long), ``component_id`` (the group's smallest id) and ``carry``."""
-    carry = carry or []
+def _prints(docs: DataFrame, words_each: int, seed: int, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """``doc_id, fp, row`` and the carried columns as ``_c0, _c1, ...``, written to the shared folder."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"),
                        *[F.col(c).alias(f"_c{i}") for i, c in enumerate(carry)])
-    rows = cut(fingerprints(rows, words_each, seed, out="fp"), "prints")
+    return cut(fingerprints(rows, words_each, seed, out="fp").withColumn("row", F.monotonically_increasing_id()), "prints")
+
+
+def _components(rows: DataFrame, max_bits: int) -> DataFrame:
+    """``fp, component_id, group`` of the distinct fingerprints of ``rows(doc_id, fp)``; group is a fingerprint."""
     nodes = cut(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     groups = connected_components(cut(links(nodes, max_bits), "links"))
     named = nodes.join(groups, nodes["fp"] == groups["node"], "left") \
         .select("fp", "least", F.coalesce("root", "fp").alias("root"))
     names = cut(named, "named")
     least = names.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = cut(names.join(least, "root").select("fp", "component_id"), "components")
-    return rows.join(of, "fp").select("doc_id", "fp", "component_id", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+    return cut(names.join(least, "root").select("fp", "component_id", F.col("root").alias("group")), "components")
+
+
+def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id",
+                    text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
+    """Per row: ``doc_id, fp`` (the fingerprint as a long), ``component_id`` (the group's smallest id) and ``carry``."""
+    carry = carry or []
+    rows = _prints(docs, words_each, seed, id_col, text_col, carry)
+    return rows.join(_components(rows, max_bits), "fp").select(
+        "doc_id", "fp", "component_id", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+
+
+def representatives(docs: DataFrame, words_each: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """The documents with one row kept of each group: the row of smallest id (null last), and of equal ids the first in
+    the written fingerprint table."""
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), F.col(f"`{id_col}`").alias("id"),
+                         F.col(f"`{text_col}`").alias("body"))
+    rows = _prints(packed, words_each, seed, "id", "body", ["whole"])
+    named = rows.select("doc_id", "fp", "row").join(_components(rows, max_bits), "fp")
+    first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
+    kept = cut(first.select(F.col("least.row").alias("row")), "kept")
+    return rows.join(kept, "row", "left_semi").select("_c0.*")
