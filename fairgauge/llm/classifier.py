@@ -12,7 +12,7 @@ the executors and only these bounded rows reach the driver. Scoring covers every
 Cases: a null or empty text has no features but the intercepts' and is scored like any other; labels that are null or
 without a document are skipped; several labels of one document count each; with no labelled document there is no
 model, and every document is kept with null grades; repeated rows are scored each for itself; an empty table gives an
-empty result; other columns pass through and may have any name but the four result columns."""
+empty result; other columns pass through, and those with a result column's name are replaced."""
 from __future__ import annotations
 
 import re
@@ -125,9 +125,9 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS,
           id_col: str = "doc_id", text_col: str = "text", **options) -> OrdinalModel | None:
     """A model from ``labels(doc_id, grade)`` and the texts of ``docs``; None without labelled documents."""
     order = F.xxhash64("id", F.lit(seed))
-    chosen = (labels.select(F.col("doc_id").alias("id"), F.col("grade").cast("int").alias("g")).dropna()
+    chosen = (labels.select(F.col("doc_id").cast("string").alias("id"), F.col("grade").cast("int").alias("g")).dropna()
               .withColumn("at", order).orderBy("at", "id", "g").limit(max_fit_docs))
-    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("t"))
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t"))
     rows = texts.join(F.broadcast(chosen), "id").select("at", "id", "g", "t")          # at most max_fit_docs rows
 
     def run(batches):
@@ -135,10 +135,11 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS,
         for batch in batches:
             made = [features(x.as_py(), memo) for x in batch.column("t")]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("at"), batch.column("id").cast(pa.int64()), batch.column("g"), pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()),
+                [batch.column("at"), batch.column("id"), batch.column("g"),
+                 pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()),
                  pa.array([v.astype(np.float32).tobytes() for _, v in made], pa.binary())], ["at", "id", "g", "i", "v"])
 
-    got = rows.mapInArrow(run, "at long, id long, g int, i binary, v binary").toArrow()
+    got = rows.mapInArrow(run, "at long, id string, g int, i binary, v binary").toArrow()
     got = got.sort_by([("at", "ascending"), ("id", "ascending"), ("g", "ascending")])
     got = got.slice(0, max_fit_docs)                                                   # repeated ids in docs
     if not got.num_rows:
@@ -150,7 +151,8 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS,
 
 def classify(docs: DataFrame, model: OrdinalModel | None, least_tail: float = 0.5, text_col: str = "text") -> DataFrame:
     """``docs`` with ``score``, ``expected_grade``, ``tail`` (probability of the best grade) and ``kept`` (tail at least
-    ``least_tail``)."""
+    ``least_tail``); columns of ``docs`` with these names are replaced."""
+    docs = docs.drop("score", "expected_grade", "tail", "kept")
     if model is None:
         null = F.lit(None).cast("double")
         return docs.select("*", null.alias("score"), null.alias("expected_grade"), null.alias("tail"), F.lit(True).alias("kept"))

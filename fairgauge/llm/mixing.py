@@ -101,7 +101,8 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
     ``weights(source, weight)`` sets the weights (a source it lacks weighs 0); without it the sources weigh 1, 2, 3,
     repeating, by code point. The narrow projection (id, source, size, hash) is written once; every later step reads
     it, never the texts (unless ``carry`` names them)."""
-    u = F.shiftrightunsigned(F.xxhash64(F.col(id_col), F.col(text_col), F.lit(seed)), 64 - LEVEL_BITS * LEVELS)
+    digest = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col(id_col).cast("string"), F.col(text_col)))
+    u = F.conv(F.substring(digest, 1, LEVEL_BITS * LEVELS // 4), 16, 10).cast("long")
     extra = [F.col(c).alias(f"_c{i}") for i, c in enumerate(carry or [])]
     rows = cut(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
                            word_count(F.col(text_col)).alias("size"), u.alias("u"), *extra), "sized")
