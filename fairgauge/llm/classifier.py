@@ -80,9 +80,10 @@ class OrdinalModel:
         return float((self.weights[idx] * val).sum())
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = 3, l2: float = 3e-5,
+def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades: int = 3, penalty: float = 0.1,
         steps: int = 150, rate: float = 0.3, least_docs: int = 3) -> OrdinalModel:
-    """Maximum likelihood over rows of (feature numbers, values); features of fewer than ``least_docs`` rows weigh 0."""
+    """Penalised maximum likelihood over rows of (feature numbers, values); ``penalty`` is the weights' prior, shared by all
+    rows; features of fewer than ``least_docs`` rows weigh 0."""
     idx = np.concatenate([i for i, _ in rows])
     val = np.concatenate([v for _, v in rows])
     seg = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
@@ -91,6 +92,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     names = np.flatnonzero(used)
     idx, val, seg = np.searchsorted(names, idx[keep]), val[keep], seg[keep]
     n, m = len(rows), len(names)
+    l2 = penalty / n
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 0.01, 0.99)
     theta = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
     x, mom, sq = np.concatenate([np.zeros(m), theta]), 0.0, 0.0

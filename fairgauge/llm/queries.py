@@ -78,3 +78,52 @@ def op7_suffix_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 @_query
 def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(table(spark, sf_dir, "documents"))
+
+
+_WORD = r"[^\x20\x09-\x0D]+"
+
+ORACLE["op6_line_frequency"] = rf"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, source, coalesce(text, '') AS t,
+                  regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w,
+                  list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS l FROM documents),
+wi AS (SELECT r, generate_subscripts(w, 1) AS i, unnest(w) AS a FROM d),
+win AS (SELECT r, i, a, lead(a, 1) OVER o AS b, lead(a, 2) OVER o AS c FROM wi WINDOW o AS (PARTITION BY r ORDER BY i)),
+rep AS (SELECT r, i FROM win WHERE c IS NOT NULL QUALIFY count(*) OVER (PARTITION BY r, a, b, c) > 1),
+cov AS (SELECT r, count(DISTINCT i + k) AS n FROM rep, (VALUES (0), (1), (2)) AS o(k) GROUP BY r),
+li AS (SELECT r, source, md5(t) AS m, unnest(l) AS x FROM d),
+ln AS (SELECT r, source, m, len(regexp_extract_all(x, '{_WORD}')) AS n,
+              translate(trim(regexp_replace(x, '[\x20\x09-\x0D]+', ' ', 'g'), ' '), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS h FROM li),
+fr AS (SELECT source, h FROM ln GROUP BY source, h HAVING count(DISTINCT m) > {quality_rules.MAX_DOCS}),
+lost AS (SELECT r, sum(n) AS n FROM ln JOIN fr ON ln.source IS NOT DISTINCT FROM fr.source AND ln.h = fr.h GROUP BY r),
+f AS (SELECT doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars,
+             length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines,
+             coalesce(cov.n, 0) AS n_repeat_words, coalesce(lost.n, 0)::BIGINT AS lost_words
+      FROM d LEFT JOIN cov USING (r) LEFT JOIN lost USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
+       (NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND lost_words <= n_words * {quality_rules.MAX_LOST}) AS kept,
+       lost_words
+FROM f
+"""
+
+ORACLE["op2_mix_capped"] = rf"""
+WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+                  ('0x' || substr(md5(concat_ws('|', '42', doc_id::VARCHAR, text)), 1, 15))::BIGINT AS u FROM documents),
+s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
+w AS (SELECT *, 1 + (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 AS weight FROM s),
+-- Sources by the level at which they reach their ceiling; the first k are clamped, for the least k that leaves none above.
+o AS (SELECT *, 3.0 * source_size / weight AS reach, row_number() OVER (ORDER BY 3.0 * source_size / weight, source NULLS LAST) AS k,
+             (SELECT sum(source_size) FROM s) AS total FROM w),
+c AS (SELECT *, coalesce(sum(3.0 * source_size) OVER (ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS fixed,
+             sum(weight) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS free FROM o),
+lv AS (SELECT min_by((total - fixed) / free, k) AS level FROM c WHERE reach > (total - fixed) / free),
+g AS (SELECT source, source_size, CASE WHEN reach <= level THEN 3.0 * source_size ELSE weight * level END::DOUBLE AS target FROM o, lv),
+e AS (SELECT *, CASE WHEN source_size = 0 THEN 0 ELSE floor(least(3.0, target / source_size)) END AS whole FROM g),
+r AS (SELECT d.*, source_size, target, whole, target - whole * source_size AS rest,
+             sum(size) OVER (PARTITION BY d.source ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before
+      FROM d JOIN e ON d.source IS NOT DISTINCT FROM e.source)
+SELECT doc_id, size, source_size, target,
+       (size * (whole + CASE WHEN rest <= 0 THEN 0 WHEN coalesce(before, 0) + size <= rest THEN 1
+                             WHEN coalesce(before, 0) <= rest AND rest - coalesce(before, 0) >= 0.5 * size THEN 1 ELSE 0 END))::BIGINT AS taken
+FROM r
+"""
