@@ -1,8 +1,8 @@
 """Quality classifier: ordinal cumulative-link regression on graded ratings.
 
 Grades are ordered (here 0 toxic, 1 poor, 2 good). A text has hashed features, shared by all grades: its words (edge
-punctuation dropped, lower case) weighted by the root of their share of the text, at least ``PRESENCE``, the shapes of
-its tokens (case, trailing marks) and how much repeats. One score, the weighted sum, meets ordered thresholds:
+punctuation dropped, lower case), their first letters, the shapes of its tokens (case, trailing marks) and how much
+repeats, each valued by the root of its share of the text. One score, the weighted sum, meets ordered thresholds:
 P(grade <= k) = logistic(threshold_k - score). The expected grade ranks texts, a tail probability selects them.
 
 The fit is maximum likelihood with an L2 penalty (Adam, fixed steps, no randomness). It uses at most ``max_fit_docs``
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from operator import eq
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,10 @@ from pyspark.sql import functions as F
 from fairgauge.llm.common import SPACES
 
 DIM = 1 << 18
-PRESENCE = 0.2
+PREFIXES = (4, 5)
+#: Numbers beyond the hashed features: no prefix, repeated neighbours, repeated words.
+NONE = DIM
+SIZE = DIM + 3
 MEMO_ENTRIES = 300_000
 #: Bound of the sample of labelled documents that the fit sees.
 MAX_FIT_DOCS = 10_000
@@ -35,12 +39,15 @@ _SPLIT = re.compile(SPACES)
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 
 
-def _token_features(token: str) -> tuple[int, int]:
+def _token_features(token: str) -> tuple[int, ...]:
+    """A token's feature in each family: word, shape and one for each prefix length (``NONE`` if it is shorter)."""
     import xxhash
     core = _EDGES.sub("", token)
     case = "U" if len(core) > 1 and core.isupper() else "C" if core[:1].isupper() else "l" if core else "0"
     tail = token[len(core):] if token.startswith(core) else token
-    return (xxhash.xxh64_intdigest("w:" + core.lower()) % DIM, xxhash.xxh64_intdigest("s:" + case + tail[-3:]) % DIM)
+    low = core.lower()
+    names = [f"w:{low}", f"s:{case}{tail[-3:]}"] + [f"p{k}:{low[:k]}" if len(low) >= k else "" for k in PREFIXES]
+    return tuple(xxhash.xxh64_intdigest(x) % DIM if x else NONE for x in names)
 
 
 def features(text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -50,25 +57,28 @@ def features(text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     counts = Counter(words)
     if len(memo) > MEMO_ENTRIES:
         memo.clear()
-    pairs = []
+    rows = []
     for token in counts:
         found = memo.get(token)
         if found is None:
             found = memo[token] = _token_features(token)
-        pairs.append(found)
-    both = np.array(pairs, np.int64).reshape(-1, 2)
+        rows.append(found)
+    families = np.array(rows, np.int64).reshape(-1, 2 + len(PREFIXES))
     share = np.fromiter(counts.values(), np.float64, len(counts)) / n
-    shapes, inverse = np.unique(both[:, 1], return_inverse=True)
-    repeats = sum(a == b for a, b in zip(words, words[1:])) / n
-    idx = np.concatenate([both[:, 0], shapes, [DIM, DIM + 1]])
-    val = np.concatenate([np.maximum(np.sqrt(share), PRESENCE), np.sqrt(np.bincount(inverse, share, len(shapes))),
-                          [np.sqrt(repeats), np.sqrt(1 - len(counts) / n)]])
-    return idx, val
+    idx, val = [families[:, 0]], [share]
+    for k in range(1, families.shape[1]):
+        names, inverse = np.unique(families[:, k], return_inverse=True)
+        idx.append(names)
+        val.append(np.bincount(inverse, share, len(names)))
+    repeats = sum(map(eq, words, words[1:])) / n
+    idx.append(np.array([NONE + 1, NONE + 2]))
+    val.append(np.array([repeats, 1 - len(counts) / n]))
+    return np.concatenate(idx), np.sqrt(np.concatenate(val))
 
 
 @dataclass
 class OrdinalModel:
-    weights: np.ndarray        # DIM + 2 values
+    weights: np.ndarray        # ``SIZE`` values
     thresholds: np.ndarray     # grades - 1 values, ascending
 
     def below(self, score: np.ndarray) -> np.ndarray:
@@ -87,7 +97,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     idx = np.concatenate([i for i, _ in rows])
     val = np.concatenate([v for _, v in rows])
     seg = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
-    used = np.bincount(idx, minlength=DIM + 2) >= least_docs
+    used = np.bincount(idx, minlength=SIZE) >= least_docs
     keep = used[idx]
     names = np.flatnonzero(used)
     idx, val, seg = np.searchsorted(names, idx[keep]), val[keep], seg[keep]
@@ -113,7 +123,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         mom, sq = 0.9 * mom + 0.1 * g, 0.999 * sq + 0.001 * g * g
         x = x - rate * (mom / (1 - 0.9 ** k)) / (np.sqrt(sq / (1 - 0.999 ** k)) + 1e-8)
         x[m:] = np.maximum.accumulate(x[m:] + 0.0)
-    weights = np.zeros(DIM + 2)
+    weights = np.zeros(SIZE)
     weights[names] = x[:m]
     return OrdinalModel(weights, x[m:] + 1e-9 * np.arange(n_grades - 1))
 
