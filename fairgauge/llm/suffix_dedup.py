@@ -248,7 +248,7 @@ def dedup(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: s
         F.unhex(F.sha2("t", 256)).alias("key"), F.col("t").cast("binary").alias("body"), F.lit(1).cast("long").alias("n"))
     changed = cut(removals(texts, total, least, **options), "removed")
     changed = changed.select(F.lower(F.hex("key")).alias("_sha"), "n_removed", "n_spans", "kept_sha256")
-    copied = long_enough.groupBy("sha").count().where("count > 1").select(F.col("sha").alias("_copied"))
+    copied = cut(long_enough.groupBy("sha").count().where("count > 1").select(F.col("sha").alias("_copied")), "copied")
     found = keyed.join(changed, keyed["sha"] == changed["_sha"], "left")
     found = found.join(copied, found["sha"] == copied["_copied"], "left")
     whole, none = F.col("_copied").isNotNull(), F.col("n_removed").isNull()
