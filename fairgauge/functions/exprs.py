@@ -8,7 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 __all__ = [
-    "col_of", "blank_to_null", "safe_div", "floor_at", "predict_at", "psi_status",
+    "col_of", "blank_to_null", "nan_to_null", "safe_div", "floor_at", "predict_at", "psi_status",
     "quality_status", "score_risk_band", "run_risk_band", "run_risk_colour",
     "humanize", "rule_key", "now_text", "fmt", "clip_lower", "pct_of_limit",
     "lookup", "derived_charge", "r6", "to_num", "key_hash", "verdict_of",
@@ -34,6 +34,12 @@ def blank_to_null(c) -> Column:
     return F.when(~c.rlike(BLANK_PATTERN), c)
 
 
+def nan_to_null(c) -> Column:
+    """NaN counts as missing, like null."""
+    c = col_of(c)
+    return F.when(~F.isnan(c), c)
+
+
 def safe_div(num, den) -> Column:
     """H7: ratio with 0 for a zero (or null) denominator, as DOUBLE."""
     return F.coalesce(F.try_divide(col_of(num).cast("double"), col_of(den).cast("double")), F.lit(0.0))

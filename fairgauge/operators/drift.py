@@ -47,16 +47,13 @@ def decile_edges(base_long: DataFrame, bins: int = 10) -> DataFrame:
                     F.when(F.size(e) >= 2, F.slice(e, 2, F.size(e) - 2)).alias("inner"))
 
 
-MAX_INNER_EDGES = 64
-
-
-def bin_index(v: str = "v", inner: str = "inner", max_edges: int | None = None) -> F.Column:
-    """Bin of a value: number of inner edges strictly below it (bins closed on
-    the right).  Written as a sum of comparisons (not a lambda), so it stays in
-    whole-stage codegen; ``element_at`` past the end is null and counts 0."""
-    n = max_edges or MAX_INNER_EDGES
+def bin_index(bins: int, v: str = "v", inner: str = "inner") -> F.Column:
+    """Bin of a value among ``bins`` bins: number of inner edges (at most bins - 1)
+    strictly below it (bins closed on the right).  Written as a sum of
+    comparisons (not a lambda), so it stays in whole-stage codegen;
+    ``element_at`` past the end is null and counts 0."""
     x = F.col(v)
-    terms = [F.coalesce((x > F.try_element_at(F.col(inner), F.lit(i))).cast("int"), F.lit(0)) for i in range(1, n + 1)]
+    terms = [F.coalesce((x > F.try_element_at(F.col(inner), F.lit(i))).cast("int"), F.lit(0)) for i in range(1, max(bins, 2))]
     return sum(terms[1:], terms[0])
 
 
@@ -97,7 +94,7 @@ def numeric_psi(base_long: DataFrame, comp_long: DataFrame, bins: int = 10,
     tagged = base_long.select("feature", "v", F.lit(True).alias("_b")).unionByName(
         comp_long.select("feature", "v", F.lit(False).alias("_b")))
     binned = tagged.join(F.broadcast(edges), "feature", "inner").select(
-        "feature", bin_index(max_edges=max(bins - 1, 1)).alias("cls"), "_b")
+        "feature", bin_index(bins).alias("cls"), "_b")
     counts = binned.groupBy("feature", "cls").agg(F.count_if("_b").alias("nb"), F.count_if(~F.col("_b")).alias("nc"))
     psi = _psi_from_counts(counts)
     if features is not None:

@@ -121,22 +121,14 @@ def _row_contributions_vector(df, coefficients, sources, numeric, features, out)
     return df.withColumn(out, _drop_missing(items, "name", "label", "contribution"))
 
 
-def top_factors(factors: str = "factors", n_items: int | None = None) -> tuple[F.Column, F.Column]:
+def top_factors(factors: str = "factors") -> tuple[F.Column, F.Column]:
     """up to three contributions > 0.01 (descending) and three < -0.01
-    (ascending).  Built from ``sort_array`` over (contribution, name) pairs and
-    ``array_remove`` of a sentinel -- no lambdas."""
-    f = F.col(factors)
-    k = n_items if n_items is not None else 64
-    pos_items, neg_items = [], []
-    for i in range(1, k + 1):
-        e = F.try_element_at(f, F.lit(i))
-        key = F.struct(e["contribution"].alias("contribution"), e["name"].alias("name"), e["label"].alias("label"))
-        pos_items.append(F.when(e["contribution"] > FACTOR_MIN, key))
-        neg_items.append(F.when(e["contribution"] < -FACTOR_MIN, key))
-    cols = ("contribution", "name", "label")
-    up = F.slice(F.sort_array(_drop_missing(pos_items, *cols), asc=False), 1, FACTORS_PER_SIDE)
-    down = F.slice(F.sort_array(_drop_missing(neg_items, *cols), asc=True), 1, FACTORS_PER_SIDE)
-    return up, down
+    (ascending), over all factors of the row."""
+    key = F.transform(F.col(factors), lambda e: F.struct(e["contribution"].alias("contribution"), e["name"].alias("name"),
+                                                         e["label"].alias("label")))
+    up = F.filter(key, lambda e: e["contribution"] > FACTOR_MIN)
+    down = F.filter(key, lambda e: e["contribution"] < -FACTOR_MIN)
+    return (F.slice(F.sort_array(up, asc=False), 1, FACTORS_PER_SIDE), F.slice(F.sort_array(down, asc=True), 1, FACTORS_PER_SIDE))
 
 
 def feature_means(df: DataFrame, features: str = "features") -> list[float]:

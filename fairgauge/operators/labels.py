@@ -9,7 +9,7 @@ from fairgauge.functions import col_of
 
 def class_values(df: DataFrame, target: str) -> DataFrame:
     """Candidate classes as sorted text, nulls dropped (one row per class)."""
-    return (df.select(F.col(target).cast("string").alias("class_value"))
+    return (df.select(F.col(f"`{target}`").cast("string").alias("class_value"))
             .where(F.col("class_value").isNotNull()).distinct())
 
 
@@ -28,47 +28,43 @@ def binary_label(df: DataFrame, target: str, wanted: str | None = None, out: str
                  null_label: str = "negative") -> DataFrame:
     """1 for the positive class, else 0.  Text comparison as the reference.
     ``null_label='negative'`` keeps nulls as 0 (parity); ``'drop'`` removes them."""
-    pc = positive_class(df, target, wanted).select("pos")
-    t = F.col(target).cast("string")
+    pc = positive_class(df, target, wanted).select(F.col("pos").alias("_pos"))
+    t = F.col(f"`{target}`").cast("string")
     from fairgauge.operators.joins import attach_row
     res = (attach_row(df, pc)
-           .withColumn(out, F.when(t == F.col("pos"), 1.0).otherwise(0.0)).drop("pos"))
+           .withColumn(out, F.when(t == F.col("_pos"), 1.0).otherwise(0.0)).drop("_pos"))
     if null_label == "drop":
-        res = res.where(F.col(target).isNotNull())
+        res = res.where(F.col(f"`{target}`").isNotNull())
     return res
 
 
-# Largest number of classes coded through a literal map (the class list is
-# the label vocabulary and is gathered once, like a fitted StringIndexer).
-MAX_CLASSES = 100_000
+def class_codes(df: DataFrame, target: str) -> DataFrame:
+    """(_class, _code): the classes in sorted order (numbers as numbers, text as
+    text) with their positions, by a distributed sort of the distinct values."""
+    from fairgauge.operators.joins import number_rows
+    classes = df.select(F.col(f"`{target}`").alias("_class")).where(F.col("_class").isNotNull()).distinct()
+    return number_rows(classes, [F.col("_class")], "_code").select("_class", F.col("_code").cast("int").alias("_code"))
 
 
-def sorted_classes(df: DataFrame, target: str) -> list:
-    """Distinct non-null class values in sorted order (numbers as numbers, text
-    as text).  Bounded: more than ``MAX_CLASSES`` classes is an error."""
-    vals = (df.select(F.col(target).alias("_cv")).where(F.col("_cv").isNotNull()).distinct()
-            .limit(MAX_CLASSES + 1).collect())
-    if len(vals) > MAX_CLASSES:
-        raise ValueError(f"{target} has more than {MAX_CLASSES} classes; treat it as a regression target")
-    return sorted(r["_cv"] for r in vals)
+def multiclass_codes(df: DataFrame, target: str, out: str = "label", null_label: str = "code") -> DataFrame:
+    """code = position of the class in sorted order, joined by value (the
+    planner broadcasts a small class table).  ``null_label='code'`` gives null
+    the code -1 (parity); ``'drop'`` removes such rows."""
+    codes = class_codes(df, target)
+    coded = df.join(codes, df[f"`{target}`"] == codes["_class"], "left")
+    coded = coded.withColumn(out, F.coalesce("_code", F.lit(-1)).cast("int")).drop("_class", "_code")
+    return coded.where(F.col(f"`{target}`").isNotNull()) if null_label == "drop" else coded
 
 
-def multiclass_codes(df: DataFrame, target: str, out: str = "label") -> DataFrame:
-    """code = position of the class in sorted order; null -> -1.  The
-    codes are a literal map, so coding is a narrow projection (no join, no
-    single-partition window)."""
-    classes = sorted_classes(df, target)
-    if not classes:
-        return df.withColumn(out, F.lit(-1).cast("int"))
-    m = F.create_map(*[x for i, c in enumerate(classes) for x in (F.lit(c), F.lit(i))])
-    return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(target)), F.lit(-1)).cast("int"))
-
-
-def regression_label(df: DataFrame, target: str, out: str = "label") -> DataFrame:
-    """Non-numbers become null, nulls become the exact median (one scalable
-    quantile job, joined back as a one-row broadcast)."""
+def regression_label(df: DataFrame, target: str, out: str = "label", null_label: str = "median") -> DataFrame:
+    """Non-numbers and NaN become null, nulls become the exact median (one
+    scalable quantile job, joined back as a one-row broadcast), or are removed
+    with ``null_label='drop'``."""
+    from fairgauge.functions import nan_to_null
     from fairgauge.operators.quantiles import exact_median
-    num = df.withColumn(out, F.col(target).cast("string").try_cast("double"))
+    num = df.withColumn(out, nan_to_null(F.col(f"`{target}`").cast("string").try_cast("double")))
+    if null_label == "drop":
+        return num.where(F.col(out).isNotNull())
     med = exact_median(num, out).select(F.col("median").alias("_med"))
     from fairgauge.operators.joins import attach_row
     return (attach_row(num, med)

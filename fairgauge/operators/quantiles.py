@@ -1,23 +1,24 @@
-"""Exact, linearly interpolated quantiles that scale with the data.
-
-``percentile`` keeps a map of every distinct value of a group in one
-aggregation buffer, so a continuous column of a 100 TB table would land in a
-single task.  Here the work is split instead:
-
-1. value histogram ``(by, v, cnt)``: one row per distinct value, built with a
-   partial (map-side) aggregate, so a hot value holding a third of the rows is
-   a single row before the shuffle;
-2. the distinct values are cut into ``buckets`` ranges per group by
-   ``percentile_approx`` over the histogram (bounded sketch memory);
-3. per-bucket totals (groups x buckets rows) give each bucket's rank offset;
-4. a window over ``(by, bucket)`` gives every distinct value its rank range;
-5. the wanted ranks (groups x probabilities x 2 rows, broadcast) are joined by
-   range and the two neighbours interpolated.
-
-Nothing is collected to the driver and no group is sent whole to one task.
+"""Exact order statistics and linearly interpolated quantiles, one path for any size.
+
+A prefix search finds the wanted ranks without sorting and without bringing a
+group's rows or distinct values together:
+
+1. rows are counted by (group, cell), a cell being a monotone function of the
+   value (its sign and binary logarithm in 64 steps an octave), each cell with
+   its least and greatest value -- a partial aggregate, so a hot value or group
+   collapses before the shuffle;
+2. a running count over a group's cells finds the cell of every wanted rank;
+3. that cell's range, least to greatest, is cut into 4096 equal cells and the
+   step repeats on the rows inside, until every wanted cell holds one value.
+
+Each step narrows a range at least 4096-fold and ends when least and greatest
+meet, so six steps settle any doubles (typically three).  A step reads one
+narrow projection; its state (groups x wanted ranks) is written to the shared
+checkpoint folder, and the driver only learns whether any rank is open.
+Groups match null-safely: a null group is a group.
+
 Ranks follow the usual definition: position = p * (n - 1), value = lo +
-(hi - lo) * frac (the same as ``quantile_cont`` and pandas ``quantile``).
-"""
+(hi - lo) * frac (the same as ``quantile_cont`` and pandas ``quantile``)."""
 from __future__ import annotations
 
 from collections.abc import Sequence
@@ -25,173 +26,113 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fairgauge.operators.joins import expand
+from fairgauge.session import cut_lineage
 
-def _buckets(df: DataFrame) -> int:
-    try:
-        return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    except Exception:  # pragma: no cover
-        return 8
+CELLS = 4096
+OCTAVE_STEPS = 64
 
 
-def value_histogram(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., v, cnt): counts per distinct non-null, non-NaN value."""
-    v = F.col(value).cast("double")
-    return (df.select(*by, v.alias("v"))
-            .where(F.col("v").isNotNull() & ~F.isnan("v"))
-            .groupBy(*by, "v").agg(F.count(F.lit(1)).alias("cnt")))
+def _first_cell(kind: str) -> F.Column:
+    """A monotone cell of ``v``: sign and logarithm for doubles, the upper bits of non-negative longs."""
+    if kind == "long":
+        return F.shiftright("v", 48)
+    size = F.floor(F.log2(F.least(F.abs(F.col("v")), F.lit(1.7e308))) * OCTAVE_STEPS) + 1100 * OCTAVE_STEPS
+    inf = F.when(F.abs(F.col("v")) == float("inf"), 1).otherwise(0)       # infinities lie beyond every number
+    return F.when(F.col("v") == 0, F.lit(0).cast("long")).otherwise(F.signum("v").cast("long") * (size + inf))
 
 
-def bucketed_histogram(hist: DataFrame, by: Sequence[str] = (), buckets: int | None = None):
-    """Returns (hist with ``_bucket``, bucket table ``(by, _bucket, _off, _btot, n)``).
+def _sub_cell(kind: str) -> F.Column:
+    """A value's cell among ``CELLS`` equal ones of its range [lo, hi]; lo falls in the first, hi in the last."""
+    if kind == "long":
+        return F.expr(f"(v - lo) div ((hi - lo) div {CELLS} + 1)")
+    part = F.floor((F.col("v") - F.col("lo")) / (F.col("hi") - F.col("lo")) * CELLS)
+    return F.least(part, F.lit(CELLS - 1))
 
-    Buckets are ranges of distinct values cut by ``percentile_approx`` over the
-    histogram, so they hold about the same number of distinct values.  The
-    bucket table has groups x buckets rows."""
-    by = list(by)
-    nb = buckets or _buckets(hist)
-    probs = [i / nb for i in range(1, nb)]
-    acc = max(10000, 10 * nb)       # sketch resolution finer than the buckets
-    if probs:
-        bounds = hist.groupBy(*by).agg(F.percentile_approx("v", probs, acc).alias("_bounds")) if by \
-            else hist.agg(F.percentile_approx("v", probs, acc).alias("_bounds"))
-        from fairgauge.operators.joins import attach_row
-        with_b = hist.join(F.broadcast(bounds), by, "inner") if by else attach_row(hist, bounds)
-        with_b = with_b.withColumn("_bucket", F.size(F.filter("_bounds", lambda b: F.col("v") > b))).drop("_bounds")
-    else:
-        with_b = hist.withColumn("_bucket", F.lit(0))
-    tot = with_b.groupBy(*by, "_bucket").agg(F.sum("cnt").alias("_btot"))
-    w_off = Window.partitionBy(*by).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    w_all = Window.partitionBy(*by)
-    tot = (tot.withColumn("_off", F.coalesce(F.sum("_btot").over(w_off), F.lit(0)))
-              .withColumn("n", F.sum("_btot").over(w_all)))
-    return with_b, tot
-
-
-def rank_select(df: DataFrame, value: str, targets: DataFrame, by: Sequence[str] = (),
-                buckets: int | None = None) -> DataFrame:
-    """Exact order statistics: for each row of ``targets`` (by..., rank, any
-    payload columns) the value whose 0-based rank in its group is ``rank``.
-
-    Only the buckets that contain a wanted rank are ranked by a window, so the
-    sort work is a few buckets, not the table."""
-    by = list(by)
-    hist = value_histogram(df, value, by)
-    with_b, tot = bucketed_histogram(hist, by, buckets)
-    # which bucket holds each wanted rank (small x small)
-    t = targets.alias("t")
-    b = tot.alias("b")
-    cond = [(F.col("t.rank") >= F.col("b._off")) & (F.col("t.rank") < F.col("b._off") + F.col("b._btot"))]
-    cond += [F.col(f"t.{k}").eqNullSafe(F.col(f"b.{k}")) for k in by]
-    tb = t.join(F.broadcast(b), cond, "inner").select("t.*", "b._bucket", "b._off")
-    keep = tb.select(*by, "_bucket", "_off").distinct()
-    sub = with_b.join(F.broadcast(keep), by + ["_bucket"], "inner")
-    w_in = Window.partitionBy(*by, "_bucket").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = sub.withColumn("r0", F.col("_off") + F.coalesce(F.sum("cnt").over(w_in), F.lit(0)))
-    h = ranked.alias("h")
-    tt = tb.drop("_off").alias("tt")
-    cond2 = [F.col("tt._bucket") == F.col("h._bucket"),
-             (F.col("tt.rank") >= F.col("h.r0")) & (F.col("tt.rank") < F.col("h.r0") + F.col("h.cnt"))]
-    cond2 += [F.col(f"tt.{k}").eqNullSafe(F.col(f"h.{k}")) for k in by]
-    return h.join(F.broadcast(tt), cond2, "inner").select("tt.*", F.col("h.v").alias("value")).drop("_bucket")
-
-
-def group_sizes(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., n) non-null, non-NaN values per group (one partial aggregate)."""
-    v = F.col(value).cast("double")
-    ok = df.where(v.isNotNull() & ~F.isnan(v))
-    return ok.groupBy(*by).agg(F.count(F.lit(1)).alias("n")) if by else ok.agg(F.count(F.lit(1)).alias("n"))
 
+def _on(left: DataFrame, right: DataFrame, keys: Sequence[str], extra: list) -> list:
+    return [left[k].eqNullSafe(right[f"_r{k}"]) for k in keys] + extra
 
-# Largest number of distinct values per group for which the single-aggregate
-# ``percentile`` path is used; its buffer holds one entry per distinct value.
-AGGREGATE_PATH_MAX_DISTINCT = 1_000_000
 
+def _renamed(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return df.select(*[F.col(c).alias(f"_r{c}") if c in keys else F.col(c) for c in df.columns])
 
-# Distinct values per bucket aimed at by the distributed path: the only
-# window of that path ranks one bucket, so this bounds its task.
-DISTINCT_PER_BUCKET = 100_000
-# Bucket assignment compares a value with every bound, so the bound count is
-# capped; beyond 4096 x 100,000 distinct values per group the ranked bucket
-# grows past the target size (a prefix search is the planned next step).
-MAX_BUCKETS = 4096
 
+def _match(left: DataFrame, right: DataFrame, keys: Sequence[str], extra: list) -> DataFrame:
+    """Inner join on null-safe keys and ``extra`` conditions.  Without keys the
+    right side is one row a wanted rank, and is broadcast."""
+    right = right if keys else F.broadcast(right)
+    return left.join(right, _on(left, right, keys, extra), "inner").drop(*[f"_r{k}" for k in keys])
 
-def _max_distinct(df: DataFrame, value: str, by: Sequence[str]) -> int:
-    """Size check: largest HyperLogLog distinct count over the groups (one cheap
-    pass, a groups-sized result)."""
-    v = F.col(value).cast("double")
-    ok = df.where(v.isNotNull() & ~F.isnan(v))
-    agg = F.approx_count_distinct(v, 0.01).alias("d")
-    d = ok.groupBy(*by).agg(agg) if by else ok.agg(agg)
-    return d.agg(F.max("d")).collect()[0][0] or 0
 
+def _running(cells: DataFrame, keys: list[str]) -> DataFrame:
+    """``off``: rows in the lower cells of the same range (at most a few thousand cells a range)."""
+    w = Window.partitionBy(*keys).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    return cells.withColumn("off", F.col("start") + F.coalesce(F.sum("n").over(w), F.lit(0)))
 
-def _aggregate_path_ok(mx: int) -> bool:
-    """HLL++ has about 1% relative error, so the bound is applied with a 5% margin."""
-    return mx * 1.05 <= AGGREGATE_PATH_MAX_DISTINCT
 
+def order_statistics(rows: DataFrame, targets, keys: Sequence[str], kind: str = "double") -> DataFrame:
+    """The values at wanted ranks of ``rows(keys..., v)``.
 
-def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                    buckets: int | None = None, method: str = "auto") -> DataFrame:
-    """One row per (by..., q_idx) with ``q`` (the probability) and ``q_value``.
-
-    ``method='aggregate'`` uses the exact ``percentile`` aggregate (bounded by the
-    distinct values of a group); ``'distributed'`` uses the histogram/rank plan
-    that never holds a group in one task; ``'auto'`` picks the aggregate only
-    after checking that every group is small enough.  Groups without a value
-    produce no rows."""
-    by = list(by)
-    if method == "auto":
-        mx = _max_distinct(df, value, by)
-        method = "aggregate" if _aggregate_path_ok(mx) else "distributed"
-        if method == "distributed" and buckets is None:
-            buckets = min(MAX_BUCKETS, max(_buckets(df), -(-int(mx * 1.05) // DISTINCT_PER_BUCKET)))
-    if method == "aggregate":
-        return _quantiles_aggregate(df, value, probs, by)
-    return _quantiles_distributed(df, value, probs, by, buckets)
+    ``targets(totals)`` turns (keys..., total) into (keys..., payload..., rank);
+    the result has those columns, ``value`` and its rank range: ``off`` rows
+    are smaller and ``n`` are equal."""
+    keys = list(keys)
+    found = [F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+    cells = cut_lineage(rows.groupBy(*keys, _first_cell(kind).alias("cell")).agg(*found))
+    totals = cells.groupBy(*keys).agg(F.sum("n").alias("total")) if keys else \
+        cells.agg(F.sum("n").alias("total")).where(F.col("total").isNotNull())
+    wanted = targets(totals)
+    payload = [c for c in wanted.columns]
+    placed = _renamed(_running(cells.withColumn("start", F.lit(0).cast("long")), keys).drop("start", "cell"), keys)
+    state = cut_lineage(_match(wanted, placed, keys, [F.col("rank") >= F.col("off"), F.col("rank") < F.col("off") + F.col("n")]))
+    while not state.where("lo < hi").isEmpty():
+        still = state.where("lo < hi")
+        ranges = _renamed(still.select(*keys, "lo", "hi", F.col("off").alias("start")).distinct(), keys)
+        inside = _match(rows, ranges, keys, [F.col("v") >= F.col("lo"), F.col("v") <= F.col("hi")])
+        cells = inside.groupBy(*keys, F.col("lo").alias("_rlo"), F.col("hi").alias("_rhi"), "start", _sub_cell(kind).alias("cell")).agg(*found)
+        placed = _renamed(_running(cells, [*keys, "_rlo", "_rhi", "start"]).drop("start", "cell"), keys)
+        left = still.drop("off", "n").withColumnRenamed("lo", "_lo").withColumnRenamed("hi", "_hi")
+        next_ = _match(left, placed, keys, [F.col("_lo") == F.col("_rlo"), F.col("_hi") == F.col("_rhi"),
+                                            F.col("rank") >= F.col("off"), F.col("rank") < F.col("off") + F.col("n")])
+        state = cut_lineage(state.where("lo >= hi").unionByName(next_.select(*state.columns)))
+    return state.select(*payload, F.col("lo").alias("value"), "off", "n")
 
 
-def _quantiles_aggregate(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str]) -> DataFrame:
+def _values(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
     v = F.col(value).cast("double")
-    ok = df.where(v.isNotNull() & ~F.isnan(v)).select(*by, v.alias("_v"))
-    agg = F.percentile("_v", [float(p) for p in probs]).alias("_q")
-    q = ok.groupBy(*by).agg(agg) if by else ok.agg(agg).where(F.col("_q").isNotNull())
-    pr = F.array(*[F.lit(float(p)) for p in probs])
-    return q.select(*by, F.posexplode(F.arrays_zip(pr.alias("q"), F.col("_q").alias("q_value"))).alias("q_idx", "z")) \
-        .select(*by, "q_idx", "z.q", "z.q_value")
+    return df.select(*by, (v + F.lit(0.0)).alias("v")).where(F.col("v").isNotNull() & ~F.isnan("v"))
 
 
-def _quantiles_distributed(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                           buckets: int | None = None) -> DataFrame:
+def exact_quantiles(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
+    """One row per (by..., q_idx) with ``q`` (the probability) and ``q_value``.
+    Null and NaN values are skipped; groups without a value produce no rows."""
     by = list(by)
-    spark = df.sparkSession
-    sizes = group_sizes(df, value, by).where(F.col("n") > 0)
-    from fairgauge.operators.joins import expand
-    targets = (expand(sizes, [{"q_idx": i, "q": float(p)} for i, p in enumerate(probs)])
-               .withColumn("pos", F.col("q") * (F.col("n") - 1))
-               .withColumn("lo", F.floor("pos").cast("long"))
-               .withColumn("frac", F.col("pos") - F.col("lo"))
-               .withColumn("hi", F.ceil("pos").cast("long")))
-    t_long = targets.select(*by, "q_idx", "q", "frac", F.explode(F.array(
-        F.struct(F.lit(0).alias("side"), F.col("lo").alias("rank")),
-        F.struct(F.lit(1).alias("side"), F.col("hi").alias("rank")))).alias("t")).select(
-        *by, "q_idx", "q", "frac", "t.side", "t.rank")
-    hit = rank_select(df, value, t_long, by, buckets)
-    return (hit.groupBy(*by, "q_idx", "q", "frac")
-               .agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("vlo"),
-                    F.max(F.when(F.col("side") == 1, F.col("value"))).alias("vhi"))
-               .select(*by, "q_idx", "q",
-                       (F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac")).alias("q_value")))
-
-
-def quantile_array(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = (),
-                   buckets: int | None = None, method: str = "auto") -> DataFrame:
+
+    def ranks(totals: DataFrame) -> DataFrame:
+        t = (expand(totals, [{"q_idx": i, "q": float(p)} for i, p in enumerate(probs)])
+             .withColumn("pos", F.col("q") * (F.col("total") - 1))
+             .withColumn("frac", F.col("pos") - F.floor("pos")))
+        sides = F.array(F.struct(F.lit(0).alias("side"), F.floor("pos").cast("long").alias("rank")),
+                        F.struct(F.lit(1).alias("side"), F.ceil("pos").cast("long").alias("rank")))
+        return t.select(*by, "q_idx", "q", "frac", F.explode(sides).alias("t")).select(
+            *by, "q_idx", "q", "frac", "t.side", "t.rank")
+
+    hit = order_statistics(_values(df, value, by), ranks, by)
+    both = hit.groupBy(*by, "q_idx", "q", "frac").agg(F.max(F.when(F.col("side") == 0, F.col("value"))).alias("vlo"),
+                                                      F.max(F.when(F.col("side") == 1, F.col("value"))).alias("vhi"))
+    between = F.when(F.col("vlo") == F.col("vhi"), F.col("vlo")).otherwise(
+        F.col("vlo") + (F.col("vhi") - F.col("vlo")) * F.col("frac"))
+    return both.select(*by, "q_idx", "q", between.alias("q_value"))
+
+
+def quantile_array(df: DataFrame, value: str, probs: Sequence[float], by: Sequence[str] = ()) -> DataFrame:
     """(by..., edges ARRAY<DOUBLE>) in probability order."""
-    q = exact_quantiles(df, value, probs, by, buckets, method)
+    q = exact_quantiles(df, value, probs, by)
     agg = F.transform(F.array_sort(F.collect_list(F.struct("q_idx", "q_value"))), lambda s: s["q_value"])
     return q.groupBy(*by).agg(agg.alias("edges")) if by else q.agg(agg.alias("edges"))
 
 
-def exact_median(df: DataFrame, value: str, by: Sequence[str] = (), method: str = "auto") -> DataFrame:
-    q = exact_quantiles(df, value, [0.5], by, method=method)
+def exact_median(df: DataFrame, value: str, by: Sequence[str] = ()) -> DataFrame:
+    q = exact_quantiles(df, value, [0.5], by)
     return q.select(*by, F.col("q_value").alias("median"))

@@ -5,18 +5,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def class_names(df: DataFrame, target: str) -> dict:
-    """code -> class name (text) in sorted class order (bounded like the label vocabulary)."""
-    from fairgauge.operators.labels import sorted_classes
-    return {i: str(c) for i, c in enumerate(sorted_classes(df, target))}
+def class_names(df: DataFrame, target: str) -> DataFrame:
+    """(_code, _name): class code -> class name (text) in sorted class order."""
+    from fairgauge.operators.labels import class_codes
+    return class_codes(df, target).select("_code", F.col("_class").cast("string").alias("_name"))
 
 
-def name_of_class(df: DataFrame, idx: str, names: dict, out: str = "class_name") -> DataFrame:
-    """C4: class index -> class name, the index as text when unmapped (a literal map lookup)."""
-    if not names:
-        return df.withColumn(out, F.col(idx).cast("string"))
-    m = F.create_map(*[x for k, v in names.items() for x in (F.lit(int(k)), F.lit(v))])
-    return df.withColumn(out, F.coalesce(F.try_element_at(m, F.col(idx).cast("int")), F.col(idx).cast("string")))
+def name_of_class(df: DataFrame, idx: str, names: DataFrame, out: str = "class_name") -> DataFrame:
+    """C4: class index -> class name, the index as text when unmapped (a join; the
+    planner broadcasts a small class table)."""
+    named = df.join(names, df[idx].cast("int") == names["_code"], "left")
+    return named.withColumn(out, F.coalesce("_name", F.col(idx).cast("string"))).drop("_code", "_name")
 
 
 def choose_model(name: str) -> str:

@@ -28,85 +28,40 @@ def random_split(df: DataFrame, key, test_frac: float = 0.2, seed: int = 42, out
                          .otherwise("train"))
 
 
-# Largest number of labels whose cut-offs are applied as a literal map.
-MAX_LITERAL_LABELS = 10_000
-
-
 def stratified_split(df: DataFrame, key, label: str, test_frac: float = 0.2, seed: int = 42,
                      out: str = "split") -> DataFrame:
     """exactly ceil(test_frac * n_label) rows of each label go to 'test' --
-    those with the smallest hashes (rows tied on the hash, i.e. equal keys, go
-    together).
-
-    The cut-off hash per label is an exact order statistic found by a prefix
-    search (``_cut_per_label``) over a persisted two-column projection
-    (label, hash), so the hash is computed once for the search.  The result has
-    one row per label; it is applied as a literal map (or, beyond
-    ``MAX_LITERAL_LABELS`` labels, a broadcast join), so the rows themselves
-    are never shuffled or sorted."""
-    from pyspark import StorageLevel
+    those with the smallest key hashes.
+
+    The hash at each label's cut is an order statistic found by counting
+    (``quantiles.order_statistics``): no label's rows are sorted or brought
+    together.  Rows whose hash is the cut itself (equal keys, perhaps very
+    many) can fall on both sides: they alone are numbered, by a distributed
+    sort, and as many as are still wanted go to 'test'.  All other rows stay
+    where they are; the cuts (one row per label) are joined null-safely and the
+    planner picks the join.  Rows with a null label or key stay in 'train'."""
+    from fairgauge.operators.joins import number_rows
+    from fairgauge.operators.quantiles import order_statistics
+    from fairgauge.session import cut_lineage
     hcol = key_hash(col_of(key), seed)
-    proj = df.select(F.col(label).alias("_y"), hcol.alias("_h")).persist(StorageLevel.MEMORY_AND_DISK)
-    cut = _cut_per_label(proj, "_h", "_y", float(test_frac))
-    rows = cut.limit(MAX_LITERAL_LABELS + 1).collect()     # bounded: at most the guard + 1 rows
-    if len(rows) <= MAX_LITERAL_LABELS:
-        proj.unpersist()
-        pairs = [x for r in rows for x in (F.lit(r["_y"]), F.lit(int(r["value"])))]
-        h = df.withColumn("_h", hcol)
-        if not pairs:
-            return h.withColumn(out, F.lit("train")).drop("_h")
-        m = F.create_map(*pairs)
-        cutv = F.try_element_at(m, F.col(label))
-        return h.withColumn(out, F.when(cutv.isNotNull() & (F.col("_h") <= cutv), "test").otherwise("train")).drop("_h")
-    h = df.withColumn("_h", hcol)
-    j = h.join(F.broadcast(cut.select(F.col("_y").alias(label), F.col("value").alias("_cut"))), [label], "left")
-    return j.withColumn(out, F.when(F.col("_cut").isNotNull() & (F.col("_h") <= F.col("_cut")), "test")
-                        .otherwise("train")).drop("_h", "_cut")
-
-
-# The cut is located by two 12-bit prefix levels of the 60-bit hash (4096
-# buckets each); the window that ranks rows exactly then holds about
-# n / 2^24 rows of a label -- under 100,000 rows even at a trillion rows.
-PREFIX_LEVELS = (48, 36)
-
-
-def _cut_per_label(df: DataFrame, value: str, label: str, frac: float) -> DataFrame:
-    """(label, value): the hash of rank ceil(frac * n_label) - 1 per label.
-
-    Each level counts rows per (label, 12-bit prefix) with a partial aggregate
-    (a tiny shuffle, immune to skew), takes a cumulative count over at most
-    4096 prefixes per label, and keeps only the prefix holding the wanted rank
-    (a labels-sized broadcast).  The label sizes come from the first level.
-    The last, small bucket is ranked by a window."""
-    from pyspark.sql import Window
-    rows = df.select(label, F.col(value).alias("v")).where(F.col("v").isNotNull())
-    cur = None
-    for level, shift in enumerate(PREFIX_LEVELS):
-        if cur is None:
-            cand = rows
-        else:
-            cand = rows.join(F.broadcast(cur.select(label, "_lo", "_hi")), [label], "inner") \
-                .where((F.col("v") >= F.col("_lo")) & (F.col("v") < F.col("_hi")))
-        tot = cand.groupBy(label, F.shiftright("v", shift).alias("_b")).agg(F.count(F.lit(1)).alias("_btot"))
-        w = Window.partitionBy(label).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-        tot = tot.withColumn("_boff", F.coalesce(F.sum("_btot").over(w), F.lit(0)))
-        if cur is None:
-            tot = tot.withColumn("_n", F.sum("_btot").over(Window.partitionBy(label)))
-            k = F.ceil(F.col("_n") * F.lit(frac) - F.lit(1e-9)).cast("long")
-            cur = tot.select(label, k.alias("_k")).distinct().where(F.col("_k") > 0) \
-                .select(label, (F.col("_k") - 1).alias("rank"))
-        c, b = cur.alias("c"), tot.alias("b")
-        # ``rank`` is relative to the rows still in range
-        cur = c.join(b, F.col(f"c.{label}").eqNullSafe(F.col(f"b.{label}"))
-                     & (F.col("c.rank") >= F.col("b._boff")) & (F.col("c.rank") < F.col("b._boff") + F.col("b._btot")),
-                     "inner").select(F.col(f"c.{label}").alias(label), (F.col("c.rank") - F.col("b._boff")).alias("rank"),
-                                     F.shiftleft("b._b", shift).alias("_lo"),
-                                     F.shiftleft(F.col("b._b") + 1, shift).alias("_hi"))
-    last = rows.join(F.broadcast(cur), [label], "inner").where((F.col("v") >= F.col("_lo")) & (F.col("v") < F.col("_hi")))
-    ranked = last.withColumn("_r", F.rank().over(Window.partitionBy(label).orderBy("v")) - 1)
-    # rows tied on the hash share the rank of their first copy: the cut is the
-    # largest hash whose first-copy rank is <= the wanted rank
-    return ranked.where(F.col("_r") <= F.col("rank")).groupBy(label).agg(F.max("v").alias("value"))
+
+    def last_rank(totals: DataFrame) -> DataFrame:
+        k = F.ceil(F.col("total") * F.lit(float(test_frac)) - F.lit(1e-9)).cast("long")
+        return totals.select("_y", (k - 1).alias("rank")).where(F.col("rank") >= 0)
+
+    proj = df.select(F.col(f"`{label}`").alias("_y"), hcol.alias("v")).where("_y IS NOT NULL AND v IS NOT NULL")
+    cuts = cut_lineage(order_statistics(proj, last_rank, ["_y"], kind="long").select(
+        "_y", F.col("value").alias("_cut"), (F.col("rank") + 1 - F.col("off")).alias("_room"), F.col("n").alias("_ties")))
+    held = df.withColumn("_h", hcol)
+    held = held.join(cuts, held[label].eqNullSafe(cuts["_y"]), "left").drop("_y")
+    parted = (F.col("_h") == F.col("_cut")) & (F.col("_room") < F.col("_ties"))
+    clear = held.where(~F.coalesce(parted, F.lit(False)))
+    clear = clear.withColumn(out, F.when(F.col("_h") <= F.col("_cut"), "test").otherwise("train"))
+    tied = number_rows(held.where(parted), [F.col(f"`{label}`")], "_n")
+    first = tied.groupBy(F.col(f"`{label}`").alias("_y")).agg(F.min("_n").alias("_first"))
+    tied = tied.join(first, tied[label] == first["_y"]).withColumn(
+        out, F.when(F.col("_n") - F.col("_first") < F.col("_room"), "test").otherwise("train")).drop("_y", "_n", "_first")
+    return clear.unionByName(tied).drop("_h", "_cut", "_room", "_ties")
 
 
 def seeded_sample(df: DataFrame, key, n: int = 50, seed: int = 42) -> DataFrame:

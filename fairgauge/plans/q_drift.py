@@ -218,7 +218,7 @@ _LKEY = "CAST(l_orderkey AS VARCHAR) || '-' || CAST(l_linenumber AS VARCHAR)"
 @register("stratified_split_lineitem",
           f"SELECT l_returnflag, split, COUNT(*) AS n, CAST(SUM(l_orderkey) AS BIGINT) AS key_sum FROM ("
           f"SELECT l_returnflag, l_orderkey, CASE WHEN rn <= ceil(n * 0.2 - 1e-9) THEN 'test' ELSE 'train' END AS split FROM "
-          f"(SELECT l_returnflag, l_orderkey, RANK() OVER (PARTITION BY l_returnflag ORDER BY "
+          f"(SELECT l_returnflag, l_orderkey, ROW_NUMBER() OVER (PARTITION BY l_returnflag ORDER BY "
           f"{_H.format(k=_LKEY)}) AS rn, COUNT(*) OVER (PARTITION BY l_returnflag) AS n FROM lineitem)) GROUP BY 1, 2")
 def stratified_split_lineitem(spark, sf):
     from fairgauge.plans.fixtures import lines_key

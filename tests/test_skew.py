@@ -39,10 +39,8 @@ def test_hot_group_audit_exact_and_pre_aggregated(hot):
 def test_hot_value_quantiles_exact(hot):
     probs = [0.0, 0.1, 0.25, 0.5, 0.9, 1.0]
     want = np.quantile(hot.select("v").toPandas()["v"].to_numpy(), probs)
-    for method in ("aggregate", "distributed"):
-        got = [r["q_value"] for r in sorted(exact_quantiles(hot, "v", probs, method=method).collect(),
-                                            key=lambda r: r["q_idx"])]
-        assert np.allclose(got, want, rtol=1e-12), method
+    got = [r["q_value"] for r in sorted(exact_quantiles(hot, "v", probs).collect(), key=lambda r: r["q_idx"])]
+    assert np.allclose(got, want, rtol=1e-12)
 
 
 def test_hot_duplicates_exact(hot):
@@ -72,15 +70,35 @@ def test_checkpoint_dir_is_read_from_session(spark):
     assert d and spark.conf.get("spark.checkpoint.dir") == d
 
 
-def test_auto_routes_large_groups_to_distributed(spark, sf_small, monkeypatch):
-    from fairgauge.operators import quantiles as qu
-    monkeypatch.setattr(qu, "AGGREGATE_PATH_MAX_DISTINCT", 10)
-    monkeypatch.setattr(qu, "DISTINCT_PER_BUCKET", 50)
-    li = spark.read.parquet(f"{sf_small}/lineitem.parquet").select("l_returnflag", "l_extendedprice")
-    probs = [0.0, 0.1, 0.5, 0.9, 1.0]
-    got = {(r["l_returnflag"], r["q_idx"]): r["q_value"]
-           for r in qu.exact_quantiles(li, "l_extendedprice", probs, ["l_returnflag"]).collect()}
-    pdf = li.toPandas()
-    for g, sub in pdf.groupby("l_returnflag"):
-        want = np.quantile(sub["l_extendedprice"].to_numpy(), probs)
-        assert np.allclose([got[(g, i)] for i in range(len(probs))], want, rtol=1e-12)
+def test_quantiles_of_awkward_values(spark):
+    vals = [0.0, -0.0, 5e-324, -5e-324, 1e-300, 1.0, 1.0 + 2 ** -52, 1.0 + 2 ** -51, -1.7e308, 1.7e308, float("inf"), float("-inf"),
+            float("nan"), None, 3.0, 3.0, -2.5] + [7.0] * 40
+    rows = [(g, v) for g in ("a", None) for v in vals] + [("b", None), ("c", 2.0)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    probs = [i / 52 for i in range(53)]
+    want = sorted(v for v in vals if v is not None and v == v)
+    got = {(r["g"], r["q_idx"]): r["q_value"] for r in exact_quantiles(df, "v", [k / (len(want) - 1) for k in range(len(want))], ["g"]).collect()}
+    assert {g for g, _ in got} == {"a", None, "c"}
+    for g in ("a", None):
+        assert [got[(g, k)] for k in range(len(want))] == want
+    assert got[("c", 0)] == 2.0 and probs
+
+
+def test_split_of_a_hot_key_keeps_the_share(spark):
+    from fairgauge.operators.split import stratified_split
+    rows = [(i if i % 3 else 0, f"l{i % 2}", i) for i in range(3000)] + [(1, None, -1)] * 5
+    df = spark.createDataFrame(rows, "key long, lab string, payload long")
+    for seed in range(4):
+        out = stratified_split(df, F.col("key").cast("string"), "lab", 0.2, seed)
+        assert out.columns == ["key", "lab", "payload", "split"] and out.count() == 3005
+        got = {(r["lab"], r["split"]): r["n"] for r in out.groupBy("lab", "split").agg(F.count("*").alias("n")).collect()}
+        assert got == {("l0", "test"): 300, ("l0", "train"): 1200, ("l1", "test"): 300, ("l1", "train"): 1200, (None, "train"): 5}
+
+
+def test_top_factors_see_every_factor(spark):
+    from fairgauge.operators.explain import top_factors
+    items = [(f"f{i:03d}", "l", (i - 50) / 10.0) for i in range(100)]
+    df = spark.createDataFrame([(items,)], "factors array<struct<name:string,label:string,contribution:double>>")
+    up, down = top_factors()
+    r = df.select(up.alias("u"), down.alias("d")).first()
+    assert [x["name"] for x in r["u"]] == ["f099", "f098", "f097"] and [x["name"] for x in r["d"]] == ["f000", "f001", "f002"]
