@@ -154,7 +154,7 @@ def tercile_label(value, edges="edges", method="method", labels=TERCILE_LABELS)
     """Bin label of a value, bins closed on the right; a constant column falls in the middle bin."""
     v = F.col(value) if isinstance(value, str) else value
     e1, e2 = F.element_at(F.col(edges), 2), F.element_at(F.col(edges), 3)
-    return (F.when(v.isNull(), F.lit(None).cast("string"))
+    return (F.when(v.isNull() | F.isnan(v.cast("double")), F.lit(None).cast("string"))
             .when(F.col(method) == "constant", labels[1])
             .when(v <= e1, labels[0]).when(v <= e2, labels[1]).otherwise(labels[2]))
 

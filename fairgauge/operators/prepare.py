@@ -17,6 +17,7 @@ from pyspark.ml.feature import OneHotEncoder, SQLTransformer, StringIndexerModel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairgauge.functions import nan_to_null
 from fairgauge.operators.profile import category_values
 from fairgauge.operators.quality import _q
 
@@ -70,7 +71,7 @@ def fit_stats(train: DataFrame, numeric: Sequence[str], categorical: Sequence[st
         # Exact medians, one job for every numeric column
         q = exact_quantiles(long_numeric(train, numeric), "v", [0.5], ["feature"]).collect()
         medians = {r["feature"]: r["q_value"] for r in q}
-        imputed = [F.coalesce(F.col(_q(c)).cast("double"), F.lit(medians.get(c))).alias(c) for c in numeric]
+        imputed = [F.coalesce(nan_to_null(F.col(_q(c)).cast("double")), F.lit(medians.get(c))).alias(c) for c in numeric]
         t = train.select(*imputed)
         # Mean and population std after imputation (one aggregate)
         row = t.agg(*[F.avg(c).alias(f"m{i}") for i, c in enumerate(numeric)],
@@ -107,7 +108,7 @@ def prep_pipeline(spark, stats: PrepStats, features_col: str = "features") -> Pi
     for c in stats.numeric:
         med, mu, sd = stats.medians.get(c), stats.means.get(c), stats.stds.get(c) or 0.0
         scale = sd if sd > 0 else 1.0              # zero std -> divide by 1
-        sel.append(f"(coalesce(CAST({_q(c)} AS DOUBLE), {_lit_sql(med)}) - {_lit_sql(mu or 0.0)}) / {_lit_sql(scale)} "
+        sel.append(f"(coalesce(nullif(CAST({_q(c)} AS DOUBLE), double('NaN')), {_lit_sql(med)}) - {_lit_sql(mu or 0.0)}) / {_lit_sql(scale)} "
                    f"AS `_n_{c}`")
     for c in stats.categorical:
         sel.append(f"coalesce(CAST({_q(c)} AS STRING), {_lit_sql(stats.modes.get(c))}) AS `_c_{c}`")
@@ -150,7 +151,7 @@ def prepared_columns(df: DataFrame, stats: PrepStats) -> DataFrame:
     cols = []
     for c in stats.numeric:
         med, mu, sd = stats.medians.get(c), stats.means.get(c), stats.stds.get(c) or 0.0
-        cols.append(((F.coalesce(F.col(_q(c)).cast("double"), F.lit(med)) - F.lit(mu)) / F.lit(sd if sd > 0 else 1.0))
+        cols.append(((F.coalesce(nan_to_null(F.col(_q(c)).cast("double")), F.lit(med)) - F.lit(mu)) / F.lit(sd if sd > 0 else 1.0))
                     .alias(f"num__{c}"))
     for c in stats.categorical:
         v = F.coalesce(F.col(_q(c)).cast("string"), F.lit(stats.modes.get(c)))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairgauge.functions import nan_to_null
 from fairgauge.operators.quality import _q, is_missing
 
 
@@ -36,7 +37,7 @@ def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column, min, max, mean, missing_pct) from one aggregate."""
     aggs = []
     for i, c in enumerate(columns):
-        v = F.col(_q(c)).cast("double")
+        v = nan_to_null(F.col(_q(c)).cast("double"))
         aggs += [F.min(v).alias(f"a{i}"), F.max(v).alias(f"b{i}"), F.avg(v).alias(f"c{i}"),
                  F.avg(is_missing(df, c).cast("double")).alias(f"e{i}")]
     one = df.agg(*aggs)

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, StringType
 
-from fairgauge.functions import blank_to_null
+from fairgauge.functions import blank_to_null, nan_to_null
 from fairgauge.functions.exprs import PASS_SCORE
 
 
@@ -21,13 +21,19 @@ def blanks_to_null(df: DataFrame, columns: Sequence[str] | None = None) -> DataF
     """B1: every string column (or the listed ones) with blank text set to NULL, in one select."""
     cols = set(columns) if columns is not None else {f.name for f in df.schema.fields
                                                      if isinstance(f.dataType, StringType)}
-    return df.select(*[blank_to_null(f.name).alias(f.name) if f.name in cols else F.col(f.name)
+    return df.select(*[blank_to_null(F.col(_q(f.name))).alias(f.name) if f.name in cols else F.col(_q(f.name))
                        for f in df.schema.fields])
 
 
+def nans_to_null(df: DataFrame) -> DataFrame:
+    """NaN in floating columns set to NULL, next to B1 (pandas counts both as missing)."""
+    floats = {f.name for f in df.schema.fields if isinstance(f.dataType, (DoubleType, FloatType))}
+    return df.select(*[nan_to_null(F.col(_q(c))).alias(c) if c in floats else F.col(_q(c)) for c in df.columns])
+
+
 def is_missing(df: DataFrame, name: str) -> F.Column:
     """NULL, and NaN in floating columns (pandas counts both as missing)."""
-    c = F.col(name)
+    c = F.col(_q(name))
     if isinstance(df.schema[name].dataType, (DoubleType, FloatType)):
         return c.isNull() | F.isnan(c)
     return c.isNull()
@@ -48,7 +54,7 @@ def missing_counts(df: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """D3: one row ``duplicate_rows`` = rows - distinct rows (null equals null)."""
     cols = list(columns) if columns is not None else df.columns
-    hashed = df.select(*cols).withColumn("_h", F.xxhash64(*[F.col(_q(c)) for c in cols]))
+    hashed = df.select(*[F.col(_q(c)) for c in cols]).withColumn("_h", F.xxhash64(*[F.col(_q(c)) for c in cols]))
     repeated = hashed.groupBy("_h").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > 1).select("_h")
     # only rows whose hash repeats are compared on content; AQE broadcasts the
     # repeated-hash set when its measured size is small

@@ -11,7 +11,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import BooleanType, NumericType
+from pyspark.sql.types import BooleanType, DateType, NumericType, TimestampNTZType, TimestampType
 
 # Fixed keyword lists of the role rules.
 DEMOGRAPHIC_KEYWORDS = ("gender", "sex", "race", "age", "citizen", "income", "demographic", "origin",
@@ -25,6 +25,11 @@ def is_numeric_type(dt) -> bool:
     return isinstance(dt, (NumericType, BooleanType))
 
 
+def is_time_type(dt) -> bool:
+    """Dates and timestamps are neither numeric nor categorical features."""
+    return isinstance(dt, (DateType, TimestampType, TimestampNTZType))
+
+
 def default_target(df: DataFrame, target: str | None = None) -> str:
     """The given target, else the last column."""
     return target if target else df.columns[-1]
@@ -79,14 +84,18 @@ class ColumnRoles:
         return self.numeric + self.categorical
 
 
+def _c(name: str) -> F.Column:
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def role_stats(df: DataFrame, target: str, id_candidates: Sequence[str]) -> DataFrame:
     """The one aggregate behind the role decision: row count, distinct target
     values, distinct counts of ID-named columns, and min = max per column (a
     column with at most one distinct non-null value is constant)."""
-    aggs = [F.count(F.lit(1)).alias("_rows"), F.count_distinct(F.col(target)).alias("_tdist")]
-    aggs += [F.count_distinct(F.col(c)).alias(f"_u{i}") for i, c in enumerate(id_candidates)]
+    aggs = [F.count(F.lit(1)).alias("_rows"), F.count_distinct(_c(target)).alias("_tdist")]
+    aggs += [F.count_distinct(_c(c)).alias(f"_u{i}") for i, c in enumerate(id_candidates)]
     for i, c in enumerate(df.columns):
-        aggs.append(((F.count(F.col(c)) == 0) | (F.min(c) == F.max(c))).alias(f"_k{i}"))
+        aggs.append(((F.count(_c(c)) == 0) | (F.min(_c(c)) == F.max(_c(c)))).alias(f"_k{i}"))
     return df.agg(*aggs)
 
 
@@ -122,7 +131,7 @@ def detect_roles(df: DataFrame, target: str | None = None, demographic: str | No
             constant.append(c)
         elif is_numeric_type(df.schema[c].dataType):
             numeric.append(c)
-        else:
+        elif not is_time_type(df.schema[c].dataType):
             categorical.append(c)
     tnum = is_numeric_type(df.schema[target].dataType)
     return ColumnRoles(target=target, task=task_type(row["_tdist"], tnum, task_override), demographic=demo,
@@ -142,7 +151,7 @@ def roles_table(spark: SparkSession, df: DataFrame, roles: ColumnRoles) -> DataF
             return "constant"
         if c == roles.demographic:
             return "demographic"
-        return "numeric" if c in roles.numeric else "categorical"
+        return "numeric" if c in roles.numeric else "categorical" if c in roles.categorical else "time"
     rows = [(i, c, df.schema[c].dataType.simpleString(), role(c)) for i, c in enumerate(df.columns)]
     return spark.createDataFrame(rows, "position int, column string, dtype string, role string")
 
@@ -154,7 +163,7 @@ def drop_columns(df: DataFrame, names: Sequence[str]) -> DataFrame:
 
 def feature_frame(df: DataFrame, roles: ColumnRoles) -> DataFrame:
     """Numeric then categorical features, in that order."""
-    return df.select(*roles.numeric, *roles.categorical)
+    return df.select(*[_c(c) for c in roles.features])
 
 
 def task_type_label_only(df: DataFrame, label: str) -> F.Column:

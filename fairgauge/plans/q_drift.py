@@ -231,3 +231,21 @@ def stratified_split_lineitem(spark, sf):
           f"SELECT o_orderkey, o_totalprice FROM orders ORDER BY {_H.format(k='o_orderkey')}, CAST(o_orderkey AS VARCHAR) LIMIT 50")
 def seeded_sample_orders(spark, sf):
     return sp.seeded_sample(read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey", 50)
+
+
+# --- quantiles of groups with nulls ---------------------------------------------------------------
+
+@register("quantiles_null_group_orders",
+          "WITH o AS (SELECT CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_orderstatus END AS grp, "
+          "CASE WHEN o_orderkey % 11 = 0 THEN 'NaN'::DOUBLE WHEN o_orderkey % 7 = 0 THEN NULL ELSE o_totalprice END AS v FROM orders), "
+          "e AS (SELECT grp, quantile_cont(v, [0.0, 0.1, 0.5, 0.9, 1.0]) AS q FROM o WHERE v IS NOT NULL AND NOT isnan(v) GROUP BY grp) "
+          "SELECT grp, CAST(i - 1 AS INTEGER) AS q_idx, round(q[i], 6) AS q_value FROM e, (SELECT unnest([1, 2, 3, 4, 5]) AS i)")
+def quantiles_null_group_orders(spark, sf):
+    """E1 by a column with nulls: the null group has its own quantiles; null and NaN values are skipped."""
+    from fairgauge.operators.quantiles import exact_quantiles
+    k = F.col("o_orderkey")
+    o = read_table(spark, sf, "orders").select(
+        F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("grp"),
+        F.when(k % 11 == 0, float("nan")).when(k % 7 == 0, None).otherwise(F.col("o_totalprice")).alias("v"))
+    q = exact_quantiles(o, "v", [0.0, 0.1, 0.5, 0.9, 1.0], ["grp"])
+    return rounded(q.select("grp", F.col("q_idx").cast("int").alias("q_idx"), "q_value"))

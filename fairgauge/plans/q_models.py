@@ -334,8 +334,9 @@ def model_roundtrip_lines(spark, sf):
 # --- full audit runs (I18) --------------------------------------------------------------------
 
 def _lines_table(spark, sf):
-    return read_table(spark, sf, "lineitem").select("l_quantity", "l_extendedprice", "l_discount", "l_tax",
-                                                    "l_returnflag", "l_linestatus")
+    """All of lineitem with the target last (role detection takes the last column)."""
+    li = read_table(spark, sf, "lineitem")
+    return li.select(*[c for c in li.columns if c != "l_linestatus"], "l_linestatus")
 
 
 def _audit_lines(spark, sf, family="boosting"):
@@ -396,6 +397,50 @@ def audit_profile_lines(spark, sf):
     return r.profile
 
 
+_FULL_KEY = "md5(concat_ws(chr(1), {cols}))"
+
+
+def _content_key_sql(columns: dict) -> str:
+    """The audit's content key in SQL: every column as text, nulls as chr(0)."""
+    parts = ", ".join(f"coalesce(CAST({expr or c} AS VARCHAR), chr(0))" for c, expr in columns.items())
+    return _FULL_KEY.format(cols=parts)
+
+
+def _labelled_embeddings(spark, sf):
+    """embeddings has a column named label; the vector's first parts make numeric features."""
+    e = read_table(spark, sf, "embeddings")
+    return e.select((F.col("vec_id") % 97).cast("int").alias("split"), F.col("label"), (F.col("vec_id") % 13).cast("int").alias("a.b"),
+                    F.when(F.col("vec_id") % 10 == 0, None).otherwise((F.col("vec_id") % 3).cast("string")).alias("kind"))
+
+
+@register("audit_reserved_names_embeddings",
+          "WITH e AS (SELECT CAST(vec_id % 97 AS INTEGER) AS \"split\", label, CAST(vec_id % 13 AS INTEGER) AS ab, "
+          "CASE WHEN vec_id % 10 = 0 THEN NULL ELSE CAST(vec_id % 3 AS VARCHAR) END AS kind FROM embeddings), "
+          "k AS (SELECT kind, " + _content_key_sql({"\"split\"": None, "label": None, "ab": None, "kind": None}) + " AS key FROM e WHERE kind IS NOT NULL), "
+          "h AS (SELECT kind, row_number() OVER (PARTITION BY kind ORDER BY ('0x' || substr(md5('42:' || key), 1, 15))::BIGINT) AS rn, "
+          "count(*) OVER (PARTITION BY kind) AS n FROM k) "
+          "SELECT kind, CASE WHEN rn <= ceil(n * 0.2 - 1e-9) THEN 'test' ELSE 'train' END AS side, count(*) AS n FROM h GROUP BY 1, 2")
+def audit_reserved_names_embeddings(spark, sf):
+    """I18 on a table whose features are called label, split and a.b and whose three-class target has nulls:
+    rows per class and side of the audit's split."""
+    from fairgauge.plans.audit import AuditConfig, audit
+    r = audit(_labelled_embeddings(spark, sf), AuditConfig(task_override="classification", fit=False))
+    inside = r.extras["names"]
+    return r.extras["split"].groupBy(F.col(inside["kind"]).alias("kind"), F.col("split").alias("side")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("audit_split_orders",
+          "SELECT 'train' AS side, CAST(0 AS BIGINT) AS overlap, CAST(1 AS BIGINT) AS sides WHERE 1 = 0 UNION ALL "
+          "SELECT 'all', CAST(0 AS BIGINT), count(*) FROM orders")
+def audit_split_orders(spark, sf):
+    """I18 over all columns of orders, regression target o_totalprice: every order is on one side."""
+    from fairgauge.plans.audit import AuditConfig, audit
+    r = audit(read_table(spark, sf, "orders"), AuditConfig(target="o_totalprice", fit=False))
+    per = r.extras["split"].groupBy("o_orderkey").agg(F.count_distinct("split").alias("d"), F.count(F.lit(1)).alias("n"))
+    return per.agg(F.lit("all").alias("side"), F.coalesce(F.sum(F.when(F.col("d") > 1, 1)), F.lit(0)).cast("long").alias("overlap"),
+                   F.sum("n").alias("sides"))
+
+
 @register("audit_legacy_gaps_customer")
 def audit_legacy_gaps_customer(spark, sf):
     """I18 + D21 in the audit: customer with derived gender and senior attributes,

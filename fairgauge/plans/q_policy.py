@@ -270,6 +270,40 @@ _R2_GRID = "[" + ", ".join(repr(x) for x in po.R2_GRID) + "]"
 _GAP_GRID = "[" + ", ".join(repr(x) for x in po.GAP_GRID) + "]"
 
 
+def _regression_gates(spark, sf, tier="Low"):
+    s = scored_reg(spark, sf).withColumn("model", F.lit("linear_regression"))
+    gaps = fa.regression_gaps(fa.regression_group_audit(s)).withColumn("demographic_column", F.lit("l_returnflag"))
+    return po.gate_table(spark, me.long_metrics(me.regression_metrics(s).drop("mape")), gaps, None, tier=tier,
+                         target="l_extendedprice")
+
+
+def _regression_gates_sql(tier="Low"):
+    lim = po.LIMITS[po.tier_of(tier)]
+    return cte(s=SQL_SCORED_REG)[:-1] + f""", r AS (
+  SELECT 1 - sum((actual - prediction) ^ 2) / (SELECT sum((actual - m) ^ 2) FROM s, (SELECT avg(actual) AS m FROM s)) AS r2 FROM s),
+ga AS (SELECT grp, avg(abs(actual - prediction)) AS mae FROM s WHERE grp IS NOT NULL GROUP BY grp),
+gp AS (SELECT max(mae) - min(mae) AS gap FROM ga),
+g AS (
+  SELECT 1 AS seq, 'Demographic Audit Registration' AS rule, 'GOVERN' AS pillar, 1.0::DOUBLE AS metric_value, 1.0::DOUBLE AS threshold, 'PASS' AS status
+  UNION ALL SELECT 2, 'Prediction Target Definition', 'MAP', 1.0, 1.0, 'PASS'
+  UNION ALL SELECT 3, 'Model R² Score', 'MEASURE', r2, {lim["min_r2"]}, CASE WHEN r2 >= {lim["min_r2"]} THEN 'PASS' ELSE 'FAIL' END FROM r
+  UNION ALL SELECT 6, 'Group Error Disparity', 'MEASURE', gap, {lim["max_gap"]}, CASE WHEN gap <= {lim["max_gap"]} THEN 'PASS' ELSE 'FAIL' END FROM gp)
+"""
+
+
+@register("gates_regression_lines", _regression_gates_sql("High")
+          + "SELECT seq, rule, pillar, round(metric_value, 6) AS metric_value, round(threshold, 6) AS threshold, status FROM g")
+def gates_regression_lines(spark, sf):
+    """J3 (true branch), J9, J10: the gates of the fixed regression model."""
+    return rounded(_regression_gates(spark, sf, "High").select("seq", "rule", "pillar", "metric_value", "threshold", "status"))
+
+
+@register("verdict_regression_lines", _regression_gates_sql() + _VERDICT_SQL)
+def verdict_regression_lines(spark, sf):
+    """J13 over the regression gates."""
+    return po.verdict(_regression_gates(spark, sf))
+
+
 @register("regression_what_if_lines", cte(s=SQL_SCORED_REG)
           + ", m AS (SELECT model, 1 - SUM((actual - prediction) * (actual - prediction)) / (var_pop(actual) * COUNT(*)) AS r2 FROM s GROUP BY model), "
           "g AS (SELECT max(mae) - min(mae) AS gap FROM (SELECT grp, avg(abs(prediction - actual)) AS mae FROM s WHERE grp IS NOT NULL GROUP BY grp)), "

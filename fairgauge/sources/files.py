@@ -2,9 +2,11 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.types import StructType
+from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StructType
 
 
 def _exists(spark: SparkSession, path: str) -> bool:
@@ -39,25 +41,59 @@ def read_split(spark: SparkSession, path: str, side: str = "test", split_col: st
 
 
 def write_report(df: DataFrame, path: str, single_file: bool = True) -> None:
-    """A3: JSON report sink (parents created, overwrite).  Reports are small;
-    ``single_file`` writes one part file."""
-    out = df.coalesce(1) if single_file else df
+    """A3: JSON report sink (parents created, overwrite).  With ``single_file`` the
+    rows are computed in parallel and only then gathered into one part file."""
+    out = df.repartition(1) if single_file else df
     out.write.mode("overwrite").json(path)
 
 
 def read_report(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A4: JSON report with a default: a missing path gives an empty table of
-    the schema; corrupt records are dropped."""
+    """A4: JSON report with a default: a missing path, or one that holds anything
+    that is not JSON, gives an empty table of the schema.  Indented files and
+    one-object-per-line files are both read (a report is small)."""
     if not _exists(spark, path):
         return spark.createDataFrame([], schema)
-    return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
+    texts = spark.read.text(path, wholetext=True).select(F.explode(F.split(F.trim("value"), r"(?<=[}\]])\s*\n(?=[{\[])")).alias("value"))
+    parsed = texts.where(F.length("value") > 0).select(
+        F.try_parse_json("value").alias("ok"),
+        F.from_json("value", ArrayType(schema)).alias("rows"))
+    if not parsed.where(F.col("ok").isNull() | F.col("rows").isNull()).isEmpty():
+        return spark.createDataFrame([], schema)
+    return parsed.select(F.explode("rows").alias("r")).select("r.*")
 
 
 def save_model(model, path: str) -> None:
-    """Fitted PipelineModel saved (overwrite)."""
+    """One fitted model or pipeline saved (overwrite)."""
     model.write().overwrite().save(path)
 
 
 def load_model(path: str):
     from pyspark.ml import PipelineModel
     return PipelineModel.load(path)
+
+
+def save_bundle(path: str, prep, models: Sequence[tuple], tables: dict[str, DataFrame]) -> None:
+    """The fitted preparation, every fitted model in order (name, model), and
+    named tables (reports, the split) under one folder."""
+    spark = next(iter(tables.values())).sparkSession if tables else SparkSession.getActiveSession()
+    save_model(prep, os.path.join(path, "prep"))
+    rows = []
+    for i, (name, model) in enumerate(models):
+        save_model(model, os.path.join(path, f"model_{i}"))
+        rows.append((i, name, f"{type(model).__module__}.{type(model).__name__}"))
+    spark.createDataFrame(rows, "pos int, name string, kind string").coalesce(1).write.mode("overwrite").json(os.path.join(path, "models"))
+    for name, df in tables.items():
+        df.write.mode("overwrite").parquet(os.path.join(path, "tables", name))
+    spark.createDataFrame([(t,) for t in tables], "name string").coalesce(1).write.mode("overwrite").json(os.path.join(path, "names"))
+
+
+def load_bundle(spark: SparkSession, path: str) -> tuple:
+    """(prep, [(name, model)], {name: table}) as saved by ``save_bundle``."""
+    import importlib
+    models = []
+    for r in spark.read.schema("pos int, name string, kind string").json(os.path.join(path, "models")).orderBy("pos").collect():
+        module, _, kind = r["kind"].rpartition(".")
+        models.append((r["name"], getattr(importlib.import_module(module), kind).load(os.path.join(path, f"model_{r['pos']}"))))
+    names = [r["name"] for r in spark.read.schema("name string").json(os.path.join(path, "names")).collect()]
+    return (load_model(os.path.join(path, "prep")), models,
+            {n: spark.read.parquet(os.path.join(path, "tables", n)) for n in names})
