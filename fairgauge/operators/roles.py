@@ -90,10 +90,10 @@ def _c(name: str) -> F.Column:
 
 def role_stats(df: DataFrame, target: str, id_candidates: Sequence[str]) -> DataFrame:
     """The one aggregate behind the role decision: row count, distinct target
-    values, distinct counts of ID-named columns, and min = max per column (a
-    column with at most one distinct non-null value is constant)."""
+    values, a sketch of the distinct counts of ID-named columns, and min = max
+    per column (a column with at most one distinct non-null value is constant)."""
     aggs = [F.count(F.lit(1)).alias("_rows"), F.count_distinct(_c(target)).alias("_tdist")]
-    aggs += [F.count_distinct(_c(c)).alias(f"_u{i}") for i, c in enumerate(id_candidates)]
+    aggs += [F.approx_count_distinct(_c(c), 0.02).alias(f"_u{i}") for i, c in enumerate(id_candidates)]
     for i, c in enumerate(df.columns):
         aggs.append(((F.count(_c(c)) == 0) | (F.min(_c(c)) == F.max(_c(c)))).alias(f"_k{i}"))
     return df.agg(*aggs)
@@ -117,7 +117,10 @@ def detect_roles(df: DataFrame, target: str | None = None, demographic: str | No
     id_cands = [c for c in df.columns if c not in (target, demo) and c not in id_override and id_name_match(c)]
     row = role_stats(df, target, id_cands).collect()[0]
     n = row["_rows"]
-    ids = list(id_override) + [c for i, c in enumerate(id_cands) if row[f"_u{i}"] == n]
+    # a sketch within a fifth of the row count (ten times its error) earns an exact count
+    near = [c for i, c in enumerate(id_cands) if row[f"_u{i}"] >= 0.8 * n]
+    exact = df.agg(*[F.count_distinct(_c(c)).alias(f"_e{i}") for i, c in enumerate(near)]).collect()[0] if near else {}
+    ids = list(id_override) + [c for i, c in enumerate(near) if exact[f"_e{i}"] == n]
     ids = ordered_unique(ids)
     const_flags = {c: bool(row[f"_k{i}"]) for i, c in enumerate(df.columns)}
     numeric, categorical, constant = [], [], []

@@ -2,6 +2,8 @@
 (A1-A6, H16, H19, I1-I18)."""
 from __future__ import annotations
 
+import uuid
+
 import os
 
 from pyspark.ml.feature import VectorAssembler
@@ -268,7 +270,7 @@ def csv_roundtrip_customer(spark, sf):
     """A1: a driver table written as CSV with a header and read back with inferred types (rows-only)."""
     from fairgauge.sources.files import read_csv
     c = read_table(spark, sf, "customer")
-    path = scratch_path(spark, f"csv_customer_{abs(hash(sf))}")
+    path = scratch_path(spark, f"csv_customer_{uuid.uuid4().hex}")
     c.write.mode("overwrite").option("header", True).csv(path)
     return read_csv(spark, "/nonexistent/" + os.path.basename(path), fallback_dir=os.path.dirname(path))
 
@@ -280,7 +282,7 @@ def stored_split_orders(spark, sf):
     """A2: the hold-out side of a stored split (partition-pruned read)."""
     from fairgauge.sources.files import read_split, write_split
     o = sp.random_split(read_table(spark, sf, "orders").select("o_orderkey", "o_totalprice"), "o_orderkey")
-    path = scratch_path(spark, f"split_orders_{abs(hash(sf))}")
+    path = scratch_path(spark, f"split_orders_{uuid.uuid4().hex}")
     write_split(o, path)
     return read_split(spark, path, "test").select("o_orderkey", "o_totalprice")
 
@@ -292,7 +294,7 @@ def json_report_roundtrip(spark, sf):
     from fairgauge.operators import quality as qa
     from fairgauge.sources.files import read_report, write_report
     rep = qa.quality_summary(read_table(spark, sf, "orders"))
-    path = scratch_path(spark, f"report_orders_{abs(hash(sf))}")
+    path = scratch_path(spark, f"report_orders_{uuid.uuid4().hex}")
     write_report(rep, path)
     back = read_report(spark, path, rep.schema)
     missing = read_report(spark, path + "_absent", rep.schema)
@@ -319,16 +321,20 @@ def lineage_append_conversations(spark, sf):
         F.max("seq").cast("long").alias("last_seq"))
 
 
-@register("model_roundtrip_lines")
+@register("model_roundtrip_lines", _PREP_CTE.replace("WITH ", "WITH ", 1)
+          + "SELECT l_orderkey, l_linenumber, round(x1, 6) AS x1, round(x2, 6) AS x2, x3, x4, x5 FROM p")
 def model_roundtrip_lines(spark, sf):
-    """The fitted preparation pipeline saved and loaded; scores of the loaded
-    model (rows-only)."""
-    from fairgauge.sources.files import load_model, save_model
-    s, pm, st = _prepared_lines_model(spark, sf)
-    path = scratch_path(spark, f"prep_model_{abs(hash(sf))}")
-    save_model(pm, path)
+    """The fitted preparation pipeline saved in a bundle, loaded and applied: its vector, part by part."""
     from pyspark.ml.functions import vector_to_array
-    return load_model(path).transform(s.where("split = 'test'")).select("key", vector_to_array("features").alias("x"))
+    from fairgauge.operators.prepare import fit_prepare
+    from fairgauge.sources.files import load_bundle, save_bundle
+    d = _lines_nulls(spark, sf)
+    prep, _ = fit_prepare(d, _NUM, _CAT)
+    path = scratch_path(spark, f"bundle_{uuid.uuid4().hex}")
+    save_bundle(path, prep, [], {"rows": d})
+    prep, _, tables = load_bundle(spark, path)
+    x = prep.transform(tables["rows"]).select("l_orderkey", "l_linenumber", vector_to_array("features").alias("x"))
+    return rounded(x.select("l_orderkey", "l_linenumber", *[F.col("x")[k].alias(f"x{k + 1}") for k in range(5)]))
 
 
 # --- full audit runs (I18) --------------------------------------------------------------------
@@ -341,7 +347,7 @@ def _lines_table(spark, sf):
 
 def _audit_lines(spark, sf, family="boosting"):
     from fairgauge.plans.audit import AuditConfig, audit
-    return audit(_lines_table(spark, sf), AuditConfig(ensemble_iters=20, ensemble_family=family))
+    return audit(_lines_table(spark, sf), AuditConfig(ensemble_family=family))
 
 
 @register("audit_gates_lines")
@@ -371,8 +377,8 @@ def audit_certificate_lines(spark, sf):
 def audit_regression_orders(spark, sf):
     """I18 regression path: orders -> o_totalprice with ridge (LOO alpha) and boosted trees."""
     from fairgauge.plans.audit import AuditConfig, audit
-    o = read_table(spark, sf, "orders").select("o_orderstatus", "o_orderpriority", "o_custkey", "o_totalprice")
-    r = audit(o, AuditConfig(demographic="o_orderpriority", ensemble_iters=20))
+    o = read_table(spark, sf, "orders")
+    r = audit(o, AuditConfig(target="o_totalprice", demographic="o_orderpriority"))
     return r.metrics
 
 
@@ -393,7 +399,7 @@ def audit_data_only_orders(spark, sf):
 def audit_profile_lines(spark, sf):
     """I18 profile output (D9/D10 on the training rows) and the catalog entry (D12) (rows-only)."""
     from fairgauge.plans.audit import AuditConfig, audit
-    r = audit(_lines_table(spark, sf), AuditConfig(ensemble=False, mitigate=False, dataset_name="lineitem"))
+    r = audit(_lines_table(spark, sf), AuditConfig(fit=False, dataset_name="lineitem"))
     return r.profile
 
 
@@ -450,7 +456,7 @@ def audit_legacy_gaps_customer(spark, sf):
         F.when(F.col("c_custkey") % 2 == 0, "Female").otherwise("Male").alias("gender"),
         (F.col("c_nationkey") % 5 == 0).cast("int").alias("SeniorCitizen"), "c_acctbal",
         (F.col("c_mktsegment") == "BUILDING").cast("int").alias("building"))
-    r = audit(c, AuditConfig(ensemble=False, lineage_path=scratch_path(spark, "lineage_audits")))
+    r = audit(c, AuditConfig(ensemble=False, lineage_path=scratch_path(spark, f"lineage_audits_{uuid.uuid4().hex}")))
     return r.attribute_gaps
 
 
