@@ -145,10 +145,20 @@ def fit_prepare(train: DataFrame, numeric: Sequence[str], categorical: Sequence[
     return prep_pipeline(train.sparkSession, stats), stats
 
 
-def prepared_columns(df: DataFrame, stats: PrepStats) -> DataFrame:
-    """The prepared values as plain columns (one per feature name) -- the SQL form
-    of I1-I4 (imputed, standardised numbers; one 0/1 column per level)."""
-    cols = []
+def fill_missing(df: DataFrame, means: dict, modes: dict) -> DataFrame:
+    """A missing (or absent) number takes its given mean, a missing text its
+    mode; other columns stay.  The filled columns come last, in the given order."""
+    def value(c):
+        return F.col(_q(c)) if c in df.columns else F.lit(None)
+    cols = [F.coalesce(nan_to_null(value(c).cast("double")), F.lit(m).cast("double")).alias(c) for c, m in means.items()]
+    cols += [F.coalesce(value(c).cast("string"), F.lit(m)).alias(c) for c, m in modes.items()]
+    return df.select(*[F.col(_q(c)) for c in df.columns if c not in means and c not in modes], *cols)
+
+
+def prepared_columns(df: DataFrame, stats: PrepStats, keep: Sequence[str] = ()) -> DataFrame:
+    """The prepared values as plain columns (one per feature name) beside ``keep`` --
+    the SQL form of I1-I4 (imputed, standardised numbers; one 0/1 column per level)."""
+    cols = [F.col(_q(c)) for c in keep]
     for c in stats.numeric:
         med, mu, sd = stats.medians.get(c), stats.means.get(c), stats.stds.get(c) or 0.0
         cols.append(((F.coalesce(nan_to_null(F.col(_q(c)).cast("double")), F.lit(med)) - F.lit(mu)) / F.lit(sd if sd > 0 else 1.0))

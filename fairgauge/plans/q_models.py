@@ -14,7 +14,7 @@ from fairgauge.operators import explain as ex
 from fairgauge.operators import metrics as me
 from fairgauge.operators import models as mo
 from fairgauge.operators import split as sp
-from fairgauge.operators.prepare import fit_prepare, fit_stats
+from fairgauge.operators.prepare import fit_prepare, fit_stats, prepared_columns
 from fairgauge.plans.fixtures import SQL_SCORED_REG, cte, lines_key, scored_reg
 from fairgauge.plans.registry import register, rounded
 from fairgauge.session import read_table, scratch_path
@@ -53,18 +53,7 @@ p AS (SELECT l_orderkey, l_linenumber, l_extendedprice, l_linestatus,
 def prepared_lineitem(spark, sf):
     d = _lines_nulls(spark, sf)
     st = fit_stats(d, _NUM, _CAT)
-    return rounded(d.select("l_orderkey", "l_linenumber", *_exprs(d, st)))
-
-
-def _exprs(d, st):
-    from fairgauge.operators.quality import _q
-    for c in st.numeric:
-        med, mu, sd = st.medians.get(c), st.means.get(c), st.stds.get(c) or 0.0
-        yield ((F.coalesce(F.col(_q(c)).cast("double"), F.lit(med)) - F.lit(mu)) / F.lit(sd if sd > 0 else 1.0)).alias(f"num__{c}")
-    for c in st.categorical:
-        v = F.coalesce(F.col(_q(c)).cast("string"), F.lit(st.modes.get(c)))
-        for lv in st.levels[c]:
-            yield (v == F.lit(lv)).cast("double").alias(f"cat__{c}_{lv}")
+    return rounded(prepared_columns(d, st, keep=["l_orderkey", "l_linenumber"]))
 
 
 @register("imputed_means_events",
@@ -78,11 +67,10 @@ def imputed_means_events(spark, sf):
     ev = read_table(spark, sf, "events").select(
         F.when(F.col("event_id") % 5 != 0, F.col("value")).alias("v"),
         F.when(F.col("event_id") % 3 != 0, F.col("event_type")).alias("t"))
-    mv = numeric_profile(ev, ["v"]).select(F.col("mean").alias("_mv"))
-    mode = categorical_profile(ev, ["t"]).select(F.col("mode").alias("_mode"))
-    from fairgauge.operators.joins import attach_row
-    filled = attach_row(attach_row(ev, mv), mode).select(
-        F.coalesce("t", "_mode").alias("t"), F.coalesce("v", "_mv").alias("v"))
+    from fairgauge.operators.prepare import fill_missing
+    mean = numeric_profile(ev, ["v"]).first()["mean"]
+    mode = categorical_profile(ev, ["t"]).first()["mode"]
+    filled = fill_missing(ev, {"v": mean}, {"t": mode})
     return rounded(filled.groupBy("t").agg(F.count(F.lit(1)).alias("n"), F.avg("v").alias("v_mean")))
 
 
@@ -188,8 +176,8 @@ def regression_clip_lines(spark, sf):
 def _slopes(spark, sf):
     d = _lines_nulls(spark, sf)
     st = fit_stats(d, _NUM, _CAT)
-    p = d.select("l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag", "l_extendedprice",
-                 *_exprs(d, st))
+    p = prepared_columns(d, st, keep=["l_orderkey", "l_linenumber", "l_quantity", "l_discount", "l_returnflag",
+                                      "l_extendedprice"])
     names = st.feature_names
     row = p.agg(*[F.regr_slope(F.col("l_extendedprice") / 1000.0, F.col(n)).alias(n) for n in names]).collect()[0]
     coefs = [float(row[n]) for n in names]

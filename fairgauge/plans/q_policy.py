@@ -316,8 +316,13 @@ def regression_what_if_lines(spark, sf):
     return po.regression_what_if(me.regression_metrics(s), gaps)
 
 
-@register("lead_model_lines", _TWO_MODELS_SQL + _BIN_METRICS_SQL
-          + "SELECT 'logistic_regression' AS model, false AS is_regression FROM (SELECT 1)")
+_LEAD_SQL = (", ml AS (UNPIVOT m2 ON accuracy, precision, recall, f1_score INTO NAME metric VALUE value) "
+             "SELECT model, bool_or(metric IN ('r2_score', 'mae')) AS is_regression FROM ml GROUP BY model "
+             "ORDER BY coalesce(list_position(['logistic_regression', 'linear_regression', 'random_forest', 'hist_gradient_boosting'], model), 9), "
+             "model LIMIT 1")
+
+
+@register("lead_model_lines", _TWO_MODELS_SQL + _BIN_METRICS_SQL + ", m2 AS (SELECT * FROM m)" + _LEAD_SQL)
 def lead_model_lines(spark, sf):
     return po.lead_model(me.long_metrics(me.binary_metrics(_two_models(spark, sf))))
 
@@ -406,7 +411,7 @@ def last_entries_conversations(spark, sf):
 
 
 @register("lead_model_unlisted", _TWO_MODELS_SQL + _BIN_METRICS_SQL
-          + "SELECT 'logistic_regression' AS model, false AS is_regression FROM (SELECT 1)")
+          + ", m2 AS (SELECT * REPLACE (CASE WHEN model = 'random_forest' THEN 'gradient_boosting' ELSE model END AS model) FROM m)" + _LEAD_SQL)
 def lead_model_unlisted(spark, sf):
     """A model outside the fixed order (gradient_boosting) never wins over a listed one."""
     ml = me.long_metrics(me.binary_metrics(_two_models(spark, sf)))

@@ -205,13 +205,8 @@ def _task_sql(table, col, numeric):
 def _task_query(table, col):
     def q(spark, sf):
         df = read_table(spark, sf, table)
-        numeric = ro.is_numeric_type(df.schema[col].dataType)
-        d = F.count_distinct(F.col(col))
-        return df.agg(d.alias("n_distinct")).select(
-            F.lit(col).alias("target"), "n_distinct",
-            F.when(F.col("n_distinct") == 2, "classification")
-             .when(F.lit(numeric) & (F.col("n_distinct") > ro.REGRESSION_MIN_DISTINCT), "regression")
-             .otherwise("classification").alias("task"))
+        r = ro.detect_roles(df, col)                                         # B8
+        return spark.createDataFrame([(r.target, r.target_distinct, r.task)], "target string, n_distinct long, task string")
     return q
 
 
