@@ -34,7 +34,9 @@ NONE = DIM
 SIZE = DIM + 3
 MEMO_ENTRIES = 300_000
 #: Bound of the sample of labelled documents that the fit sees.
-MAX_FIT_DOCS = 10_000
+MAX_FIT_DOCS = 6_000
+#: Feature values that one step of the fit holds in memory at once.
+FIT_CHUNK = 1 << 19
 _SPLIT = re.compile(SPACES)
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 
@@ -94,14 +96,22 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         steps: int = 150, rate: float = 0.3, least_docs: int = 3) -> OrdinalModel:
     """Penalised maximum likelihood over rows of (feature numbers, values); ``penalty`` is the weights' prior, shared by all
     rows; features of fewer than ``least_docs`` rows weigh 0."""
-    idx = np.concatenate([i for i, _ in rows])
-    val = np.concatenate([v for _, v in rows])
-    seg = np.repeat(np.arange(len(rows), dtype=np.int32), [len(i) for i, _ in rows])
-    used = np.bincount(idx, minlength=SIZE) >= least_docs
-    keep = used[idx]
-    names = np.flatnonzero(used)
-    idx, val, seg = np.searchsorted(names, idx[keep]), val[keep], seg[keep]
+    counts = np.zeros(SIZE, np.int64)
+    for i, _ in rows:
+        counts += np.bincount(i, minlength=SIZE)
+    names = np.flatnonzero(counts >= least_docs)
+    place = np.full(SIZE, -1, np.int32)
+    place[names] = np.arange(len(names), dtype=np.int32)
     n, m = len(rows), len(names)
+    idx, val, sizes = [], [], []
+    for i, v in rows:
+        own = place[i]
+        idx.append(own[own >= 0])
+        val.append(v[own >= 0].astype(np.float32))
+        sizes.append(len(idx[-1]))
+    idx, val = np.concatenate(idx), np.concatenate(val)
+    seg = np.repeat(np.arange(n, dtype=np.int32), sizes)
+    chunks = [slice(k, k + FIT_CHUNK) for k in range(0, len(idx), FIT_CHUNK)]
     l2 = penalty / n
     share = np.clip(np.cumsum(np.bincount(grades, minlength=n_grades))[:-1] / n, 0.01, 0.99)
     theta = np.maximum.accumulate(np.log(share / (1 - share)) + 1e-3 * np.arange(n_grades - 1))
@@ -109,7 +119,7 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
     lower, upper = grades - 1, grades
     for k in range(1, steps + 1):
         w, theta = x[:m], x[m:]
-        s = np.bincount(seg, val * w[idx], minlength=n)
+        s = sum((np.bincount(seg[c], val[c] * w[idx[c]], minlength=n) for c in chunks), np.zeros(n))
         cdf = np.zeros((n, n_grades + 1))
         cdf[:, 1:n_grades] = 1 / (1 + np.exp(np.clip(s[:, None] - theta, -60, 60)))
         cdf[:, n_grades] = 1
@@ -117,7 +127,8 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], grades: np.ndarray, n_grades:
         at = np.arange(n)
         p = np.maximum(cdf[at, upper + 1] - cdf[at, lower + 1], 1e-9)
         up, low = slope[at, upper + 1] / p, slope[at, lower + 1] / p
-        g_w = np.bincount(idx, val * (up - low)[seg], minlength=m) / n + l2 * w
+        pull = up - low
+        g_w = sum((np.bincount(idx[c], val[c] * pull[seg[c]], minlength=m) for c in chunks), np.zeros(m)) / n + l2 * w
         g_t = (np.bincount(lower + 1, low, n_grades + 1)[1:n_grades] - np.bincount(upper + 1, up, n_grades + 1)[1:n_grades]) / n
         g = np.concatenate([g_w, g_t])
         mom, sq = 0.9 * mom + 0.1 * g, 0.999 * sq + 0.001 * g * g
@@ -156,8 +167,7 @@ def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS,
     got = got.slice(0, max_fit_docs)                                                   # repeated ids in docs
     if not got.num_rows:
         return None
-    sparse = [(np.frombuffer(i.as_py(), np.int32).astype(np.int64), np.frombuffer(v.as_py(), np.float32).astype(np.float64))
-              for i, v in zip(got.column("i"), got.column("v"))]
+    sparse = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(got.column("i"), got.column("v"))]
     return fit(sparse, got.column("g").to_numpy().astype(np.int64), n_grades, **options)
 
 
