@@ -282,4 +282,5 @@ def representatives(docs: DataFrame, words_each: int = 3, max_bits: int = 2, see
     named = rows.select("doc_id", "fp", "row").join(_components(rows, max_bits), "fp")
     first = named.groupBy("group").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row")).alias("least"))
     kept = cut(first.select(F.col("least.row").alias("row")), "kept")
-    return rows.join(kept, "row", "left_semi").select("_c0.*")
+    # a merge join at every size, so that the plan (and what it moves) is the same for small and large inputs
+    return rows.join(kept.hint("merge"), "row", "left_semi").select("_c0.*")
