@@ -99,6 +99,18 @@ def role_stats(df: DataFrame, target: str, id_candidates: Sequence[str]) -> Data
     return df.agg(*aggs)
 
 
+def unique_columns(df: DataFrame, candidates: Sequence[str], stats) -> list[str]:
+    """The candidates whose values are all distinct.  Only those whose sketch
+    (in the row of ``role_stats``) is within a fifth of the row count, ten times
+    its error, are counted exactly."""
+    n = stats["_rows"]
+    near = [c for i, c in enumerate(candidates) if stats[f"_u{i}"] >= 0.8 * n]
+    if not near:
+        return []
+    exact = df.agg(*[F.count_distinct(_c(c)).alias(f"_e{i}") for i, c in enumerate(near)]).collect()[0]
+    return [c for i, c in enumerate(near) if exact[f"_e{i}"] == n]
+
+
 def task_type(distinct: int, numeric: bool, override: str | None = None) -> str:
     """Override wins; 2 values -> classification; numeric with > 10 -> regression."""
     if override and override.lower() in ("classification", "regression"):
@@ -117,10 +129,7 @@ def detect_roles(df: DataFrame, target: str | None = None, demographic: str | No
     id_cands = [c for c in df.columns if c not in (target, demo) and c not in id_override and id_name_match(c)]
     row = role_stats(df, target, id_cands).collect()[0]
     n = row["_rows"]
-    # a sketch within a fifth of the row count (ten times its error) earns an exact count
-    near = [c for i, c in enumerate(id_cands) if row[f"_u{i}"] >= 0.8 * n]
-    exact = df.agg(*[F.count_distinct(_c(c)).alias(f"_e{i}") for i, c in enumerate(near)]).collect()[0] if near else {}
-    ids = list(id_override) + [c for i, c in enumerate(near) if exact[f"_e{i}"] == n]
+    ids = list(id_override) + unique_columns(df, id_cands, row)
     ids = ordered_unique(ids)
     const_flags = {c: bool(row[f"_k{i}"]) for i, c in enumerate(df.columns)}
     numeric, categorical, constant = [], [], []

@@ -190,9 +190,8 @@ def constant_columns_lineitem(spark, sf):
 def id_columns_orders(spark, sf):
     o = read_table(spark, sf, "orders")
     cands = [c for c in o.columns if ro.id_name_match(c) and c != "o_orderpriority"]
-    st = ro.role_stats(o, "o_orderpriority", cands)
-    parts = ", ".join(f"'{c}', _u{i} = _rows" for i, c in enumerate(cands))
-    return st.selectExpr(f"stack({len(cands)}, {parts}) as (column_name, is_unique)")
+    unique = ro.unique_columns(o, cands, ro.role_stats(o, "o_orderpriority", cands).first())
+    return spark.createDataFrame([(c, c in unique) for c in cands], "column_name string, is_unique boolean")
 
 
 def _task_sql(table, col, numeric):
