@@ -25,8 +25,6 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairgauge.llm.common import SPACES
-
 DIM = 1 << 18
 PREFIXES = (4, 5)
 #: Numbers beyond the hashed features: no prefix, repeated neighbours, repeated words.
@@ -37,7 +35,6 @@ MEMO_ENTRIES = 300_000
 MAX_FIT_DOCS = 6_000
 #: Feature values that one step of the fit holds in memory at once.
 FIT_CHUNK = 1 << 19
-_SPLIT = re.compile(SPACES)
 _EDGES = re.compile(r"^[^\w]+|[^\w]+$")
 
 
@@ -54,7 +51,7 @@ def _token_features(token: str) -> tuple[int, ...]:
 
 def features(text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     """Feature numbers and values of a text; ``memo`` remembers tokens' features."""
-    words = [w for w in _SPLIT.split(text or "") if w]
+    words = (text or "").encode("utf-8", "surrogatepass").split()              # bytes split at ASCII white space only
     n = max(1, len(words))
     counts = Counter(words)
     if len(memo) > MEMO_ENTRIES:
@@ -63,7 +60,7 @@ def features(text: str | None, memo: dict) -> tuple[np.ndarray, np.ndarray]:
     for token in counts:
         found = memo.get(token)
         if found is None:
-            found = memo[token] = _token_features(token)
+            found = memo[token] = _token_features(token.decode("utf-8", "surrogatepass"))
         rows.append(found)
     families = np.array(rows, np.int64).reshape(-1, 2 + len(PREFIXES))
     share = np.fromiter(counts.values(), np.float64, len(counts)) / n

@@ -24,7 +24,6 @@ with no training text N and V are 0 and all tokens are equally likely; an empty
 columns are ignored."""
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections import defaultdict
@@ -33,7 +32,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairgauge.llm.common import SPACES, cut
+from fairgauge.llm.common import cut
 from fairgauge.llm.exchange import (SENT, Names, answered, batch, bucket_of, by_block, dealt, in_order, int_key, send,
                                     text_rows)
 
@@ -45,9 +44,7 @@ SHARD_BYTES = 4 << 20
 SPREAD = 200_000
 #: Stored steps of log10 probability: code k stands for 10 ** (-(k - 1) / STEP); 0 is no child.
 STEP = 254 / 8
-END, START = "\n", "\t"          # no word holds white space
-_SPLIT = re.compile(SPACES)
-_LOWER = {i: i + 32 for i in range(65, 91)}
+END, START = b"\n", b"\t"        # no word holds white space
 _SCORED = "key binary, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -234,9 +231,11 @@ def _unzip(body, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(body), kind)
 
 
-def tokens(text: str) -> list[str]:
-    lower = text.lower() if text.isascii() else text.translate(_LOWER)
-    return [w for w in _SPLIT.split(lower) if w] + [END]
+def tokens(text: bytes) -> list[bytes]:
+    """Words (bytes split at ASCII white space, ASCII letters lower-cased) and the end token."""
+    words = text.lower().split()
+    words.append(END)
+    return words
 
 
 class Tokens:
@@ -244,9 +243,9 @@ class Tokens:
 
     def __init__(self, texts, copies):
         import xxhash
-        numbers: dict[str, int] = defaultdict()
+        numbers: dict[bytes, int] = defaultdict()
         numbers.default_factory = numbers.__len__
-        ids = [np.array([numbers[w] for w in tokens(bytes(t).decode("utf-8"))], np.int64) for t in texts]
+        ids = [np.array([*map(numbers.__getitem__, tokens(t))], np.int64) for t in texts]
         self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
         self.starts = np.cumsum(self.sizes) - self.sizes
         self.weight = np.repeat(np.fromiter(copies, np.int64, len(ids)), self.sizes)

@@ -19,7 +19,6 @@ group's name unless all its ids are null; repeated rows each get a row; an empty
 columns are ignored unless named in ``carry``."""
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairgauge.llm.common import SPACES, connected_components, cut
+from fairgauge.llm.common import connected_components, cut
 
 #: Fingerprints under one key beyond which the key is dealt out by sub-segments.
 SPLIT_ABOVE = 4096
@@ -35,26 +34,18 @@ SPLIT_ABOVE = 4096
 BLOCK = 1 << 18
 
 
-def _lower_ascii(text: str) -> str:
-    return text.translate(_LOWER) if not text.isascii() else text.lower()
-
-
-_LOWER = {i: i + 32 for i in range(65, 91)}
-_SPLIT = re.compile(SPACES)
-
-
 def fingerprint(text: str | None, words_each: int = 3, seed: int = 42) -> int:
     """The 64-bit SimHash of a text (unsigned)."""
     import xxhash
-    words = [w for w in _SPLIT.split(_lower_ascii(text or "")) if w]
+    words = (text or "").encode("utf-8", "surrogatepass").lower().split()     # bytes: ASCII letters and white space only
     if not words:
         return 0
     if len(words) <= words_each:
-        return xxhash.xxh64_intdigest(" ".join(words), seed)
+        return xxhash.xxh64_intdigest(b" ".join(words), seed)
     counts, total, step = np.zeros(64, np.int64), 0, 1 << 16
     # A long text is counted in stretches of whole shingles; each stretch is one joined string with known word ends.
     for at in range(0, len(words) - words_each + 1, step):
-        part = [w.encode("utf-8", "surrogatepass") for w in words[at:at + step + words_each - 1]]
+        part = words[at:at + step + words_each - 1]
         joined = b" ".join(part)
         ends = np.cumsum(np.fromiter(map(len, part), np.int64, len(part)) + 1)
         starts = np.concatenate([[0], ends[:-1]])[:len(part) - words_each + 1].tolist()
