@@ -121,9 +121,33 @@ def answered(sent: DataFrame, parts: int, work) -> DataFrame:
     return sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, ROW)
 
 
+def order_of(values: np.ndarray) -> np.ndarray:
+    """The order of unsigned integers.  Sorting plain integers is much faster than sorting by key, so positions are packed
+    into low bits: behind the values where both fit in 64 bits, else in place of their low bits, which is checked."""
+    n = len(values)
+    bits = np.uint64(max(1, n.bit_length()))
+    v, at, mask = values.astype(np.uint64), np.arange(n, dtype=np.uint64), np.uint64((1 << int(bits)) - 1)
+    if n and int(v.max()).bit_length() + int(bits) <= 64:
+        return (np.sort((v << bits) | at) & mask).astype(np.int64)
+    order = (np.sort((v & ~mask) | at) & mask).astype(np.int64)
+    w = v[order]
+    return order if (w[1:] >= w[:-1]).all() else np.argsort(v, kind="stable")
+
+
+def distinct(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sorted distinct values, and each value's number among them."""
+    order = order_of(values)
+    v = values[order]
+    new = np.ones(len(v), bool)
+    new[1:] = v[1:] != v[:-1]
+    number = np.empty(len(v), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return v[new], number
+
+
 def in_order(bucket: np.ndarray, name: np.ndarray, buckets: int) -> np.ndarray:
     """The order of (bucket, name)."""
-    order = np.argsort(name, kind="stable")
+    order = order_of(name)
     small = bucket.astype(np.uint16) if buckets < 1 << 16 else bucket.astype(np.uint32)
     return order[np.argsort(small[order], kind="stable")]
 

@@ -26,14 +26,13 @@ from __future__ import annotations
 
 import struct
 import zlib
-from collections import defaultdict
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fairgauge.llm.common import cut
-from fairgauge.llm.exchange import (SENT, Names, answered, batch, bucket_of, by_block, dealt, in_order, int_key, send,
+from fairgauge.llm.exchange import (SENT, Names, answered, batch, bucket_of, by_block, dealt, distinct, int_key, send,
                                     text_rows)
 
 MU = 500.0
@@ -44,7 +43,6 @@ SHARD_BYTES = 4 << 20
 SPREAD = 200_000
 #: Stored steps of log10 probability: code k stands for 10 ** (-(k - 1) / STEP); 0 is no child.
 STEP = 254 / 8
-END, START = b"\n", b"\t"        # no word holds white space
 _SCORED = "key binary, n_tokens long, n_known long, base_score double, score double"
 
 
@@ -231,34 +229,74 @@ def _unzip(body, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(body), kind)
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words (bytes split at ASCII white space, ASCII letters lower-cased) and the end token."""
-    words = text.lower().split()
-    words.append(END)
-    return words
+class WordHash:
+    """Two independent 64-bit hashes of the words of a byte array: differences of running polynomials."""
+
+    STRETCH = 1 << 17
+
+    def __init__(self, seed: int = 9):
+        rng = np.random.default_rng(seed)
+        self.byte = [rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
+        self.base = [int(rng.integers(0, 1 << 62)) * 4 + 1 for _ in range(2)]
+        self.mix = [np.uint64(int(x) * 2 + 1) for x in rng.integers(0, 1 << 62, 4)]
+        self.marks = rng.integers(0, 1 << 63, (2, 2), dtype=np.uint64)         # of the end token and the start
+
+    def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
+        n = self.STRETCH + int((ends - starts).max(initial=0)) + 1
+        powers = []
+        for base in self.base:
+            up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
+            down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)])
+            powers.append((up, down))
+        out = [np.empty(len(starts), np.uint64) for _ in range(2)]
+        i = 0
+        while i < len(starts):
+            a = int(starts[i])
+            j = max(i + 1, int(np.searchsorted(starts, a + self.STRETCH)))
+            part, s, e = data[a:int(ends[j - 1])], starts[i:j] - a, ends[i:j] - a
+            size = (e - s).astype(np.uint64)
+            for k, (up, down) in enumerate(powers):
+                run = np.zeros(len(part) + 1, np.uint64)
+                np.cumsum(self.byte[k][part] * up[:len(part)], out=run[1:])
+                h = (run[e] - run[s]) * down[s] + size * self.mix[k]
+                h ^= h >> np.uint64(29)
+                h *= self.mix[2 + k]
+                h ^= h >> np.uint64(32)
+                out[k][i:j] = h
+            i = j
+        return out
 
 
 class Tokens:
-    """A block's tokens as numbers of its own vocabulary, words in the order of their hash; START is the last number."""
+    """A block's tokens as numbers of its own vocabulary, words in the order of their hash; START is the last number.
+
+    Words are runs of anything but ASCII white space in the bytes, ASCII letters lower-cased; each text's last token is
+    the end."""
 
     def __init__(self, texts, copies):
-        import xxhash
-        numbers: dict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        ids = [np.array([*map(numbers.__getitem__, tokens(t))], np.int64) for t in texts]
-        self.sizes = np.fromiter(map(len, ids), np.int64, len(ids))
+        texts, hasher = [bytes(t).lower() for t in texts], WordHash()
+        data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
+        inside = np.zeros(len(data) + 1, bool)
+        np.logical_not((data == 32) | ((data >= 9) & (data <= 13)), out=inside[1:])
+        change = np.flatnonzero(inside[1:] != inside[:-1])
+        starts, ends = change[0::2], np.r_[change[1::2], len(data)][:len(change[0::2])]
+        own, spread = hasher(data, starts, ends)
+        bounds = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+        self.sizes = np.bincount(np.searchsorted(bounds, starts, "right"), minlength=len(texts)).astype(np.int64) + 1
         self.starts = np.cumsum(self.sizes) - self.sizes
-        self.weight = np.repeat(np.fromiter(copies, np.int64, len(ids)), self.sizes)
-        digests = [xxhash.xxh3_128_intdigest(w) for w in numbers] + [xxhash.xxh3_128_intdigest(START)]
-        own = np.array([d & 0xFFFFFFFFFFFFFFFF for d in digests], np.uint64)
-        spread = np.array([d >> 64 for d in digests], np.uint64)
-        self.end, self.start = numbers[END] if ids else 0, len(numbers)
-        order = np.argsort(own[:-1], kind="stable")
-        rank = np.empty(len(order), np.int64)
-        rank[order] = np.arange(len(order))
-        self.ids = rank[np.concatenate(ids)] if ids else np.zeros(0, np.int64)
-        self.end = int(rank[self.end]) if ids else 0
-        self.own, self.spread = np.r_[own[:-1][order], own[-1:]], np.r_[spread[:-1][order], spread[-1:]]
+        self.weight = np.repeat(np.fromiter(copies, np.int64, len(texts)), self.sizes)
+        last = np.zeros(int(self.sizes.sum()), bool)
+        last[self.starts + self.sizes - 1] = True
+        every = [np.empty(len(last), np.uint64) for _ in range(2)]
+        for k, h in enumerate((own, spread)):
+            every[k][~last] = h
+            every[k][last] = hasher.marks[0, k]
+        names, self.ids = distinct(every[0])
+        other = np.zeros(len(names), np.uint64)
+        other[self.ids] = every[1]
+        self.own, self.spread = np.r_[names, hasher.marks[1, 0]], np.r_[other, hasher.marks[1, 1]]
+        self.start = len(names)
+        self.end = int(np.searchsorted(names, hasher.marks[0, 0]))
 
     def words(self, buckets: int) -> Names:
         return Names(bucket_of(self.spread[:-1], buckets), self.own[:-1], buckets)
@@ -273,8 +311,9 @@ class Pairs:
     """A block's distinct (context, token) pairs in the order of shard, context hash and token hash."""
 
     def __init__(self, t: Tokens, counts: np.ndarray, shards: int, spread: int):
-        keys, inverse = np.unique((t.contexts() << 32) | t.ids, return_inverse=True)
-        u, w = keys >> 32, keys & 0xFFFFFFFF
+        width = max(1, len(t.own).bit_length())
+        keys, inverse = distinct(((t.contexts() << width) | t.ids).astype(np.uint64))
+        u, w = (keys >> np.uint64(width)).astype(np.int64), (keys & np.uint64((1 << width) - 1)).astype(np.int64)
         splits = (1 + counts // spread).astype(np.uint64)[u]
         place = t.spread[u] + (t.spread[w] % splits) * np.uint64(0x9E3779B97F4A7C15)
         place = np.where(splits > 1, (place ^ (place >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9), place)

@@ -138,3 +138,28 @@ def test_run_is_registered(spark, sf_small):
     import __spark_entry__ as entry
     assert entry.queries()["pipeline"] is corpus_pipeline.run
     assert {f"op{n}_" for n in range(1, 11)} <= {k.split("_")[0] + "_" for k in entry.queries()}
+
+
+# -- exchange helpers and written tables
+
+def test_distinct_and_order():
+    from fairgauge.llm.exchange import distinct, order_of
+    rng = np.random.default_rng(0)
+    cases = [rng.integers(0, hi, n, dtype=np.uint64) for n in (0, 1, 2, 1000, 70_000) for hi in (3, 1 << 20, 1 << 63)]
+    close_by = (rng.integers(0, 50, 5000, dtype=np.uint64) << np.uint64(40)) | rng.integers(0, 4, 5000, dtype=np.uint64)
+    for v in [*cases, close_by, close_by[:60] + np.uint64(1 << 62)]:
+        names, number = np.unique(v, return_inverse=True)
+        got = distinct(v)
+        assert (got[0] == names).all() and (got[1] == number).all() and (np.diff(v[order_of(v)].astype(float)) >= 0).all()
+
+
+def test_written_tables_can_be_dropped(spark):
+    made = common._TABLES.setdefault(spark.sparkContext.applicationId, [])
+    before = len(made)
+    kept = common.cut(spark.range(3), "kept")
+    assert kept.count() == 3 and len(made) == before + 1
+    path = made[-1]
+    common.drop_tables(spark, since=before)
+    assert len(made) == before
+    with pytest.raises(Exception):
+        spark.read.parquet(path).count()
