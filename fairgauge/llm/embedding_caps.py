@@ -1,14 +1,17 @@
 """Embedding near-duplicates by spherical-cap filters.
 
-The filter directions are the words of a structured random product code: the dimensions are cut into ``blocks``, each
-block has ``words`` random unit vectors, and a direction is one word from every block. A vector passes every filter
-whose direction it leans to by at least ``alpha``; these are listed exactly by descending block by block, dropping
-partial words that the best remaining blocks can't lift to ``alpha``. Vectors are joined on shared filters and label,
-and each pair that meets is checked by its cosine in double precision, so that no link is false; a link is missed
-only if its vectors share no filter (the tests measure recall against brute force).
-
-``words`` grows with the number of vectors, so that a filter holds a bounded share of them, and ``alpha`` is set on a
-bounded sample so that a vector passes ``passes`` filters on average. A filter held by more than ``SPLIT_ABOVE`` vectors
+The filter directions are the words of ``CODES`` structured random product codes: a code turns the space at random and
+cuts the dimensions into blocks, each block has ``words`` random unit vectors, and a direction is one word from every
+block. In each code a vector passes the ``each`` filters that it leans to most: its own ``alpha`` is the ``each``-th best
+inner product, and the filters that reach it are listed exactly by descending block by block, dropping partial words
+that the best remaining blocks can't lift to ``alpha``. So every vector has at least ``CODES * each`` filters. Vectors are
+joined on shared filters and label, and each pair that meets is checked by its cosine in double precision, so that no
+link is false; a link is missed only if its vectors share no filter.
+
+``words`` grows with the number of vectors, so that a filter holds a bounded share of them. ``each`` is the least number
+with which drawn pairs at the threshold's cosine, the hardest links, share a filter with probability ``RECALL``; as the
+space is turned at random, that holds for any pair of the data, lone or in a cluster (the tests measure it against
+brute force). A filter held by more than ``SPLIT_ABOVE`` vectors
 is parted into chunks and every two chunks meet in a task of their own: nothing is skipped, no task grows. Equal
 vectors of one label are one class with a count, so copies are never expanded into pairs.
 
@@ -28,10 +31,15 @@ from pyspark.sql import functions as F
 from fairgauge.llm.common import connected_components, cut
 
 BLOCKS = 4
-#: Mean number of filters that a vector passes.
+#: Independent codes.
+CODES = 4
+#: Least number of filters that every vector passes, over all codes.
 PASSES = 24
-#: Vectors drawn to set ``alpha``.
-CALIBRATION_ROWS = 1000
+#: Share of the pairs at the threshold's cosine that must share a filter, and pairs drawn to measure it.
+RECALL = 0.995
+DRAWN_PAIRS = 2000
+#: Bound of the words of a block: reached only with fewer than four blocks.
+MOST_WORDS = 1024
 SPLIT_ABOVE = 2000
 #: Partial words followed at once while listing filters.
 BEAM_ROWS = 4096
@@ -48,35 +56,86 @@ def product_code(dim: int, blocks: int, words: int, seed: int) -> list[np.ndarra
     return out
 
 
-def list_filters(unit: np.ndarray, code: list[np.ndarray], alpha: float) -> tuple[np.ndarray, np.ndarray]:
-    """``(row, filter)`` of every code word whose inner product with a row of ``unit`` is at least ``alpha``."""
+def list_filters(unit: np.ndarray, code: list[np.ndarray], alpha: float | np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, filter)`` of every code word whose inner product with a row of ``unit`` is at least ``alpha`` (or the row's own)."""
     rows, filters = [], []
     words = code[0].shape[1]
     cuts = np.cumsum([0] + [c.shape[0] for c in code])
+    alpha = np.broadcast_to(np.asarray(alpha, np.float64), len(unit))
     for at in range(0, len(unit), BEAM_ROWS):
-        part = unit[at:at + BEAM_ROWS]
+        part, least = unit[at:at + BEAM_ROWS], alpha[at:at + BEAM_ROWS]
         scores = [part[:, a:b] @ c for a, b, c in zip(cuts, cuts[1:], code)]
         best = np.cumsum([s.max(1) for s in scores][::-1], axis=0)[::-1]        # the most that blocks b.. can add
         row, name, total = np.arange(len(part)), np.zeros(len(part), np.int64), np.zeros(len(part))
         for b, s in enumerate(scores):
             rest = best[b + 1] if b + 1 < len(scores) else np.zeros(len(part))
             reach = total[:, None] + s[row]
-            i, w = np.nonzero(reach + rest[row][:, None] >= alpha)
+            i, w = np.nonzero(reach + rest[row][:, None] >= least[row][:, None])
             row, name, total = row[i], name[i] * words + w, reach[i, w]
         rows.append(row + at)
         filters.append(name)
     return np.concatenate(rows or [np.zeros(0, np.int64)]), np.concatenate(filters or [np.zeros(0, np.int64)])
 
 
-def calibrate(sample: np.ndarray, code: list[np.ndarray], passes: float) -> float:
-    """The ``alpha`` at which the sample's rows pass ``passes`` filters on average."""
-    low, high = 0.05, 1.0
-    for _ in range(12):
-        mid = (low + high) / 2
-        # few rows suffice below the aim; a list far too long is cut short by trying the high end first
-        n = len(list_filters(sample, code, mid)[0])
-        low, high = (mid, high) if n > passes * len(sample) else (low, mid)
-    return low
+def own_alpha(unit: np.ndarray, code: list[np.ndarray], each: int) -> np.ndarray:
+    """Each row's ``each``-th best inner product with a code word (its least one if there are fewer words)."""
+    cuts = np.cumsum([0] + [c.shape[0] for c in code])
+    out = [np.zeros(0)]
+    for at in range(0, len(unit), BEAM_ROWS):
+        part = unit[at:at + BEAM_ROWS]
+        top = np.zeros((len(part), 1))
+        for a, b, c in zip(cuts, cuts[1:], code):
+            s = -np.sort(-(part[:, a:b] @ c), axis=1)[:, :each]
+            # the i-th of one list with the j-th of the other has i * j sums at least as good
+            i, j = np.nonzero(np.outer(np.arange(1, top.shape[1] + 1), np.arange(1, s.shape[1] + 1)) <= each)
+            top = -np.sort(-(top[:, i] + s[:, j]), axis=1)[:, :each]
+        out.append(top[:, -1] - 1e-12)                                          # above the rounding of a sum's order
+    return np.concatenate(out)
+
+
+def codes(dim: int, words: int, seed: int) -> list[tuple[np.ndarray, list[np.ndarray]]]:
+    """``(turn, code)`` of every code; the turn is a random rotation, so that no direction of the data is special."""
+    out = []
+    for k in range(CODES):
+        q, r = np.linalg.qr(np.random.default_rng([seed, dim, k]).standard_normal((dim, dim)))
+        out.append((q * np.sign(np.diag(r)), product_code(dim, blocks_of(dim), words, seed + k)))
+    return out
+
+
+def blocks_of(dim: int) -> int:
+    """Blocks of at least two dimensions (a block of one has two directions only)."""
+    return max(1, min(BLOCKS, dim // 2))
+
+
+def own_filters(unit: np.ndarray, made: list[tuple[np.ndarray, list[np.ndarray]]], each: int) -> tuple[np.ndarray, np.ndarray]:
+    """``(row, filter)`` of the ``each`` best filters of every row in every code."""
+    rows, filters = [], []
+    for k, (turn, code) in enumerate(made):
+        turned = unit @ turn
+        row, name = list_filters(turned, code, own_alpha(turned, code, each))
+        rows.append(row)
+        filters.append(name * len(made) + k)
+    return np.concatenate(rows), np.concatenate(filters)
+
+
+def calibrate(dim: int, words: int, threshold: float, passes: float, seed: int) -> int:
+    """The least ``each`` (``passes`` filters in all, or more by steps of a quarter) at which drawn pairs at ``threshold`` share a
+    filter in ``RECALL`` of the cases."""
+    made, rng = codes(dim, words, seed), np.random.default_rng([seed, dim, words])
+    one = _unit(rng.standard_normal((DRAWN_PAIRS, dim)))
+    off = rng.standard_normal((DRAWN_PAIRS, dim))
+    off -= (off * one).sum(1, keepdims=True) * one
+    off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
+    cosine = min(1.0, max(-1.0, threshold))
+    two = _unit(cosine * one + np.sqrt(1 - cosine ** 2) * off) if dim > 1 else one
+    each = max(1, ceil(passes / CODES))
+    while each < words ** blocks_of(dim):
+        keys = [np.unique(np.stack(own_filters(x, made, each)), axis=1) for x in (one, two)]
+        both, times = np.unique(np.concatenate(keys, axis=1), axis=1, return_counts=True)
+        if len(np.unique(both[0, times > 1])) >= RECALL * DRAWN_PAIRS:
+            break
+        each = ceil(each * 1.25)
+    return each
 
 
 def usable(label: Column, vector: Column) -> Column:
@@ -115,18 +174,18 @@ def _pairs_within(bucket: np.ndarray, unit: np.ndarray, least: float):
                 yield i[keep] + at, j[keep] + at
 
 
-def links(classes: DataFrame, dim: int, threshold: float, words: int, alpha: float, seed: int = 42) -> DataFrame:
+def links(classes: DataFrame, dim: int, threshold: float, words: int, each: int, seed: int = 42) -> DataFrame:
     """Distinct linked pairs ``(a, b)`` of ``classes(node, label, vector)``, all vectors of length ``dim``."""
     spark = classes.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
 
     def pass_filters(batches):
-        code = product_code(dim, min(BLOCKS, dim), words, seed)
+        made = codes(dim, words, seed)
         for whole in batches:
             for at in range(0, whole.num_rows, 2048):
                 batch = whole.slice(at, 2048)
                 vectors = np.array(batch.column("vector").to_pylist(), np.float64).reshape(-1, dim)
-                row, name = list_filters(_unit(vectors), code, alpha)
+                row, name = own_filters(_unit(vectors), made, each)
                 take = pa.array(row)
                 yield pa.RecordBatch.from_arrays([batch.column("node").take(take), batch.column("label").take(take), pa.array(name)],
                                                  ["node", "label", "filter"])
@@ -182,11 +241,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.93, passes: float =
     found = None
     for dim, n in sorted((r[0], r[1]) for r in classes.groupBy(F.size("vector")).count().collect()):   # one row a length
         part = classes.where(F.size("vector") == dim)
-        words = max(4, ceil(n ** (1 / min(BLOCKS, dim))))
-        sample = part.orderBy(F.xxhash64("vector", F.lit(seed))).limit(CALIBRATION_ROWS).select("vector").toArrow()
-        unit = _unit(np.array(sample.column("vector").to_pylist(), np.float64).reshape(-1, dim))
-        alpha = calibrate(unit, product_code(dim, min(BLOCKS, dim), words, seed), passes)
-        more = links(part, dim, threshold, words, alpha, seed)
+        words = min(MOST_WORDS, max(4, ceil(n ** (1 / blocks_of(dim)))))
+        more = links(part, dim, threshold, words, calibrate(dim, words, threshold, passes, seed), seed)
         found = more if found is None else found.unionByName(more)
     if found is None:
         found = spark.createDataFrame([], "a long, b long")

@@ -170,6 +170,52 @@ def test_list_filters_is_exact():
     assert set(zip(row.tolist(), name.tolist())) == want and len(row) == len(want)
 
 
+def planted(rng, n, cosine, dim=64):
+    """``n`` lone pairs of unit vectors at ``cosine``."""
+    one = embedding_caps._unit(rng.standard_normal((n, dim)))
+    off = rng.standard_normal((n, dim))
+    off = embedding_caps._unit(off - (off * one).sum(1, keepdims=True) * one)
+    return one, cosine * one + np.sqrt(1 - cosine ** 2) * off
+
+
+@pytest.mark.parametrize("n, cosine", [(2_000, 0.93), (20_000, 0.93), (1_000_000, 0.93), (1_000_000, 0.96), (100_000_000, 0.93)])
+def test_every_vector_has_filters_and_lone_pairs_share_one(n, cosine):
+    words = int(np.ceil(n ** 0.25))
+    each = embedding_caps.calibrate(64, words, 0.93, embedding_caps.PASSES, 42)
+    made = embedding_caps.codes(64, words, 42)
+    sides = [embedding_caps.own_filters(x, made, each) for x in planted(np.random.default_rng(5), 1000, cosine)]
+    for row, _ in sides:
+        assert (np.bincount(row, minlength=1000) == embedding_caps.CODES * each).all()
+    held = [set(zip(row.tolist(), name.tolist())) for row, name in sides]
+    assert len({row for row, _ in held[0] & held[1]}) >= 985
+
+
+def test_own_alpha_is_the_kth_best():
+    code = embedding_caps.product_code(10, 3, 5, 1)
+    x = embedding_caps._unit(np.random.default_rng(4).standard_normal((50, 10)))
+    every = np.stack([x @ np.concatenate([c[:, w] for c, w in zip(code, words)]) for words in itertools.product(range(5), repeat=3)], 1)
+    for k in (1, 7, 40, 125):
+        assert np.allclose(embedding_caps.own_alpha(x, code, k), np.sort(every, 1)[:, -k], atol=1e-9)
+
+
+@pytest.mark.parametrize("dim", [2, 5, 64])
+def test_embedding_recall_of_lone_pairs_and_a_hot_cluster(spark, dim):
+    rng = np.random.default_rng(6)
+    one, two = planted(rng, 700 if dim == 64 else 60, 0.96, dim)
+    axis = np.eye(dim)[rng.integers(0, dim, 60)]                      # zero in all blocks but one
+    hot = np.ones(dim) / np.sqrt(dim) + 0.15 / np.sqrt(dim) * rng.standard_normal((300, dim))
+    x = np.concatenate([one, two, axis, axis + 0.2 / np.sqrt(dim) * rng.standard_normal((60, dim)), hot])
+    labels = np.r_[np.arange(len(one)), np.arange(len(one)), np.arange(120) % 60, np.zeros(300, int)] % 50
+    labels[-300:] = 50
+    hit = brute_links(x, labels)
+    docs = spark.createDataFrame([(i, v, int(k)) for i, (v, k) in enumerate(zip(x.tolist(), labels))], "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: r.n_links for r in embedding_caps.near_duplicates(docs).collect()}
+    found, want = np.array([got[i] for i in range(len(x))]), hit.sum(1)
+    assert (found <= want).all()
+    for part in (slice(0, 2 * len(one)), slice(2 * len(one), len(x) - 300), slice(len(x) - 300, len(x))):
+        assert found[part].sum() >= 0.98 * want[part].sum() > 0
+
+
 def test_embedding_awkward(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None, 1), (2, [0.0, 0.0], 1), (3, [1.0, None], 1), (4, [nan, 1.0], 1), (5, [inf, 1.0], 1), (6, [1.0, 0.0], None),
