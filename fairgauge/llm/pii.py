@@ -41,7 +41,14 @@ _DIGIT = re.compile(r"[0-9]")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
+_IBAN = re.compile(r"(?<![A-Z0-9])[A-Z]{2}[0-9]{2}(?=((?:\x20?[A-Z0-9]){11,30}))")
+#: Lengths of the national forms; a code of another country is taken with all tokens that follow, or not at all.
+IBAN_LENGTH = {c: n for n, names in {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR",
+    27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC",
+    32: "LC", 33: "RU"}.items() for c in names.split()}
+_TOKEN_END = re.compile(r"(?<=[A-Z0-9])(?![A-Za-z0-9])")
 _SSN = re.compile(r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])")
 
 
@@ -80,6 +87,25 @@ def _emails(text: str):
         at = text.find("@", floor)
 
 
+def _ibans(text: str):
+    """Runs of whole tokens that pass mod 97: of the country's length first; elsewhere the longest run from a start."""
+    out, rest = [], []
+    for m in _IBAN.finditer(text):
+        at = m.start()
+        ends = [e for e in range(m.end() + 11, m.end(1) + 1) if _TOKEN_END.match(text, e)]
+        ends = [(e, e - at - text.count(" ", at, e)) for e in ends]
+        own = [e for e, n in ends if n == IBAN_LENGTH.get(m[0][:2])]
+        if own and mod97(text[at:own[0]]):
+            if not out or at >= out[-1][1]:
+                out.append((at, own[0]))
+        elif ends and ends[-1][1] >= 15:
+            rest.append((at, ends[-1][0]))
+    for s, e in rest:
+        if all(e <= a or b <= s for a, b in out) and mod97(text[s:e]):
+            out.append((s, e))
+    return out
+
+
 def _only_digits(s: str) -> str:
     return re.sub(r"[^0-9]", "", s)
 
@@ -105,9 +131,8 @@ def _proposed(text: str):
         for m in _PHONE.finditer(text):
             if 9 <= len(_only_digits(m[0])) <= 15:
                 yield "phone", m.start(), m.end(), False
-    for m in _IBAN.finditer(text):
-        if mod97(m[0]):
-            yield "iban", m.start(), m.end(), True
+    for s, e in _ibans(text):
+        yield "iban", s, e, True
     for m in _SSN.finditer(text):
         if _ssn_valid(m[0]):
             yield "ssn", m.start(), m.end(), False

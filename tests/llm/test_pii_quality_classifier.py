@@ -58,6 +58,19 @@ def test_validators_and_context():
     assert pii.redact_text("mail a@b.co now", pii.find_spans("mail a@b.co now")) == "mail [EMAIL] now"
 
 
+@pytest.mark.parametrize("iban, after", [("DE89370400440532013000", " BIC COBADEFFXXX"), ("DE89 3704 0044 0532 0130 00", " BIC X"),
+                                         ("DE89370400440532013000", " 12 May"), ("DE89370400440532013000", " I think"),
+                                         ("GB82 WEST 1234 5698 7654 32", " BICs"), ("NO9386011117947", " A1 B2 C3 D4 E5 F6 G7 H8 I9 J1"),
+                                         ("DE89370400440532013000", " GB82WEST12345698765432"), ("DE89370400440532013000", ", or")])
+def test_iban_before_other_tokens(iban, after):
+    text = f"IBAN {iban}{after}"
+    found = [text[s:e] for k, s, e, _ in pii.find_spans(text) if k == "iban"]
+    assert found == [iban] + ([after[1:]] if after.startswith(" GB") else [])
+    assert pii.redact_text(text, pii.find_spans(text)) == "IBAN [IBAN]" + (" [IBAN]" if after.startswith(" GB") else after)
+    assert pii.find_spans("IBAN AB12 " + text)[0][1] == 15                                    # a false start before it
+    assert not [x for x in pii.find_spans(f"IBAN {iban}x") + pii.find_spans(f"IBAN {iban[:-1]}") if x[0] == "iban"]
+
+
 def test_op4_equals_brute_force(spark, sf_small):
     texts = texts_of(sf_small)
     rows = QUERIES["op4_find_pii"](spark, sf_small).collect()
