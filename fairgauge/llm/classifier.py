@@ -6,11 +6,12 @@ repeats, each valued by the root of its share of the text. One score, the weight
 P(grade <= k) = logistic(threshold_k - score). The expected grade ranks texts, a tail probability selects them.
 
 The fit is maximum likelihood with an L2 penalty (Adam, fixed steps, no randomness). It uses at most ``max_fit_docs``
-labelled documents, chosen by a hash of their id: this bound is the classifier's one sample, features are made on
-the executors and only these bounded rows reach the driver. Scoring covers every document.
+pairs of a labelled document that exists and a grade, chosen by a hash of the id; copies of a document count once and an
+id with several texts stands for the one of least hash. This bound is the classifier's one sample, features are made
+on the executors and only these bounded rows reach the driver. Scoring covers every document.
 
 Cases: a null or empty text has no features but the intercepts' and is scored like any other; labels that are null or
-without a document are skipped; several labels of one document count each; with no labelled document there is no
+without a document are skipped; different grades of one document count each, repeats once; with no labelled document there is no
 model, and every document is kept with null grades; repeated rows are scored each for itself; an empty table gives an
 empty result; other columns pass through, and those with a result column's name are replaced."""
 from __future__ import annotations
@@ -144,24 +145,33 @@ def grade(quality: Column, toxic: Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, max_fit_docs: int = MAX_FIT_DOCS, seed: int = 42, n_grades: int = 3,
           id_col: str = "doc_id", text_col: str = "text", **options) -> OrdinalModel | None:
     """A model from ``labels(doc_id, grade)`` and the texts of ``docs``; None without labelled documents."""
-    order = F.xxhash64("id", F.lit(seed))
-    chosen = (labels.select(F.col("doc_id").cast("string").alias("id"), F.col("grade").cast("int").alias("g")).dropna()
-              .withColumn("at", order).orderBy("at", "id", "g").limit(max_fit_docs))
-    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t"))
-    rows = texts.join(F.broadcast(chosen), "id").select("at", "id", "g", "t")          # at most max_fit_docs rows
+    graded = labels.select(F.col("doc_id").cast("string").alias("id"), F.col("grade").cast("int").alias("g")).dropna().distinct()
+    texts = docs.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).cast("string").alias("t")) \
+        .withColumn("h", F.xxhash64("t", F.lit(seed)))
+    one = texts.where("id IS NOT NULL").groupBy("id").agg(F.min("h").alias("h"))           # one text an id
+    chosen = (graded.join(one, "id").withColumn("at", F.xxhash64("id", F.lit(seed)))
+              .orderBy("at", "id", "g").limit(max_fit_docs))
+    rows = texts.join(F.broadcast(chosen), ["id", "h"]).select("at", "id", "g", "t")       # every copy of a chosen text
 
     def run(batches):
         memo: dict = {}
+        seen: set = set()                                                                  # at most max_fit_docs pairs
         for batch in batches:
+            new = []
+            for i, key in enumerate(zip(batch.column("id").to_pylist(), batch.column("g").to_pylist())):
+                if key not in seen:
+                    seen.add(key)
+                    new.append(i)
+            batch = batch.take(pa.array(new, pa.int64()))
             made = [features(x.as_py(), memo) for x in batch.column("t")]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("at"), batch.column("id"), batch.column("g"),
                  pa.array([i.astype(np.int32).tobytes() for i, _ in made], pa.binary()),
                  pa.array([v.astype(np.float32).tobytes() for _, v in made], pa.binary())], ["at", "id", "g", "i", "v"])
 
-    got = rows.mapInArrow(run, "at long, id string, g int, i binary, v binary").toArrow()
+    made = rows.mapInArrow(run, "at long, id string, g int, i binary, v binary")
+    got = made.groupBy("at", "id", "g").agg(F.first("i").alias("i"), F.first("v").alias("v")).toArrow()   # at most max_fit_docs rows
     got = got.sort_by([("at", "ascending"), ("id", "ascending"), ("g", "ascending")])
-    got = got.slice(0, max_fit_docs)                                                   # repeated ids in docs
     if not got.num_rows:
         return None
     sparse = [(np.frombuffer(i.as_py(), np.int32), np.frombuffer(v.as_py(), np.float32)) for i, v in zip(got.column("i"), got.column("v"))]

@@ -190,6 +190,23 @@ def test_classifier_awkward(awkward, none, spark):
     assert out.columns.count("kept") == 1 and classifier.classify(none, model).count() == 0
 
 
+def test_fit_sample_is_distinct_documents(frame, spark, monkeypatch):
+    """Copies of a labelled document, repeated labels and labels of absent documents use up no places of the sample."""
+    own = lambda i: f"alpha beta w{i} w{i + 1} gamma"
+    docs = frame([(i, own(i), "s") for i in range(12)] + [(3, own(3), "s")] * 200 + [(3, "another text", "s"), (None, "x", "s"), (5, None, "s")])
+    labels = spark.createDataFrame([(i, i % 3) for i in range(12)] + [(3, 0)] * 50 + [(4, 2)] + [(i, 1) for i in range(1000, 1300)],
+                                   "doc_id long, grade int")
+    seen = []
+    monkeypatch.setattr(classifier, "fit", lambda rows, grades, *a, **k: seen.append((rows, grades)))
+    classifier.train(docs, labels, max_fit_docs=13)
+    classifier.train(docs.repartition(7), labels, max_fit_docs=13)
+    classifier.train(docs, labels, max_fit_docs=4)
+    for rows, grades in seen[:2]:
+        assert len(rows) == 13 and np.bincount(grades).tolist() == [4, 4, 5]
+    assert len(seen[2][0]) == 4 and len({i.tobytes() for i, _ in seen[2][0]}) >= 3
+    assert [i.tobytes() for i, _ in seen[0][0]] == [i.tobytes() for i, _ in seen[1][0]]
+
+
 def test_op9_covers_every_document(spark, sf_small):
     rows = QUERIES["op9_ordinal_quality"](spark, sf_small).collect()
     assert sorted(r.doc_id for r in rows) == sorted(texts_of(sf_small))
