@@ -1,13 +1,14 @@
-"""Removal of repeated 200-byte strings by a distributed difference-cover suffix sort, cut off at that depth.
+"""Removal of repeated 200-byte strings by hashes of windows on a difference cover, in place of a suffix sort.
 
-Only prefixes of ``least`` (200) bytes matter, so suffixes are sorted to that depth:
+Only whether prefixes of ``least`` (200) bytes are equal matters, not their order. So no lexicographic order is made, there
+is no recursion on names and no merge by the sample's ranks, and bytes are not compared: what is sorted are 32- and
+64-bit hashes of windows of 68 and 200 bytes, and equal 64-bit hashes decide a removal without an exact check.
 
 1. Sampled tuples. Positions whose place in the document, modulo a period of 133, lies in a difference cover are named by
-   the 68 (``least`` - period + 1) bytes that start there; names are sorted, and equal neighbours are repeated. For any
+   a hash of the 68 (``least`` - period + 1) bytes that start there; names are sorted, and equal neighbours are repeated. For any
    two positions some shift below the period takes both into the sample, so two equal 200-byte strings hold a pair
-   of sampled tuples of one name: a position with no repeated name in its next 133 places is unique, and
-   the recursion ends for it.
-2. Remaining suffixes. The others are sorted by their 200-byte prefix, and equal neighbours are repeated.
+   of sampled tuples of one name: a position with no repeated name in its next 133 places is unique.
+2. Remaining positions. The others are sorted by a hash of their 200-byte prefix, and equal neighbours are repeated.
 3. Bytes covered by a repeated prefix are removed.
 
 The sorts are distributed: distinct texts are dealt into blocks by their SHA-256, a block names its tuples and sends
