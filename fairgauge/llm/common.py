@@ -64,6 +64,19 @@ def free_name(df: DataFrame, name: str) -> str:
     return name
 
 
+def carried(carry: list[str] | None, results: list[str]) -> dict[str, str]:
+    """Carried column -> its name in a result that has the columns ``results``: its own, with underscores added until it
+    meets neither a result column nor another carried one (names compare without case)."""
+    taken, out = {c.lower() for c in results}, {}
+    for c in carry or []:
+        name = c
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out[c] = name
+    return out
+
+
 def dense_positions(df: DataFrame, order: list[Column], name: str = "pos", keep: list[str] | None = None) -> DataFrame:
     """``df`` with its 0-based position in the total order ``order`` in column ``name``, by a distributed sort.
 

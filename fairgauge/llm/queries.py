@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgauge.llm import (classifier, embedding_caps, mixing, ngram_trie, packing, pii, quality_rules, sharding,
+from fairgauge.llm import (bpe, classifier, embedding_caps, mixing, ngram_trie, packing, pii, quality_rules, sharding,
                            simhash, suffix_dedup)
 from fairgauge.llm.common import table
 
@@ -80,6 +80,13 @@ def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return coded.select("doc_id", "n_tokens", F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE["op6_line_frequency"] = rf"""
