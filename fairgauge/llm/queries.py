@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgauge.llm import (bpe, classifier, embedding_caps, mixing, ngram_trie, packing, pii, quality_rules, sharding,
+from fairgauge.llm import (bpe, classifier, collocations, embedding_caps, mixing, ngram_trie, packing, pii, quality_rules, sharding,
                            simhash, suffix_dedup)
 from fairgauge.llm.common import table
 
@@ -80,6 +80,11 @@ def op8_lm_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_trie.score(table(spark, sf_dir, "documents"))
 
 
+@_query
+def op11_phrase_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.mine(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text")))
@@ -134,3 +139,27 @@ SELECT doc_id, size, source_size, target,
                              WHEN coalesce(before, 0) <= rest AND rest - coalesce(before, 0) >= 0.5 * size THEN 1 ELSE 0 END))::BIGINT AS taken
 FROM r
 """
+
+ORACLE["op11_phrase_parsing"] = r"""
+WITH p AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w
+           FROM (SELECT coalesce(lang, 'und') AS lang,
+                        unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                  '[.,;:!?\x0A-\x0D]')) AS piece FROM documents)),
+c AS (SELECT lang, k, phrase, count(*) AS f
+      FROM (SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: array_to_string(w[i:i + k - 1], ' '))) AS phrase
+            FROM p, (VALUES (1), (2), (3), (4), (5)) AS o(k) WHERE len(w) >= k) GROUP BY ALL),
+t AS (SELECT lang, sum(f)::HUGEINT AS n FROM c WHERE k = 1 GROUP BY lang),
+f AS (SELECT * FROM c WHERE f >= 100),
+cuts AS (SELECT f.lang, f.k, f.phrase, f.f AS a, string_split(f.phrase, ' ') AS w, unnest(range(1, f.k)) AS at FROM f WHERE f.k > 1),
+s AS (SELECT cuts.lang, cuts.phrase, cuts.a, t.n, x.f AS l, y.f AS r, cuts.at,
+             1000::HUGEINT * cuts.a * t.n // (x.f::HUGEINT * y.f) AS score
+      FROM cuts JOIN t USING (lang)
+      JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[1:cuts.at], ' ')
+      JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[cuts.at + 1:], ' ')
+      QUALIFY row_number() OVER (PARTITION BY cuts.lang, cuts.phrase ORDER BY score, cuts.at) = 1),
+kept AS (SELECT * FROM s WHERE NOT EXISTS (
+           SELECT 1 FROM f WHERE f.lang = s.lang AND f.f = s.a AND len(f.phrase) > len(s.phrase)
+                             AND contains(' ' || f.phrase || ' ', ' ' || s.phrase || ' ')))
+SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
