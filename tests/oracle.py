@@ -7,6 +7,7 @@ import math
 import os
 
 import duckdb
+import numpy as np
 import pandas as pd
 
 from fairgauge.session import TABLES
@@ -23,12 +24,14 @@ def duck(sf_dir: str) -> duckdb.DuckDBPyConnection:
 
 
 def _norm(v):
-    if v is None:
+    if v is None or v is pd.NA:
         return None
+    if isinstance(v, np.generic):
+        v = v.item()
     if isinstance(v, float):
         if math.isnan(v):
             return None
-        return round(v, 6)
+        return int(v) if v.is_integer() else round(v, 6)      # a nullable integer column may come as floats
     if hasattr(v, "tolist") and not isinstance(v, (str, bytes)):
         return tuple(_norm(x) for x in v.tolist())
     if isinstance(v, (list, tuple)):
