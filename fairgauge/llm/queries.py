@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from fairgauge.llm import (bpe, classifier, collocations, embedding_caps, mixing, ngram_trie, packing, pii, quality_rules, sharding,
-                           simhash, suffix_dedup)
+from fairgauge.llm import (bpe, classifier, collocations, embedding_caps, mixing, ngram_trie, packing, pii, prefix_trie,
+                           quality_rules, sharding, simhash, suffix_dedup)
 from fairgauge.llm.common import table
 
 QUERIES: dict = {}
@@ -92,6 +92,13 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@_query
+def op13_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = prefix_trie.order_turns(table(spark, sf_dir, "conversations"))
+    base, head = F.col("conv") - F.col("conv") % 20, F.crc32(F.col("conv").cast("string")) % 4
+    return prefix_trie.build(*prefix_trie.share_heads(turns, head, base))
+
+
 _WORD = r"[^\x20\x09-\x0D]+"
 
 ORACLE["op6_line_frequency"] = rf"""
@@ -163,3 +170,26 @@ kept AS (SELECT * FROM s WHERE NOT EXISTS (
 SELECT lang, rank, phrase, a, l, r, n::BIGINT AS n, score::BIGINT AS score
 FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
 """
+
+ORACLE["op13_prefix_trie"] = r"""
+WITH k AS (SELECT list_transform(range(256), lambda x: list_reduce(list_prepend(x, range(8)),
+                    lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS ct),
+t AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+             row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS i
+      FROM conversations WHERE conv_id IS NOT NULL),
+o AS (SELECT conv_id AS c, list({'m': md5(strlen(role) || ':' || role || text), 'w': len(regexp_extract_all(text, '[^\x20\x09-\x0D]+'))} ORDER BY i) AS s
+      FROM t GROUP BY conv_id),
+h AS (SELECT c, s, CASE WHEN c % 20 = 0 THEN 0 ELSE xor(list_reduce(list_prepend(4294967295, list_transform(string_split(c::VARCHAR, ''), lambda x: ascii(x)::BIGINT)),
+                      lambda a, b: xor(a >> 8, ct[(xor(a, b) & 255) + 1])), 4294967295) % 4 END AS h FROM o, k),
+r AS (SELECT h.c, coalesce(b.s[1:h.h], []) || h.s[h.h + 1:] AS s FROM h LEFT JOIN o b ON b.c = h.c - h.c % 20),
+m AS (SELECT c, d, list_transform(s[1:d], lambda x: x.m) AS p, CASE WHEN d = 0 THEN 0 ELSE s[d].w END AS w, len(s) = d AS ends
+      FROM (SELECT c, s, unnest(range(0, len(s) + 1)) AS d FROM r)),
+n AS (SELECT p, d, min(c) AS conv_id, count(*) AS n_convs, (count(*) - 1) * any_value(w) AS own,
+             sha256(coalesce(string_agg(c::VARCHAR, ',' ORDER BY c) FILTER (ends), '')) AS ends_sha256 FROM m GROUP BY p, d),
+ch AS (SELECT p[1:d - 1] AS p, count(*) AS n FROM n WHERE d > 0 GROUP BY 1),
+u AS (SELECT p[1:k] AS p, sum((leaf)::INT) AS n_leaves, sum(own) AS saved
+      FROM (SELECT n.p, own, ch.n IS NULL AS leaf, unnest(range(0, n.d + 1)) AS k FROM n LEFT JOIN ch USING (p)) GROUP BY 1)
+SELECT n.conv_id, n.d AS depth, up.conv_id AS parent_conv_id, n.n_convs, coalesce(ch.n, 0) AS n_children, u.n_leaves::BIGINT AS n_leaves,
+       u.saved::BIGINT AS saved_tokens, n.ends_sha256
+FROM n LEFT JOIN ch USING (p) JOIN u USING (p) LEFT JOIN n up ON n.d > 0 AND up.p = n.p[1:n.d - 1]
+"""
