@@ -35,12 +35,13 @@ from pyspark.sql import functions as F
 from fairgauge.llm.common import carried
 
 #: Remembered stretches of text per worker; when full, the memory starts anew (ids do not depend on it).
-MEMO_ENTRIES = 1_000_000
+MEMO_ENTRIES = 250_000
 MEMO_LENGTH = 64
-#: Characters of text that are encoded at once (a longer text is encoded alone).
-GROUP_CHARS = 12 << 20
+#: Characters of text that are encoded at once, and of new pre-tokens that are merged at once (longer ones alone).
+GROUP_CHARS = 4 << 20
+MERGE_CHARS = 1 << 20
 #: Bytes of ids that are decoded at once.
-FLUSH_BYTES = 8 << 20
+FLUSH_BYTES = 4 << 20
 
 
 def vocabulary_path() -> str:
@@ -148,8 +149,10 @@ class Merges:
         return np.where(self.keys[at] == key, self.made[at], np.int32(-1))
 
 
-def merge_all(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
-    """The ids of every (non-empty) piece."""
+def merge_all(pieces: list[bytes], merges: Merges) -> list[bytes]:
+    """The ids of every (non-empty) piece, little-endian unsigned 32-bit."""
+    if not pieces:
+        return []
     data = np.frombuffer(b"".join(pieces), np.uint8)
     n = len(data)
     sizes = np.fromiter(map(len, pieces), np.int64, len(pieces))
@@ -181,13 +184,16 @@ def merge_all(pieces: list[bytes], merges: Merges) -> list[np.ndarray]:
         ids[at], after[at], before[end] = rank, end, at
         rank_at[gone], alive[gone] = -1, False
         left = before[at]
-        right_rank, left_rank = merges.rank(ids[at], ids[end]), merges.rank(ids[left], ids[at])
+        own = ids[at]
+        both = merges.rank(np.concatenate([own, ids[left]]), np.concatenate([ids[end], own]))
+        right_rank, left_rank = both[:len(at)], both[len(at):]
         rank_at[at], rank_at[left] = right_rank, left_rank
         right_new, left_new = right_rank >= 0, left_rank >= 0
         left_new[1:] &= left[1:] != at[:-1]                          # that pair is its left merge's right one
         queue.push(right_rank[right_new].tolist() + left_rank[left_new].tolist(), at[right_new].tolist() + left[left_new].tolist())
-    ids, counts = ids[:n][alive], np.add.reduceat(alive, begins, dtype=np.int64) if n else []
-    return np.split(ids, np.cumsum(counts)[:-1]) if n else []
+    made = ids[:n][alive].astype("<u4").tobytes()
+    bounds = [0, *(4 * np.cumsum(np.add.reduceat(alive, begins, dtype=np.int64))).tolist()]
+    return [made[a:b] for a, b in zip(bounds, bounds[1:])]
 
 
 def _one_where_lower(at, every, rank, ids, after, before, piece_of, merges, queue):
@@ -220,6 +226,7 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], split: str):
         import regex
         self.ranks, self.merges = ranks, Merges(ranks)
+        self.letter_runs = split == pattern()             # ASCII letters, perhaps after a space, are then one match
         # White space by its Unicode property, whatever the expression library takes \s to be.
         self.find = regex.compile(split.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")).findall
         self.memo: dict[str, bytes] = {}
@@ -232,49 +239,107 @@ class Encoder:
         first, *rest = text.split(" ")
         return ([first] if first else []) + [" " + r for r in rest]
 
-    def _learn(self, stretches: set[str]) -> dict[str, bytes]:
-        """The ids of every stretch."""
-        matches = {s: self.find(s) for s in stretches}
-        ids = {m: None for found in matches.values() for m in found}
-        new = []
-        for m in ids:
-            whole = self.ranks.get(m.encode())
-            if whole is None:
-                new.append(m)
+    def _matches(self, stretches: list[str]) -> dict[str, list[str]]:
+        """The pattern's matches in every stretch. Stretches that start with a space and end with anything but white space
+        are split in one go: between them a match ends in any case."""
+        out, safe = {}, []
+        for s in stretches:
+            if self.letter_runs and s.isascii() and (s[1:] if s[0] == " " else s).isalpha():
+                out[s] = [s]
+            elif s[0] == " " and not s[-1].isspace():
+                safe.append(s)
             else:
-                ids[m] = np.array([whole], "<u4").tobytes()
-        for m, made in zip(new, merge_all([m.encode() for m in new], self.merges)):
-            ids[m] = made.astype("<u4").tobytes()
-        return {s: b"".join(map(ids.__getitem__, found)) for s, found in matches.items()}
+                out[s] = self.find(s)
+        found = iter(self.find("".join(safe)))
+        for s in safe:
+            out[s], left = [], len(s)
+            while left > 0:
+                out[s].append(next(found))
+                left -= len(out[s][-1])
+            if left:
+                raise ValueError("the pattern matches across a space that follows other characters")
+        return out
+
+    def _learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids of every stretch."""
+        ranks, ids, new, size = self.ranks, {}, [], 0
+        matches = self._matches(stretches)
+
+        def flush():
+            ids.update(zip(new, merge_all([m.encode() for m in new], self.merges)))
+            new.clear()
+
+        for found in matches.values():
+            for m in found:
+                if m not in ids:
+                    whole = ranks.get(m.encode())
+                    ids[m] = None if whole is None else whole.to_bytes(4, "little")
+                    if whole is None:
+                        new.append(m)
+                        size += len(m)
+                        if size >= MERGE_CHARS:
+                            flush()
+                            size = 0
+        flush()
+        return {s: ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found)) for s, found in matches.items()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        parts = [self._stretches(t) for t in texts]
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
+        """The texts are split twice, to learn what is new and to look up, so that no list of all parts is held."""
         known = self.memo
-        new = self._learn({s for p in parts for s in p if s not in known})
-        known.update((s, ids) for s, ids in new.items() if len(s) <= MEMO_LENGTH)
-        long = {s: ids for s, ids in new.items() if len(s) > MEMO_LENGTH}
-        return [b"".join([known.get(s) or long[s] for s in p] if long else map(known.__getitem__, p)) for p in parts]
+        if len(known) > MEMO_ENTRIES:
+            known.clear()
+        new = set()
+        for t in texts:
+            new.update(s for s in self._stretches(t) if s not in known)
+        made = self._learn(list(new))
+        known.update((s, ids) for s, ids in made.items() if len(s) <= MEMO_LENGTH)
+        long = {s: ids for s, ids in made.items() if len(s) > MEMO_LENGTH}
+        if long:
+            return [b"".join([known.get(s) or long[s] for s in self._stretches(t)]) for t in texts]
+        return [b"".join(map(known.__getitem__, self._stretches(t))) for t in texts]
 
 
 def _schema(df: DataFrame, keep: list[str], more: str) -> str:
     return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in keep) + ", " + more
 
 
+class Decoder:
+    """The bytes that a list of ids stands for."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        words = [None] * (max(ranks.values()) + 1)
+        for word, rank in ranks.items():
+            words[rank] = word
+        self.table = pa.array(words, pa.binary())
+
+    def __call__(self, ids: pa.Array) -> bytes:
+        if not len(ids):
+            return b""
+        words = self.table.take(ids)
+        if words.null_count:
+            raise ValueError("an id is not in the vocabulary")
+        _, offsets, data = words.buffers()                 # all words' bytes lie one after the other
+        ends = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset)
+        return data[int(ends[0]):int(ends[-1])].to_pybytes()
+
+
 def encode(docs: DataFrame, vocabulary: str | None = None, split: str | None = None, id_col: str = "doc_id",
-           text_col: str = "text", carry: list[str] | None = None) -> DataFrame:
-    """Per row of ``docs``: ``doc_id, n_tokens, ids`` (a list of integers) and the ``carry`` columns."""
+           text_col: str = "text", carry: list[str] | None = None, decoded: bool = False) -> DataFrame:
+    """Per row of ``docs``: ``doc_id, n_tokens, ids`` (a list of integers) and the ``carry`` columns; with ``decoded`` also the
+    bytes that the ids decode to, made in the same pass."""
     path, split = vocabulary or vocabulary_path(), split or pattern()
-    back = carried(carry, ["doc_id", "n_tokens", "ids"])
+    made = ["n_tokens", "ids"] + ["decoded"] * decoded
+    back = carried(carry, ["doc_id", *made])
     rows = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"),
                        *[F.col(f"`{c}`").alias(f"_c{i}") for i, c in enumerate(back)])
     kept = [c for c in rows.columns if c != "text"]
 
     def run(batches):
-        encoder = None
+        encoder = decoder = None
         for batch in batches:
-            encoder = encoder or Encoder(load_ranks(path), split)
+            if encoder is None:
+                ranks = load_ranks(path)
+                encoder, decoder = Encoder(ranks, split), Decoder(ranks)
             texts, others = batch.column("text"), batch.select(kept)
             first, held, size = 0, [], 0
             for i in range(batch.num_rows):
@@ -285,12 +350,14 @@ def encode(docs: DataFrame, vocabulary: str | None = None, split: str | None = N
                     sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
                     flat = pa.array(np.frombuffer(b"".join(ids), "<i4"))
                     lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), flat)
-                    yield pa.RecordBatch.from_arrays([*others.slice(first, len(sizes)).columns, pa.array(sizes), lists],
-                                                     [*kept, "n_tokens", "ids"])
+                    columns = [*others.slice(first, len(sizes)).columns, pa.array(sizes), lists]
+                    if decoded:
+                        columns.append(pa.array([decoder(pa.array(np.frombuffer(x, "<i4"))) for x in ids], pa.binary()))
+                    yield pa.RecordBatch.from_arrays(columns, [*kept, *made])
                     first, held, size = i + 1, [], 0
 
-    out = rows.mapInArrow(run, _schema(rows, kept, "n_tokens long, ids array<int>"))
-    return out.select("doc_id", "n_tokens", "ids", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(back.values())])
+    out = rows.mapInArrow(run, _schema(rows, kept, "n_tokens long, ids array<int>" + ", decoded binary" * decoded))
+    return out.select("doc_id", *made, *[F.col(f"_c{i}").alias(c) for i, c in enumerate(back.values())])
 
 
 def decode(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", vocabulary: str | None = None) -> DataFrame:
@@ -301,14 +368,9 @@ def decode(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", vocabula
     kept = [c for c in named.columns if c != "_ids"]
 
     def run(batches):
-        table = None
+        decoder = None
         for batch in batches:
-            if table is None:
-                ranks = load_ranks(path)
-                words = [None] * (max(ranks.values()) + 1)
-                for word, rank in ranks.items():
-                    words[rank] = word
-                table = pa.array(words, pa.binary())
+            decoder = decoder or Decoder(load_ranks(path))
             lists = batch.column("_ids")
             first = 0
             while first < batch.num_rows:
@@ -316,12 +378,7 @@ def decode(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", vocabula
                 while last < batch.num_rows and (size == 0 or size < FLUSH_BYTES):
                     size += 4 * (len(lists[last]) if lists[last].is_valid else 0) + 1
                     last += 1
-                made = []
-                for at in range(first, last):
-                    got = table.take(lists[at].values) if lists[at].is_valid and len(lists[at]) else None
-                    if got is not None and got.null_count:
-                        raise ValueError("an id is not in the vocabulary")
-                    made.append(b"" if got is None else _joined(got))
+                made = [decoder(lists[at].values) if lists[at].is_valid else b"" for at in range(first, last)]
                 yield pa.RecordBatch.from_arrays([*batch.select(kept).slice(first, last - first).columns, pa.array(made, pa.binary())],
                                                  [*kept, "_out"])
                 first = last
@@ -329,9 +386,3 @@ def decode(rows: DataFrame, ids_col: str = "ids", out: str = "decoded", vocabula
     done = named.mapInArrow(run, _schema(named, kept, "_out binary"))
     return done.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(others)], F.col("_out").alias(out))
 
-
-def _joined(words: pa.BinaryArray) -> bytes:
-    """The bytes of all words, one after the other (they already lie so in the array's buffer)."""
-    _, offsets, data = words.buffers()
-    ends = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset)
-    return data[int(ends[0]):int(ends[-1])].to_pybytes()
