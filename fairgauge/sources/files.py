@@ -72,6 +72,10 @@ def load_model(path: str):
     return PipelineModel.load(path)
 
 
+# Modules whose classes a bundle may name.
+MODEL_MODULES = ("pyspark.ml.", "fairgauge.operators.")
+
+
 def save_bundle(path: str, prep, models: Sequence[tuple], tables: dict[str, DataFrame]) -> None:
     """The fitted preparation, every fitted model in order (name, model), and
     named tables (reports, the split) under one folder."""
@@ -93,6 +97,8 @@ def load_bundle(spark: SparkSession, path: str) -> tuple:
     models = []
     for r in spark.read.schema("pos int, name string, kind string").json(os.path.join(path, "models")).orderBy("pos").collect():
         module, _, kind = r["kind"].rpartition(".")
+        if not module.startswith(MODEL_MODULES):
+            raise ValueError(f"not a model class of this library or of Spark ML: {r['kind']}")
         models.append((r["name"], getattr(importlib.import_module(module), kind).load(os.path.join(path, f"model_{r['pos']}"))))
     names = [r["name"] for r in spark.read.schema("name string").json(os.path.join(path, "names")).collect()]
     return (load_model(os.path.join(path, "prep")), models,
