@@ -312,9 +312,9 @@ def coefficient_rank_lines(spark, sf):
 
 # --- sources and sinks ------------------------------------------------------------------------
 
-@register("csv_roundtrip_customer")
+@register("csv_roundtrip_customer", "SELECT CAST(c_custkey AS INTEGER) AS c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer")
 def csv_roundtrip_customer(spark, sf):
-    """A1: a driver table written as CSV with a header and read back with inferred types (rows-only)."""
+    """A1: a driver table written as CSV with a header and read back with inferred types."""
     from fairgauge.sources.files import read_csv
     c = read_table(spark, sf, "customer")
     path = scratch_path(spark, f"csv_customer_{uuid.uuid4().hex}")
