@@ -15,8 +15,9 @@ The sorts are distributed: distinct texts are dealt into blocks by their SHA-256
 each bucket of the name space the sorted distinct names it holds, a bucket answers with one bit a name (held by
 another block or not). A name held a billion times is thus sent once by each block. Names of step 1 are 32 bits
 within a bucket (a false match only keeps a position for step 2); prefixes of step 2 are compared by 64 bits within a
-bucket that an independent hash chooses, and buckets hold a bounded number of names, so that false matches stay
-below one in 10^12 positions at any size.
+bucket that an independent hash chooses, and buckets hold a bounded number of names. Hashes are polynomials modulo
+2^64: for patterned bytes (Thue-Morse) made for it, different windows can have equal hashes, so such text can lose bytes that do
+not repeat. This is an open defect.
 
 Equal texts are one text with a count: a text of 200 bytes or more with a copy is removed whole. Only keys, answers
 and counts are joined back; texts are read from the input in each of the three passes and never written.
