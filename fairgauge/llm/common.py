@@ -68,7 +68,7 @@ def carried(carry: list[str] | None, results: list[str]) -> dict[str, str]:
     """Carried column -> its name in a result that has the columns ``results``: its own, with underscores added until it
     meets neither a result column nor another carried one (names compare without case)."""
     taken, out = {c.lower() for c in results}, {}
-    for c in carry or []:
+    for c in dict.fromkeys(carry or []):
         name = c
         while name.lower() in taken:
             name += "_"

@@ -17,7 +17,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from fairgauge.llm.common import cut, dense_positions, free_name, word_count
+from fairgauge.llm.common import carried, cut, dense_positions, free_name, word_count
+
+#: Columns of the result; a carried column called like one of them gets underscores.
+RESULT = ["doc_id", "source", "size", "source_size", "target", "epochs", "repeats", "taken"]
 
 #: Bits of the sampling hash that one search level resolves (4096 cells a source and level).
 LEVEL_BITS = 12
@@ -133,7 +136,7 @@ def mix(docs: DataFrame, weights: DataFrame | None = None, max_epochs: float = 3
     out = out.withColumn("repeats", F.coalesce(F.col("whole") + F.col("_more"), F.lit(0)).cast("long"))
     return out.select("doc_id", "source", "size", "source_size", "target", "epochs", "repeats",
                       (F.col("repeats") * F.col("size")).alias("taken"),
-                      *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])
+                      *[F.col(f"_c{(carry or []).index(c)}").alias(n) for c, n in carried(carry, RESULT).items()])
 
 
 def mixed_rows(docs: DataFrame, **options) -> DataFrame:

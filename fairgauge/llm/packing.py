@@ -26,6 +26,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fairgauge.llm.common import carried
+
+#: Columns of the result; a carried column called like one of them gets underscores.
+RESULT = ["doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids"]
+
 END_ID = 1
 #: Remembered pieces of text per worker; when full, the memory starts anew (ids do not depend on it).
 MEMO_ENTRIES = 300_000
@@ -136,7 +141,7 @@ def pack(docs: DataFrame, max_len: int = 2048, vocabulary: str | None = None, id
 
     out = rows.mapInArrow(run, schema)
     return out.select("doc_id", "start", "length", "doc_tokens", "sequence_id", "offset", "ids",
-                      *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+                      *[F.col(f"_c{carry.index(c)}").alias(n) for c, n in carried(carry, RESULT).items()])
 
 
 def write_buckets(packed: DataFrame, path: str) -> None:

@@ -18,7 +18,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairgauge.llm.common import SPACES, cut
+from fairgauge.llm.common import SPACES, carried, cut
+
+#: Columns of the result; a carried column called like one of them gets underscores.
+RESULT = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "lost_words", "removed", "base_failed", "kept"]
 
 MIN_WORDS, MAX_REPEAT_PERCENT, WINDOW = 50, 50, 3
 #: A host's line in more distinct documents than this is boilerplate; a document losing more of its words is depleted.
@@ -88,7 +91,7 @@ def judge(docs: DataFrame, max_docs: int = MAX_DOCS, max_lost: float = MAX_LOST,
     lost = hit.groupBy("row").agg(F.sum("w").alias("lost_words"), F.collect_set("h").alias("removed"))
     out = figures.drop("lines").join(lost, "row", "left").withColumn("lost_words", F.coalesce("lost_words", F.lit(0)).cast("long"))
     failed = base_failed()
-    return out.select(*[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)], "n_words", "word_chars", "n_symbols",
+    return out.select(*[F.col(f"_c{carry.index(c)}").alias(n) for c, n in carried(carry, RESULT).items()], "n_words", "word_chars", "n_symbols",
                       "n_dup_lines", "n_repeat_words", "lost_words", "removed", failed.alias("base_failed"),
                       (~failed & (F.col("lost_words") <= F.col("n_words") * max_lost)).alias("kept"))
 

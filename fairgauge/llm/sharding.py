@@ -21,7 +21,10 @@ import hashlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairgauge.llm.common import cut, dense_positions
+from fairgauge.llm.common import carried, cut, dense_positions
+
+#: Columns of the result; a carried column called like one of them gets underscores.
+RESULT = ["doc_id", "size", "text_crc32", "owner", "shard", "slot"]
 
 
 def ring_points(shards: int, virtual_nodes: int) -> list[tuple[int, int]]:
@@ -91,7 +94,7 @@ def shard(docs: DataFrame, shards: int = 8, virtual_nodes: int = 32, slack: floa
     owner = F.element_at(F.array(*[F.lit(s) for _, s in points]), F.col("arc") + 1)
     return placed.select("doc_id", "size", "text_crc32", owner.alias("owner"), "shard",
                          (F.col("_slot") + F.col("rank") - F.col("_from")).alias("slot"),
-                         *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry or [])])
+                         *[F.col(f"_c{(carry or []).index(c)}").alias(n) for c, n in carried(carry, RESULT).items()])
 
 
 def plain_owner(place: int, points: list[tuple[int, int]]) -> int:

@@ -26,7 +26,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from fairgauge.llm.common import connected_components, cut
+from fairgauge.llm.common import carried, connected_components, cut
+
+#: Columns of the result; a carried column called like one of them gets underscores.
+RESULT = ["doc_id", "fp", "component_id"]
 
 #: Fingerprints under one key beyond which the key is dealt out by sub-segments.
 SPLIT_ABOVE = 4096
@@ -260,7 +263,7 @@ def near_duplicates(docs: DataFrame, words_each: int = 3, max_bits: int = 2, see
     carry = carry or []
     rows = _prints(docs, words_each, seed, id_col, text_col, carry)
     return rows.join(_components(rows, max_bits), "fp").select(
-        "doc_id", "fp", "component_id", *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+        "doc_id", "fp", "component_id", *[F.col(f"_c{carry.index(c)}").alias(n) for c, n in carried(carry, RESULT).items()])
 
 
 def representatives(docs: DataFrame, words_each: int = 3, max_bits: int = 2, seed: int = 42, id_col: str = "doc_id",

@@ -34,9 +34,12 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fairgauge.llm.common import cut
+from fairgauge.llm.common import carried, cut
 from fairgauge.llm.exchange import SENT, Names, answered, batch, bucket_of, by_block, dealt, int_key, send, text_rows
 
+#: Columns of the result; a carried column called like one of them gets underscores.
+RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
+
 BLOCK_BYTES = 12 << 20
 #: Names a bucket is sized for.
 BUCKET_NAMES = 2_000_000
@@ -259,4 +262,4 @@ def dedup(docs: DataFrame, least: int = 200, id_col: str = "doc_id", text_col: s
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).cast("long").alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce("n_spans", F.lit(0))).cast("long").alias("n_spans"),
         F.when(whole, F.sha2(F.lit(""), 256)).otherwise(F.coalesce("kept_sha256", "sha")).alias("kept_sha256"),
-        *[F.col(f"_c{i}").alias(c) for i, c in enumerate(carry)])
+        *[F.col(f"_c{carry.index(c)}").alias(n) for c, n in carried(carry, RESULT).items()])
