@@ -153,15 +153,22 @@ def in_order(bucket: np.ndarray, name: np.ndarray, buckets: int) -> np.ndarray:
 
 
 class Names:
-    """A block's distinct names in bucket order: what it sends, and which of its positions an answer is for."""
+    """A block's distinct names in bucket order: what it sends, and which of its positions an answer is for. ``more`` are
+    further bits of the names (none by default)."""
 
-    def __init__(self, bucket: np.ndarray, name: np.ndarray, buckets: int):
+    def __init__(self, bucket: np.ndarray, name: np.ndarray, buckets: int, more: np.ndarray | None = None):
         order = in_order(bucket, name, buckets)
         b, v = bucket[order], name[order]
         new = np.ones(len(order), bool)
         new[1:] = (b[1:] != b[:-1]) | (v[1:] != v[:-1])
+        if more is not None:
+            if ((more[order][1:] != more[order][:-1]) & ~new[1:]).any():
+                order = np.lexsort((more, name, bucket))
+            m = more[order]
+            new[1:] |= m[1:] != m[:-1]
         self.first = np.flatnonzero(new)
         self.values = v[self.first]
+        self.more = np.zeros(0, np.uint32) if more is None else m[self.first]
         self.bounds = np.searchsorted(b[self.first], np.arange(buckets + 1, dtype=b.dtype))
         self.number = np.empty(len(order), np.int64)            # distinct name of each position
         self.number[order] = np.cumsum(new) - 1

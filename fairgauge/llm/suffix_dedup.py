@@ -2,7 +2,7 @@
 
 Only whether prefixes of ``least`` (200) bytes are equal matters, not their order. So no lexicographic order is made, there
 is no recursion on names and no merge by the sample's ranks, and bytes are not compared: what is sorted are 32- and
-64-bit hashes of windows of 68 and 200 bytes, and equal 64-bit hashes decide a removal without an exact check.
+96-bit hashes of windows of 68 and 200 bytes.
 
 1. Sampled tuples. Positions whose place in the document, modulo a period of 133, lies in a difference cover are named by
    a hash of the 68 (``least`` - period + 1) bytes that start there; names are sorted, and equal neighbours are repeated. For any
@@ -14,10 +14,10 @@ is no recursion on names and no merge by the sample's ranks, and bytes are not c
 The sorts are distributed: distinct texts are dealt into blocks by their SHA-256, a block names its tuples and sends
 each bucket of the name space the sorted distinct names it holds, a bucket answers with one bit a name (held by
 another block or not). A name held a billion times is thus sent once by each block. Names of step 1 are 32 bits
-within a bucket (a false match only keeps a position for step 2); prefixes of step 2 are compared by 64 bits within a
-bucket that an independent hash chooses, and buckets hold a bounded number of names. Hashes are polynomials modulo
-2^64: for patterned bytes (Thue-Morse) made for it, different windows can have equal hashes, so such text can lose bytes that do
-not repeat. This is an open defect.
+within a bucket (a false match only keeps a position for step 2). Prefixes of step 2 are compared by 96 bits, within a
+bucket that further bits choose: two polynomials modulo 2^61 - 1 (``hashes``) at bases drawn anew in each run.
+Two different prefixes agree in both whole hashes for at most 200^2 of the 2^122 pairs of bases, whatever their bytes are, and no text can be
+made for bases that are not drawn yet. Bytes themselves are not compared.
 
 Equal texts are one text with a count: a text of 200 bytes or more with a copy is removed whole. Only keys, answers
 and counts are joined back; texts are read from the input in each of the three passes and never written.
@@ -35,7 +35,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairgauge.llm.common import carried, cut
-from fairgauge.llm.exchange import SENT, Names, answered, batch, bucket_of, by_block, dealt, int_key, send, text_rows
+from fairgauge.llm.exchange import (SENT, Names, answered, batch, bucket_of, by_block, dealt, int_key, order_of, send,
+                                    text_rows)
+from fairgauge.llm.hashes import Polynomial, drawn
 
 #: Columns of the result; a carried column called like one of them gets underscores.
 RESULT = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -68,28 +70,16 @@ def difference_cover(q: int) -> list[int]:
 
 
 class WindowHash:
-    """64-bit hashes of all windows of a byte array: differences of a running polynomial, brought to one power."""
-
-    def __init__(self, seed: int):
-        rng = np.random.default_rng(seed)
-        self.byte = rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-        base = int(rng.integers(0, 1 << 62)) * 4 + 1
-        n = STRETCH + 4096
-        self.up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
-        self.down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)])
-        self.mix = np.uint64(int(rng.integers(0, 1 << 62)) * 2 + 1)
-
-    def at(self, data: np.ndarray, first: int, starts: np.ndarray, length: int) -> np.ndarray:
+    """64-bit hashes of all windows of a byte array."""
+
+    def __init__(self, seed: int, length: int):
+        self.length = length
+        self.hash = Polynomial(np.random.default_rng(seed), STRETCH + length)
+
+    def at(self, data: np.ndarray, first: int, starts: np.ndarray) -> np.ndarray:
         """Hashes of ``data[s:s + length]`` for the ascending ``starts``, all in [first, first + STRETCH)."""
-        part = data[first:first + STRETCH + length]
-        running = np.zeros(len(part) + 1, np.uint64)
-        np.cumsum(self.byte[part] * self.up[:len(part)], out=running[1:])
         s = starts - first
-        h = (running[s + length] - running[s]) * self.down[s]
-        h ^= h >> np.uint64(29)
-        h *= self.mix
-        h ^= h >> np.uint64(32)
-        return h
+        return self.hash.windows(data[first:first + STRETCH + self.length], s, s + self.length)
 
 
 class Block:
@@ -110,13 +100,13 @@ class Block:
             place = np.arange(first, last)
             yield first, place - np.repeat(self.begins[a:b], inside), np.repeat(self.ends[a:b], inside) - place
 
-    def sampled(self, hasher: WindowHash, in_cover: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    def sampled(self, hasher: WindowHash, in_cover: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Sampled positions and their names."""
         at, names = [], []
         for first, offset, left in self.stretches():
-            s = first + np.flatnonzero(in_cover[offset % len(in_cover)] & (left >= length))
+            s = first + np.flatnonzero(in_cover[offset % len(in_cover)] & (left >= hasher.length))
             at.append(s)
-            names.append(hasher.at(self.data, first, s, length))
+            names.append(hasher.at(self.data, first, s))
         return np.concatenate(at or [np.zeros(0, np.int64)]), np.concatenate(names or [np.zeros(0, np.uint64)])
 
     def candidates(self, repeated: np.ndarray, period: int, least: int) -> np.ndarray:
@@ -131,13 +121,13 @@ class Block:
             out.append(first + np.flatnonzero(live[first:first + len(left)] & (left >= least)))
         return np.concatenate(out or [np.zeros(0, np.int64)])
 
-    def prefixes(self, hashers: tuple[WindowHash, WindowHash], starts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    def prefixes(self, hashers: tuple[WindowHash, WindowHash], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         out = [], []
         cuts = np.searchsorted(starts, np.arange(0, len(self.data) + STRETCH, STRETCH))
         for k, (a, b) in enumerate(zip(cuts, cuts[1:])):
             for o, hasher in zip(out, hashers):
                 if b > a:
-                    o.append(hasher.at(self.data, k * STRETCH, starts[a:b], least))
+                    o.append(hasher.at(self.data, k * STRETCH, starts[a:b]))
         return tuple(np.concatenate(o or [np.zeros(0, np.uint64)]) for o in out)
 
 
@@ -150,17 +140,33 @@ def _marked(names: Names, answers: dict[int, bytes]) -> np.ndarray:
     return held[names.number]
 
 
-def _shared(width: str, kind: int):
-    """The answer to a row of names: a bit a name, set if another block's row holds it too."""
-    def work(bucket, blocks, bodies):
-        bodies = [np.frombuffer(body, width) for body in bodies]
-        everything = np.sort(np.concatenate(bodies))
-        twice = everything[1:][everything[1:] == everything[:-1]]               # names are distinct within a block
-        for block, own in zip(blocks, bodies if len(twice) else ()):
-            at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
-            if (hit := twice[at] == own).any():
-                yield block, kind, int_key(bucket), np.packbits(hit).tobytes()
-    return work
+def _shared(bucket, blocks, bodies):
+    """The answer to a row of names of step 1: a bit a name, set if another block's row holds it too."""
+    bodies = [np.frombuffer(body, "<u4") for body in bodies]
+    everything = np.sort(np.concatenate(bodies))
+    twice = everything[1:][everything[1:] == everything[:-1]]                   # names are distinct within a block
+    for block, own in zip(blocks, bodies if len(twice) else ()):
+        at = np.minimum(np.searchsorted(twice, own), len(twice) - 1)
+        if (hit := twice[at] == own).any():
+            yield block, 0, int_key(bucket), np.packbits(hit).tobytes()
+
+
+def _shared_wide(bucket, blocks, bodies):
+    """The same for the names of step 2: first all their 64 bits, then all their further 32."""
+    sizes = [len(body) // 12 for body in bodies]
+    name = np.concatenate([np.frombuffer(body, "<u8", n) for body, n in zip(bodies, sizes)])
+    more = np.concatenate([np.frombuffer(body, "<u4", n, 8 * n) for body, n in zip(bodies, sizes)])
+    order = order_of(name)
+    if (more[order][1:] != more[order][:-1])[name[order][1:] == name[order][:-1]].any():
+        order = np.lexsort((more, name))                                        # equal in 64 bits, different in the rest
+    again = (name[order][1:] == name[order][:-1]) & (more[order][1:] == more[order][:-1])
+    if again.any():
+        held = np.zeros(len(name), bool)
+        held[order[1:]] = again
+        held[order[:-1]] |= again
+        for block, hit in zip(blocks, np.split(held, np.cumsum(sizes)[:-1])):
+            if hit.any():
+                yield block, 1, int_key(bucket), np.packbits(hit).tobytes()
 
 
 def _notes(starts: np.ndarray) -> bytes:
@@ -176,11 +182,12 @@ def _noted(body: bytes) -> np.ndarray:
     return np.repeat(first - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
 
 
-def removals(texts: DataFrame, total_bytes: int, least: int = 200, order: int = ORDER, seed: int = 42,
+def removals(texts: DataFrame, total_bytes: int, least: int = 200, order: int = ORDER, seed: int | None = None,
              block_bytes: int = BLOCK_BYTES, bucket_names: int = BUCKET_NAMES) -> DataFrame:
     """``key, n_removed, n_spans, kept_sha256`` of the distinct ``texts(key, body, n)`` that lose any byte to another
     place of the distinct texts."""
     parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    seed = drawn() if seed is None else seed
     cover, period = difference_cover(order), order * order + order + 1
     length = least - period + 1
     if length < 16:
@@ -193,16 +200,16 @@ def removals(texts: DataFrame, total_bytes: int, least: int = 200, order: int =
     rows = text_rows(texts, blocks)
 
     def block_names(block: Block) -> tuple[np.ndarray, Names]:
-        at, h = block.sampled(WindowHash(seed), in_cover, length)
+        at, h = block.sampled(WindowHash(seed, length), in_cover)
         return at, Names(bucket_of(h, name_buckets), (h & np.uint64(0xFFFFFFFF)).astype(np.uint32), name_buckets)
 
     def block_prefixes(block: Block, starts: np.ndarray) -> Names:
-        h1, h2 = block.prefixes((WindowHash(seed + 1), WindowHash(seed + 2)), starts, least)
-        return Names(bucket_of(h1, prefix_buckets), h2, prefix_buckets)
+        h1, h2 = block.prefixes((WindowHash(seed + 1, least), WindowHash(seed + 2, least)), starts)
+        return Names(bucket_of(h1, prefix_buckets), h2, prefix_buckets, (h1 & np.uint64(0xFFFFFFFF)).astype(np.uint32))
 
     def packed(names: Names):
         for bucket, a, b in names.sent():
-            yield bucket, names.values[a:b].tobytes()
+            yield bucket, names.values[a:b].tobytes() + names.more[a:b].tobytes()
 
     def send_names(batches):
         return send(batches, lambda got: packed(block_names(Block(list(got.texts.values())))[1]))
@@ -234,8 +241,8 @@ def removals(texts: DataFrame, total_bytes: int, least: int = 200, order: int =
             if out:
                 yield batch(out, _LOST)
 
-    names = cut(answered(dealt(parts, rows).mapInArrow(send_names, SENT), parts, _shared("<u4", 0)), "names")
-    prefixes = cut(answered(dealt(parts, rows, names).mapInArrow(send_prefixes, SENT), parts, _shared("<u8", 1)), "prefixes")
+    names = cut(answered(dealt(parts, rows).mapInArrow(send_names, SENT), parts, _shared), "names")
+    prefixes = cut(answered(dealt(parts, rows, names).mapInArrow(send_prefixes, SENT), parts, _shared_wide), "prefixes")
     return dealt(parts, rows, prefixes).mapInArrow(remove, _LOST)
 
 
