@@ -8,7 +8,7 @@ A shard of the trie holds the contexts whose hash falls to it. Its first level i
 children are pointers i to i + 1), its second the children's numbers within the shard's vocabulary, each raised by the
 largest number of the contexts before so that the level is one monotone sequence; both are stored as Elias-Fano lists
 (packed low bits, unary high bits, a count directory). Beside each child is its smoothed probability
-c(u, w) / (c(u) + mu), as one of 255 steps of its logarithm. A child is found by successor search: two zero-selects
+c(u, w) / (c(u) + mu), rounded to steps of its logarithm (1/32 of a decade), without a floor. A child is found by successor search: two zero-selects
 in the high bits bound the few candidates of one high part, relative to the context's pointers. A shard's bytes are
 flat arrays; ``Trie.load`` reads them in place from any buffer, a memory map included.
 
@@ -24,6 +24,7 @@ with no training text N and V are 0 and all tokens are equally likely; an empty
 columns are ignored."""
 from __future__ import annotations
 
+import hashlib
 import struct
 import zlib
 
@@ -34,6 +35,7 @@ from pyspark.sql import functions as F
 from fairgauge.llm.common import cut
 from fairgauge.llm.exchange import (SENT, Names, answered, batch, bucket_of, by_block, dealt, distinct, int_key, send,
                                     text_rows)
+from fairgauge.llm.hashes import Polynomial, drawn
 
 MU = 500.0
 BLOCK_BYTES = 12 << 20
@@ -41,7 +43,8 @@ BLOCK_BYTES = 12 << 20
 SHARD_BYTES = 4 << 20
 #: Training tokens of a context that one shard takes.
 SPREAD = 200_000
-#: Stored steps of log10 probability: code k stands for 10 ** (-(k - 1) / STEP); 0 is no child.
+#: Stored steps of log10 probability: code k stands for 10 ** (-(k - 1) / STEP); 0 is no child. A shard whose codes all
+#: fit (none below 10^-8) keeps one byte each, any other two.
 STEP = 254 / 8
 _SCORED = "key binary, n_tokens long, n_known long, base_score double, score double"
 
@@ -180,12 +183,14 @@ class Trie:
         below = np.r_[0, np.cumsum(tops + 1)[:-1]] if len(tops) else np.zeros(0, np.int64)
         raised = number + np.repeat(below, ends - starts)
         p = probability(c, total)
-        steps = np.clip(np.rint(-np.log10(p) * STEP), 0, 254).astype(np.uint8) + np.uint8(1)
+        steps = np.maximum(np.rint(-np.log10(p) * STEP), 0).astype(np.uint16) + np.uint16(1)
+        if steps.max(initial=0) < 256:
+            steps = steps.astype(np.uint8)
         return cls(contexts, vocabulary, EliasFano.of(np.r_[starts, len(c)]), EliasFano.of(raised), steps)
 
     def find(self, context: np.ndarray, sizes: np.ndarray, follower: np.ndarray) -> np.ndarray:
         """Steps (0: no child) of the followers; ``context[i]`` has the next ``sizes[i]`` of them."""
-        out = np.zeros(len(follower), np.uint8)
+        out = np.zeros(len(follower), self.steps.dtype)
         if not len(self.contexts) or not len(follower):
             return out
         i = np.minimum(np.searchsorted(self.contexts, context), len(self.contexts) - 1)
@@ -210,13 +215,14 @@ class Trie:
     @classmethod
     def load(cls, body) -> "Trie":
         p = _parts(body)
-        return cls(np.frombuffer(p[0], np.uint64), np.frombuffer(p[1], np.uint64), EliasFano.load(p[2:5]),
-                   EliasFano.load(p[5:8]), np.frombuffer(p[8], np.uint8))
+        children = EliasFano.load(p[5:8])
+        return cls(np.frombuffer(p[0], np.uint64), np.frombuffer(p[1], np.uint64), EliasFano.load(p[2:5]), children,
+                   np.frombuffer(p[8], np.uint8 if len(p[8]) == children.n else np.uint16))
 
 
 def step_values() -> np.ndarray:
     """The probability each step stands for."""
-    return np.r_[0.0, 10 ** (-np.arange(255) / STEP)]
+    return np.r_[0.0, 10 ** (-np.arange((1 << 16) - 1) / STEP)]
 
 
 # -- blocks -------------------------------------------------------------------------------------------------------
@@ -230,39 +236,32 @@ def _unzip(body, kind) -> np.ndarray:
 
 
 class WordHash:
-    """Two independent 64-bit hashes of the words of a byte array: differences of running polynomials."""
+    """Two independent 64-bit hashes of the words of a byte array (``hashes``); words over ``LONG`` bytes by SHA-256."""
 
     STRETCH = 1 << 17
+    LONG = 1 << 22
 
-    def __init__(self, seed: int = 9):
-        rng = np.random.default_rng(seed)
-        self.byte = [rng.integers(0, 1 << 63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1) for _ in range(2)]
-        self.base = [int(rng.integers(0, 1 << 62)) * 4 + 1 for _ in range(2)]
-        self.mix = [np.uint64(int(x) * 2 + 1) for x in rng.integers(0, 1 << 62, 4)]
-        self.marks = rng.integers(0, 1 << 63, (2, 2), dtype=np.uint64)         # of the end token and the start
+    def __init__(self, seed: int):
+        self.seed = seed
+        self.marks = np.random.default_rng(seed).integers(0, 1 << 63, (2, 2), dtype=np.uint64)   # of the end token and the start
 
     def __call__(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> list[np.ndarray]:
-        n = self.STRETCH + int((ends - starts).max(initial=0)) + 1
-        powers = []
-        for base in self.base:
-            up = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, base, np.uint64)])
-            down = np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, pow(base, -1, 1 << 64), np.uint64)])
-            powers.append((up, down))
         out = [np.empty(len(starts), np.uint64) for _ in range(2)]
+        for i in np.flatnonzero(ends - starts > self.LONG):
+            digest = hashlib.sha256(data[starts[i]:ends[i]].tobytes()).digest()
+            for o, h in zip(out, struct.unpack_from("<QQ", digest)):
+                o[i] = h
+        short = np.flatnonzero(ends - starts <= self.LONG)
+        starts, ends = starts[short], ends[short]
+        reach = self.STRETCH + int((ends - starts).max(initial=0))
+        hashes = [Polynomial(np.random.default_rng(self.seed + 1 + k), reach) for k in range(2)]
         i = 0
         while i < len(starts):
             a = int(starts[i])
             j = max(i + 1, int(np.searchsorted(starts, a + self.STRETCH)))
             part, s, e = data[a:int(ends[j - 1])], starts[i:j] - a, ends[i:j] - a
-            size = (e - s).astype(np.uint64)
-            for k, (up, down) in enumerate(powers):
-                run = np.zeros(len(part) + 1, np.uint64)
-                np.cumsum(self.byte[k][part] * up[:len(part)], out=run[1:])
-                h = (run[e] - run[s]) * down[s] + size * self.mix[k]
-                h ^= h >> np.uint64(29)
-                h *= self.mix[2 + k]
-                h ^= h >> np.uint64(32)
-                out[k][i:j] = h
+            for o, h in zip(out, hashes):
+                o[short[i:j]] = h.windows(part, s, e)
             i = j
         return out
 
@@ -273,8 +272,8 @@ class Tokens:
     Words are runs of anything but ASCII white space in the bytes, ASCII letters lower-cased; each text's last token is
     the end."""
 
-    def __init__(self, texts, copies):
-        texts, hasher = [bytes(t).lower() for t in texts], WordHash()
+    def __init__(self, texts, copies, seed: int):
+        texts, hasher = [bytes(t).lower() for t in texts], WordHash(seed)
         data = np.frombuffer(b" ".join([*texts, b""]), np.uint8)
         inside = np.zeros(len(data) + 1, bool)
         np.logical_not((data == 32) | ((data >= 9) & (data <= 13)), out=inside[1:])
@@ -379,16 +378,16 @@ def _merged(bodies, mu: float) -> tuple[Trie, list[tuple]]:
 class _Rounds:
     """The two rounds over ``texts(key, body, n)``; n is the number of training copies of a text."""
 
-    def __init__(self, texts: DataFrame, total_bytes: int, mu: float, block_bytes: int, shard_bytes: int, spread: int):
+    def __init__(self, texts: DataFrame, total_bytes: int, mu: float, block_bytes: int, shard_bytes: int, spread: int, seed: int):
         self.parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-        self.mu, self.spread = mu, spread
+        self.mu, self.spread, self.seed = mu, spread, seed
         self.shards = max(4 * self.parts, total_bytes // shard_bytes)
         self.rows = text_rows(texts, max(1, -(-total_bytes // block_bytes)))
         shards = self.shards
 
         def send_words(batches):
             def work(got):
-                t = Tokens(got.texts.values(), got.copies.values())
+                t = Tokens(got.texts.values(), got.copies.values(), seed)
                 names = t.words(shards)
                 counts = np.bincount(t.ids, t.weight, len(names.number)).astype(np.int64)[_of(names)]
                 for bucket, a, b in names.sent():
@@ -410,35 +409,35 @@ class _Rounds:
         self.words = words.where("kind <> 3")
 
     def sent_pairs(self) -> DataFrame:
-        shards, spread = self.shards, self.spread
+        shards, spread, seed = self.shards, self.spread, self.seed
 
         def send_all(batches):
             def work(got):
-                t = Tokens(got.texts.values(), got.copies.values())
+                t = Tokens(got.texts.values(), got.copies.values(), seed)
                 counts = _word_counts(t, got, shards)
                 yield from _sent_pairs(t, counts, Pairs(t, counts, shards, spread))
             return send(batches, work)
         return dealt(self.parts, self.rows, self.words).mapInArrow(send_all, SENT)
 
     def scored(self) -> DataFrame:
-        mu, shards, spread, n, v = self.mu, self.shards, self.spread, self.n, self.v
+        mu, shards, spread, seed, n, v = self.mu, self.shards, self.spread, self.seed, self.n, self.v
 
         def answer(bucket, blocks, bodies):
             trie, asked = _merged(bodies, mu)
             for block, (c, sizes, f) in zip(blocks, asked):
                 steps = trie.find(c, sizes, f)
                 if steps.any():
-                    yield block, 1, int_key(bucket), _zip(steps)
+                    yield block, 1, int_key(bucket), bytes([steps.itemsize]) + _zip(steps)
 
         def score(batches):
             values = step_values()
             for _, got in by_block(batches):
-                t = Tokens(got.texts.values(), got.copies.values())
+                t = Tokens(got.texts.values(), got.copies.values(), seed)
                 counts = _word_counts(t, got, shards)
                 pairs = Pairs(t, counts, shards, spread)
-                steps = np.zeros(len(pairs.u), np.uint8)
+                steps = np.zeros(len(pairs.u), np.uint16)
                 for shard, body in got.answers.get(1, {}).items():
-                    steps[pairs.bounds[shard]:pairs.bounds[shard + 1]] = _unzip(body, np.uint8)
+                    steps[pairs.bounds[shard]:pairs.bounds[shard + 1]] = _unzip(body[1:], f"u{body[0]}")
                 p1 = (counts + 0.5) / (n + 0.5 * (v + 1))
                 p = values[steps] + mu / (counts[pairs.u] + mu) * p1[pairs.w]
                 known = np.add.reduceat((counts[t.ids] > 0).astype(np.int64), t.starts)
@@ -486,7 +485,7 @@ def _prepared(docs: DataFrame, id_col: str, text_col: str, options: dict) -> tup
     total = keyed.agg(F.sum("size")).first()[0] or 0
     texts = docs.select(F.unhex(F.sha2(text, 256)).alias("key"), text.cast("binary").alias("body"),
                         F.when(held, 0).otherwise(1).cast("long").alias("n"))
-    settings = {"mu": MU, "block_bytes": BLOCK_BYTES, "shard_bytes": SHARD_BYTES, "spread": SPREAD} | options
+    settings = {"mu": MU, "block_bytes": BLOCK_BYTES, "shard_bytes": SHARD_BYTES, "spread": SPREAD, "seed": drawn()} | options
     return keyed, _Rounds(texts, total, **settings)
 
 
