@@ -13,6 +13,7 @@ repeated rows are treated row by row; offsets are code points, ends exclusive.""
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -100,10 +101,13 @@ def _ibans(text: str):
                 out.append((at, own[0]))
         elif ends and ends[-1][1] >= 15:
             rest.append((at, ends[-1][0]))
-    for s, e in rest:
-        if all(e <= a or b <= s for a, b in out) and mod97(text[s:e]):
-            out.append((s, e))
-    return out
+    starts, last, more = [a for a, _ in out], 0, []
+    for s, e in rest:                               # both lists are in order and free of overlaps among themselves
+        k = bisect_left(starts, e)
+        if s >= last and (not k or out[k - 1][1] <= s) and mod97(text[s:e]):
+            more.append((s, e))
+            last = e
+    return out + more
 
 
 def _only_digits(s: str) -> str:
