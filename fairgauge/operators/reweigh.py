@@ -16,12 +16,12 @@ def reweigh_table(train: DataFrame, group: str, label: str = "label") -> DataFra
     """w(g, y) = n_g * n_y / (N * n_gy) for every (group, label) pair present.
     One groupBy; the windows run over the (groups x labels)-row result only."""
     c = train.groupBy(group_text(group).alias("_g"), F.col(label).alias("_y")).agg(F.count(F.lit(1)).alias("n_gy"))
-    # n_y: one row per label, N: one row -- both broadcast; n_g is a window
-    # partitioned by group, so a table with very many groups stays distributed
+    # n_y: one row per label, joined as the planner sees fit; N: one row, broadcast; n_g is a window
+    # partitioned by group, so a table with very many groups or labels stays distributed
     ny = c.groupBy("_y").agg(F.sum("n_gy").alias("n_y"))
     nn = c.agg(F.sum("n_gy").alias("n_all"))
     c2 = (c.withColumn("n_g", F.sum("n_gy").over(Window.partitionBy("_g")))
-          .join(F.broadcast(ny), "_y"))
+          .join(ny, "_y"))
     c2 = attach_row(c2, nn)
     w = F.try_divide(F.col("n_g").cast("double") * F.col("n_y"), F.col("n_all").cast("double") * F.col("n_gy"))
     return c2.select("_g", "_y", "n_gy", w.alias("weight"))

@@ -187,6 +187,15 @@ def verdict_lines(spark, sf):
     return po.verdict(_gates_lines(spark, sf))
 
 
+@register("pillar_colours_lines", _gates_sql()
+          + "SELECT pillar, CAST(p AS INTEGER) AS passed, CAST(n AS INTEGER) AS total, "
+          "CASE WHEN 1.0 * p / n >= 0.85 THEN 'green' WHEN 1.0 * p / n >= 0.50 THEN 'amber' ELSE 'red' END AS colour FROM ("
+          "SELECT CASE WHEN grouping(pillar) = 1 THEN 'ALL' ELSE pillar END AS pillar, "
+          "count(*) FILTER (WHERE status = 'PASS') AS p, count(*) AS n FROM g GROUP BY ROLLUP (pillar))")
+def pillar_colours_lines(spark, sf):
+    return po.pillar_colours(_gates_lines(spark, sf))
+
+
 @register("decisions_lines", _gates_sql()
           + "SELECT k, v FROM (SELECT lower(replace(rule, ' ', '_')) AS k, status AS v FROM g UNION ALL "
           "SELECT 'accuracy', status FROM g WHERE rule = 'Model Accuracy' UNION ALL SELECT 'recall', status FROM g WHERE rule = 'Model Recall' "
