@@ -187,7 +187,7 @@ def redacted(text: Column) -> Column:
 
 
 def find_pii(docs: DataFrame, text_col: str = "text", out: str = "pii_spans") -> DataFrame:
-    """``docs`` with the spans of ``text_col`` in column ``out`` (which must be a new name)."""
+    """``docs`` with the spans of ``text_col`` in column ``out`` (a column of that name is replaced)."""
     return docs.withColumn(out, spans(F.col(text_col)))
 
 
