@@ -1,9 +1,9 @@
 """Model fitting (I6-I11) with Spark ML.
 
-* I6 logistic regression: L2 with C = 1 in the sum-of-losses form equals
-  Spark's mean-loss objective with ``regParam = 1 / sum(weights)`` and no
-  feature standardisation.  (The reference's solver also penalises the
-  intercept; Spark does not -- a documented small difference.)
+* I6 logistic regression, L2 with C = 1 in the sum-of-losses form: two classes
+  by the Newton steps of ``operators.logistic`` (the intercept is penalised too);
+  more classes by Spark's multinomial fit with ``regParam = 1 / sum(weights)``
+  and no feature standardisation, whose intercepts are free.
 * I7 ridge with the penalty chosen by leave-one-out error: one distributed
   pass builds the centred Gram matrix (per-partition NumPy partials summed by
   Spark), the p x p solve per alpha runs on the driver (p = prepared
@@ -26,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fairgauge.operators import boosting
+from fairgauge.operators import logistic as newton
 
 # Functions of this module run inside tasks (mapInPandas): ship them by value
 # so executors need not have the package installed.
@@ -44,8 +45,10 @@ SEED = 42
 
 
 def logistic(train: DataFrame, features: str = "features", label: str = "label", weight: str | None = None,
-             max_iter: int = 5000):
-    """Binary (or multinomial) logistic regression, L2, C = 1."""
+             max_iter: int = 5000, n_classes: int = 2):
+    """Logistic regression, L2, C = 1; for two classes the intercept is penalised too."""
+    if n_classes <= 2:
+        return newton.fit(train, features, label, weight)
     tot = train.agg(F.sum(F.col(weight)) if weight else F.count(F.lit(1))).collect()[0][0] or 1
     lr = LogisticRegression(featuresCol=features, labelCol=label, regParam=1.0 / float(tot), elasticNetParam=0.0,
                             standardization=False, maxIter=max_iter, tol=1e-6)

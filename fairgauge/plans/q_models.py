@@ -86,31 +86,92 @@ SELECT alpha, round(beta, 6) AS coefficient, round(icpt, 6) AS intercept, round(
 """
 
 
-@register("ridge_one_feature_lineitem", _RIDGE_SQL)
-def ridge_one_feature_lineitem(spark, sf):
+def _ridge_rows(spark, sf, **options):
     li = read_table(spark, sf, "lineitem")
     d = VectorAssembler(inputCols=["l_quantity"], outputCol="features").transform(li) \
         .withColumn("label", F.col("l_extendedprice"))
-    fit = mo.ridge_cv(d)
+    fit = mo.ridge_cv(d, **options)
     rows = [(a, float(b[0][0]), float(b[1]), float(fit.loo_errors[a]), a == fit.alpha) for a, b in fit.per_alpha.items()]
     out = spark.createDataFrame(rows, "alpha double, coefficient double, intercept double, loo_error double, chosen boolean")
-    return out.select("alpha", F.round("coefficient", 6).alias("coefficient"), F.round("intercept", 6).alias("intercept"),
-                      F.round("loo_error", 2).alias("loo_error"), "chosen")
+    return out.select(F.round("alpha", 6).alias("alpha"), F.round("coefficient", 6).alias("coefficient"),
+                      F.round("intercept", 6).alias("intercept"), F.round("loo_error", 2).alias("loo_error"), "chosen")
+
+
+@register("ridge_one_feature_lineitem", _RIDGE_SQL)
+def ridge_one_feature_lineitem(spark, sf):
+    return _ridge_rows(spark, sf)
+
+
+@register("ridge_wide_search_lineitem",
+          _RIDGE_SQL.replace("unnest([0.1, 1.0, 10.0]) AS alpha", "power(10, -3 + 6 * i / 9.0) AS alpha FROM range(10) AS r(i)")
+          .replace("SELECT alpha, round(beta", "SELECT round(alpha, 6) AS alpha, round(beta"))
+def ridge_wide_search_lineitem(spark, sf):
+    """The search over ten penalties, evenly spaced in the logarithm from 0.001 to 1000."""
+    return _ridge_rows(spark, sf, alphas=mo.RIDGE_ALPHAS_WIDE)
 
 
 def _prepared_lines_model(spark, sf):
-    li = read_table(spark, sf, "lineitem").withColumn("key", lines_key())
+    li = read_table(spark, sf, "lineitem").withColumn("key", F.concat_ws("-", lines_key(), "l_partkey", "l_suppkey"))
     s = sp.stratified_split(li.withColumn("label", (F.col("l_linestatus") == "F").cast("double")), "key", "label")
     pm, st = fit_prepare(s.where("split = 'train'"), ["l_quantity", "l_discount", "l_tax"], ["l_returnflag"])
     return s, pm, st
 
 
-@register("logistic_coefficients_lines")
+_LINES_FEATURES = ["num__l_quantity", "num__l_discount", "num__l_tax", "cat__l_returnflag_A", "cat__l_returnflag_N",
+                   "cat__l_returnflag_R"]
+
+
+def _newton_sql(steps: int = 8) -> str:
+    """The split, preparation and fit of ``logistic_coefficients_lines`` step by step: ``d`` holds the prepared rows (x7 is the
+    intercept's 1) and ``b<steps>`` the parameters z1 to z7 after so many Newton steps from 0, each step's equation being solved
+    by elimination (the Hessian is positive definite, so any order of the unknowns will do)."""
+    m = len(_LINES_FEATURES) + 1
+    at = range(1, m + 1)
+    key = "concat_ws('-', l_orderkey, l_linenumber, l_partkey, l_suppkey)"
+    out = [f"""WITH k AS (SELECT {key} AS key, CAST(l_linestatus = 'F' AS DOUBLE) AS y, l_quantity AS q, l_discount AS dsc, l_tax AS tax,
+                         l_returnflag AS rf FROM lineitem),
+h AS (SELECT *, row_number() OVER (PARTITION BY y ORDER BY CAST('0x' || substr(md5(key || '|42'), 1, 15) AS BIGINT)) AS rn,
+             count(*) OVER (PARTITION BY y) AS n FROM k),
+s AS MATERIALIZED (SELECT *, rn > ceil(n * 0.2 - 1e-9) AS train FROM h),
+st AS (SELECT avg(q) AS mq, stddev_pop(q) AS sq, avg(dsc) AS md, stddev_pop(dsc) AS sd, avg(tax) AS mt, stddev_pop(tax) AS sx
+       FROM s WHERE train),
+d AS MATERIALIZED (SELECT key, y, rf, train, (q - mq) / sq AS x1, (dsc - md) / sd AS x2, (tax - mt) / sx AS x3,
+                          CAST(rf = 'A' AS DOUBLE) AS x4, CAST(rf = 'N' AS DOUBLE) AS x5, CAST(rf = 'R' AS DOUBLE) AS x6,
+                          1.0::DOUBLE AS x7 FROM s, st),
+b0 AS (SELECT {', '.join(f'0.0::DOUBLE AS z{i}' for i in at)})"""]
+    dot = " + ".join(f"z{i} * x{i}" for i in at)
+    zs = ", ".join(f"any_value(z{i}) AS z{i}" for i in at)
+    for t in range(steps):
+        a = ", ".join(f"sum(p * (1 - p) * x{i} * x{j}){' + 1' if i == j else ''} AS a{i}_{j}" for i in at for j in at if i <= j)
+        r = ", ".join(f"sum((y - p) * x{i}) - any_value(z{i}) AS r{i}" for i in at)
+        out.append(f"e{t}_0 AS MATERIALIZED (SELECT {zs}, {a}, {r} FROM (SELECT d.*, b.*, 1 / (1 + exp(-({dot}))) AS p "
+                   f"FROM d, b{t} AS b WHERE train))")
+        for c in range(1, m):
+            gone = [f"a{i}_{j} - a{c}_{i} * a{c}_{j} / a{c}_{c} AS a{i}_{j}" for i in at for j in at if c < i <= j]
+            gone += [f"r{i} - a{c}_{i} * r{c} / a{c}_{c} AS r{i}" for i in at if i > c]
+            out.append(f"e{t}_{c} AS MATERIALIZED (SELECT * REPLACE ({', '.join(gone)}) FROM e{t}_{c - 1})")
+        last = f"e{t}_{m - 1}"
+        for c in reversed(at):
+            back = "".join(f" - a{c}_{j} * u{j}" for j in at if j > c)
+            out.append(f"u{t}_{c} AS MATERIALIZED (SELECT *, (r{c}{back}) / a{c}_{c} AS u{c} FROM {last})")
+            last = f"u{t}_{c}"
+        out.append(f"b{t + 1} AS MATERIALIZED (SELECT {', '.join(f'z{i} + u{i} AS z{i}' for i in at)} FROM {last})")
+    return ",\n".join(out) + "\n"
+
+
+_LOGISTIC_SQL = _newton_sql()
+
+
+@register("logistic_coefficients_lines", _LOGISTIC_SQL + ", c AS ("
+          + " UNION ALL ".join(f"SELECT {i} AS pos, '{n}' AS feature, '{n.split('__')[1] if i < 3 else 'l_returnflag'}' AS source_column, "
+                               f"z{i + 1} AS coefficient FROM b8" for i, n in enumerate(_LINES_FEATURES))
+          + ") SELECT pos, feature, source_column, round(coefficient, 6) AS coefficient, round(abs(coefficient), 6) AS importance, "
+            "CAST(row_number() OVER (ORDER BY abs(coefficient) DESC, feature) AS INTEGER) AS rank FROM c")
 def logistic_coefficients_lines(spark, sf):
-    """I6 + I16: fitted logistic coefficients ranked by absolute value (rows-only)."""
+    """I6 + I16: fitted logistic coefficients ranked by absolute value."""
     s, pm, st = _prepared_lines_model(spark, sf)
     m = mo.logistic(pm.transform(s.where("split = 'train'")))
-    return ex.coefficient_table(spark, st.feature_names, st.source_of, m.coefficients.toArray().tolist())
+    return rounded(ex.coefficient_table(spark, st.feature_names, st.source_of, m.coefficients.toArray().tolist()))
 
 
 @register("boosted_metrics_lines")
@@ -197,10 +258,13 @@ def forest_balanced_docs(spark, sf):
     return me.long_metrics(me.binary_metrics(sc))
 
 
-@register("scored_logistic_lines")
+@register("scored_logistic_lines", _LOGISTIC_SQL + ", p AS (SELECT d.*, 1 / (1 + exp(-("
+          + " + ".join(f"z{i} * x{i}" for i in range(1, 8)) + "))) AS p FROM d, b8 WHERE NOT train) "
+          "SELECT 'logistic_regression' AS model, key, rf AS grp, y AS actual, round(p, 6) AS score, CAST(p > 0.5 AS DOUBLE) AS prediction, "
+          "CASE WHEN p >= 0.7 THEN 'high' WHEN p >= 0.4 THEN 'medium' ELSE 'low' END AS risk_band FROM p")
 def scored_logistic_lines(spark, sf):
     """I12 + I14 + H8 + H10: batch scoring of the hold-out with probability of class 1,
-    class, and risk band, as the canonical scored table (rows-only)."""
+    class, and risk band, as the canonical scored table."""
     from fairgauge.functions import score_risk_band
     from fairgauge.operators.score import choose_model
     from pyspark.ml.functions import vector_to_array
@@ -210,9 +274,9 @@ def scored_logistic_lines(spark, sf):
     m = models[choose_model("Logistic Regression")]
     out = m.transform(pm.transform(s.where("split = 'test'")))
     p1 = vector_to_array("probability")[1]
-    return out.select(F.lit("logistic_regression").alias("model"), "key", F.col("l_returnflag").alias("grp"),
-                      F.col("label").alias("actual"), p1.alias("score"), F.col("prediction"),
-                      score_risk_band(p1).alias("risk_band"))
+    return rounded(out.select(F.lit("logistic_regression").alias("model"), "key", F.col("l_returnflag").alias("grp"),
+                              F.col("label").alias("actual"), p1.alias("score"), F.col("prediction"),
+                              score_risk_band(p1).alias("risk_band")))
 
 
 @register("regression_clip_lines", cte(s=SQL_SCORED_REG)
