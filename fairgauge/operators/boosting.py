@@ -463,7 +463,7 @@ class _Grower:
 
 def _scale(bound: float, n: int) -> float:
     """A power of two by which ``n`` numbers of up to ``bound`` sum to less than 2^52."""
-    return 2.0 ** math.floor(52 - math.log2(max(n, 1)) - math.log2(max(bound, 1e-300)))
+    return 2.0 ** math.floor(52 - math.log2(max(n, 1)) - math.log2(max(bound, 1e-200)))
 
 
 NODES = ("round int, class int, node int, feature int, threshold double, missing_left boolean, left int, right int, value double, gain double, "

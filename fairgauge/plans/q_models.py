@@ -2,9 +2,9 @@
 (A1-A6, H16, H19, I1-I18)."""
 from __future__ import annotations
 
-import uuid
-
 import os
+import re
+import uuid
 
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
@@ -210,13 +210,16 @@ UNION ALL SELECT k, 2, NULL, NULL, NULL, round(-0.1 * (g - gl) / (h - hl), 6), 0
 _STUMP_ROWS = ("SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS q, l_discount AS dsc, l_tax AS tax, {y} AS y FROM lineitem")
 
 
-def _stump(spark, sf, label, loss, n_classes=2):
+def _stump_model(spark, sf, label, loss, n_classes=2):
     from fairgauge.operators import boosting
     li = read_table(spark, sf, "lineitem").withColumn("label", label)
     d = li.withColumn("l_quantity", F.when(F.col("l_orderkey") % 7 != 0, F.col("l_quantity")))
     d = VectorAssembler(inputCols=["l_quantity", "l_discount", "l_tax"], outputCol="features", handleInvalid="keep").transform(d)
-    m = boosting.fit(d, loss, n_classes=n_classes, rounds=1, max_leaves=2, early_stopping=False)
-    t = m.nodes_table(spark)
+    return d, boosting.fit(d, loss, n_classes=n_classes, rounds=1, max_leaves=2, early_stopping=False)
+
+
+def _stump(spark, sf, label, loss, n_classes=2):
+    t = _stump_model(spark, sf, label, loss, n_classes)[1].nodes_table(spark)
     return t.select("class", "node", "feature", "threshold", "missing_left", F.round("value", 6).alias("value"),
                     F.round(F.col("gain") / F.col("cover"), 6).alias("mean_gain"), "cover")
 
@@ -243,6 +246,32 @@ def boosted_stump_multiclass_lineitem(spark, sf):
     return _stump(spark, sf, F.when(flag == "A", 0.0).when(flag == "N", 1.0).otherwise(2.0), "multiclass", 3)
 
 
+_LINES_SQL = _stump_sql(_STUMP_ROWS.format(y="l_extendedprice / 1000.0"), "[0]", "avg(y) OVER ()", "p - y", "1.0")
+
+
+@register("stump_attribution_lineitem",
+          "WITH t AS (" + re.sub(r"round\((-0\.1[^,]*), 6\)", r"\1", _LINES_SQL) + "), "
+          "e AS (SELECT sum(value * cover) / sum(cover) AS e FROM t WHERE node > 0), "
+          "s AS (SELECT sum(abs(value - e) * cover) / sum(cover) AS s FROM t, e WHERE node > 0), "
+          "f AS (SELECT i, name, CASE WHEN i = feature THEN s ELSE 0.0 END AS s "
+          "FROM (VALUES (0, 'quantity'), (1, 'discount'), (2, 'tax')) AS n(i, name), s, (SELECT feature FROM t WHERE node = 0)) "
+          "SELECT name AS feature, round(s, 6) AS importance, CAST(row_number() OVER (ORDER BY s DESC, name) AS INTEGER) AS rank FROM f")
+def stump_attribution_lineitem(spark, sf):
+    """I17 + D32 for a tree of two leaves: mean absolute attribution over all rows, with missing quantities."""
+    from fairgauge.operators.tree_explain import mean_abs_contributions
+    d, m = _stump_model(spark, sf, F.col("l_extendedprice") / 1000.0, "regression")
+    return rounded(mean_abs_contributions(d, m, ["quantity", "discount", "tax"]))
+
+
+@register("tree_attribution_lines")
+def tree_attribution_lines(spark, sf):
+    """I17 + D32 for boosted trees: mean absolute attribution per prepared feature over the hold-out (rows-only)."""
+    from fairgauge.operators.tree_explain import mean_abs_contributions
+    s, pm, st = _prepared_lines_model(spark, sf)
+    m = mo.boosted_classifier(pm.transform(s.where("split = 'train'")))
+    return mean_abs_contributions(pm.transform(s.where("split = 'test'")), m, st.feature_names)
+
+
 @register("forest_balanced_docs")
 def forest_balanced_docs(spark, sf):
     """I9 + I10 + D13: random forest with balanced class weights on documents -> toxic (rows-only)."""

@@ -138,3 +138,9 @@ def test_empty_and_constant(spark):
     same = spark.range(100).select(F.array(F.lit(1.0)).alias("x"), (F.col("id") % 2).cast("double").alias("label")).withColumn("features", array_to_vector("x"))
     m = bo.fit(same, "binary")
     assert len(m.rounds) == 1 and m.transform(same).select("prediction").distinct().count() == 1
+
+
+def test_constant_target(spark):
+    df, _, _, _ = data(spark, n=60)
+    m = bo.fit(df.withColumn("y", F.lit(2.5)), "regression", label="y", rounds=3, early_stopping=False)
+    assert {r["prediction"] for r in m.transform(df).select("prediction").collect()} == {2.5}
