@@ -78,7 +78,18 @@ def mitigation_decision_docs(spark, sf):
                             F.col("_y").alias("actual"), F.when(mit, F.col("weight")).otherwise(1.0).alias("weight")))
 
 
-@register("roles_table_part")
+_PART_TYPES = {"p_partkey": "bigint", "p_name": "string", "p_brand": "string", "p_type": "string", "p_size": "int", "p_retailprice": "double", "k": "int"}
+
+
+@register("roles_table_part",
+          "WITH p AS (SELECT *, 1 AS k FROM part), "
+          "c AS (" + " UNION ALL ".join(
+              f"SELECT {i} AS position, '{c}' AS \"column\", '{t}' AS dtype, count(*) AS n, count(DISTINCT {c}) AS d FROM p"
+              for i, (c, t) in enumerate(_PART_TYPES.items()))
+          + "), f AS (SELECT *, d = n AND regexp_matches(\"column\", 'id$|key$|^id') AS is_id FROM c), "
+          "g AS (SELECT min(position) AS first_text FROM c WHERE dtype = 'string') "
+          "SELECT position, \"column\", dtype, CASE WHEN \"column\" = 'p_retailprice' THEN 'target' WHEN is_id THEN 'id' WHEN d <= 1 THEN 'constant' "
+          "WHEN position = first_text THEN 'demographic' WHEN dtype = 'string' THEN 'categorical' ELSE 'numeric' END AS role FROM f, g")
 def roles_table_part(spark, sf):
     """B4-B10 as data: the role of every column of part (target, id, constant,
     demographic, numeric, categorical), for a person to check before a run."""

@@ -16,10 +16,13 @@ from fairgauge.operators import models as mo
 from fairgauge.operators import split as sp
 from fairgauge.operators.prepare import fit_prepare, fit_stats, prepared_columns
 from fairgauge.plans.fixtures import SQL_SCORED_REG, cte, lines_key, scored_reg
+from fairgauge.plans.q_quality import _Q_SUMMARY
 from fairgauge.plans.registry import register, rounded
 from fairgauge.session import read_table, scratch_path
 
 _NUM, _CAT = ["l_quantity", "l_discount"], ["l_returnflag"]
+_ORDERS_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+_LINE_NUMBERS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax"]
 
 
 def _lines_nulls(spark, sf):
@@ -427,10 +430,12 @@ def stored_split_orders(spark, sf):
     return read_split(spark, path, "test").select("o_orderkey", "o_totalprice")
 
 
-@register("json_report_roundtrip")
+@register("json_report_roundtrip", "WITH s AS (WITH o AS (SELECT * FROM orders)" + _Q_SUMMARY.replace("ALL_COLS", ", ".join(_ORDERS_COLUMNS))
+          .replace("count_if(o_totalprice IS NULL)", " + ".join(f"count_if({c} IS NULL)" for c in _ORDERS_COLUMNS))
+          + ") SELECT *, CAST(to_json(s) AS VARCHAR) AS json FROM s")
 def json_report_roundtrip(spark, sf):
     """A3 + A4 + H21: a report written as JSON and read back with its schema; a
-    missing report gives an empty table of the schema (rows-only)."""
+    missing report gives an empty table of the schema."""
     from fairgauge.operators import quality as qa
     from fairgauge.sources.files import read_report, write_report
     rep = qa.quality_summary(read_table(spark, sf, "orders"))
@@ -535,14 +540,6 @@ def audit_data_only_orders(spark, sf):
     return r.quality.select("num_rows", "num_columns", "total_missing_values")
 
 
-@register("audit_profile_lines")
-def audit_profile_lines(spark, sf):
-    """I18 profile output (D9/D10 on the training rows) and the catalog entry (D12) (rows-only)."""
-    from fairgauge.plans.audit import AuditConfig, audit
-    r = audit(_lines_table(spark, sf), AuditConfig(fit=False, dataset_name="lineitem"))
-    return r.profile
-
-
 _FULL_KEY = "md5(concat_ws(chr(1), {cols}))"
 
 
@@ -552,6 +549,39 @@ def _content_key_sql(columns: dict) -> str:
     return _FULL_KEY.format(cols=parts)
 
 
+_SIDE_SQL = "CAST('0x' || substr(md5(key || '|42'), 1, 15) AS BIGINT)"
+
+
+@register("audit_profile_lines",
+          "WITH k AS (SELECT *, " + _content_key_sql({c: None for c in _LINE_NUMBERS + ["l_returnflag", "l_shipdate", "l_linestatus"]})
+          + " AS key FROM lineitem), h AS (SELECT *, row_number() OVER (PARTITION BY l_linestatus ORDER BY " + _SIDE_SQL + ") AS rn, "
+          "count(*) OVER (PARTITION BY l_linestatus) AS n FROM k WHERE l_linestatus IS NOT NULL), "
+          "t AS (SELECT * FROM h WHERE rn > ceil(n * 0.2 - 1e-9)), "
+          "m AS (SELECT l_returnflag AS mode FROM t WHERE l_returnflag IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) "
+          + " UNION ALL ".join(
+              f"SELECT '{c}' AS column_name, 'numeric' AS type, CAST(min({c}) AS DOUBLE) AS min, CAST(max({c}) AS DOUBLE) AS max, round(avg({c}) + 1e-9, 6) AS mean, "
+              f"round(avg(CAST({c} IS NULL AS INTEGER)), 6) AS missing_pct, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS BIGINT) AS n_categories FROM t"
+              for c in _LINE_NUMBERS)
+          + " UNION ALL SELECT 'l_returnflag', 'categorical', NULL, NULL, NULL, round(avg(CAST(l_returnflag IS NULL AS INTEGER)), 6), "
+          "coalesce((SELECT mode FROM m), 'Missing'), count(DISTINCT l_returnflag) FROM t")
+def audit_profile_lines(spark, sf):
+    """I18 profile output (D9/D10): every feature of lineitem over the training rows of the run's own split.  Means of cents over
+    4,800 rows often lie half-way between two values of six places, hence the 1e-9 before they are rounded."""
+    from fairgauge.plans.audit import AuditConfig, audit
+    r = audit(_lines_table(spark, sf), AuditConfig(fit=False, dataset_name="lineitem"))
+    return rounded(r.profile.withColumn("mean", F.col("mean") + 1e-9))
+
+
+@register("audit_split_rows_orders",
+          "WITH k AS (SELECT o_orderkey, " + _content_key_sql({c: None for c in _ORDERS_COLUMNS}) + " AS key FROM orders) "
+          "SELECT o_orderkey, CASE WHEN " + _SIDE_SQL + " < 230584300921369396 THEN 'test' ELSE 'train' END AS side FROM k")
+def audit_split_rows_orders(spark, sf):
+    """I18 over all columns of orders, regression target o_totalprice: the side of every order."""
+    from fairgauge.plans.audit import AuditConfig, audit
+    r = audit(read_table(spark, sf, "orders"), AuditConfig(target="o_totalprice", fit=False))
+    return r.extras["split"].select("o_orderkey", F.col("split").alias("side"))
+
+
 def _labelled_embeddings(spark, sf):
     """embeddings has a column named label; the vector's first parts make numeric features."""
     e = read_table(spark, sf, "embeddings")
