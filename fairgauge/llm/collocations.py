@@ -38,7 +38,7 @@ WORD_GAPS = b" \t"
 #: Mean number of words between triggers.
 TRIGGER = 16
 #: Bytes of text that a task parses or counts at once (a longer text is taken alone).
-GROUP_BYTES = 8 << 20
+GROUP_BYTES = 4 << 20
 MAX_BITS = 1 << 26
 SEED = 42
 
@@ -71,7 +71,7 @@ class Words:
                                                                                pa.py_buffer(lower[data[inside]])])
         coded = words.dictionary_encode()
         self.vocabulary, self.word = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
-        self.piece = np.cumsum(end[data])[starts] if len(starts) else np.zeros(0, np.int64)
+        self.piece = np.cumsum(end[data], dtype=np.int32)[starts] if len(starts) else np.zeros(0, np.int64)
         begins = np.cumsum([0, *[len(t) + 1 for t in texts]])
         self.text = np.searchsorted(begins, starts, "right") - 1
 
