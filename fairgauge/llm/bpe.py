@@ -284,19 +284,22 @@ class Encoder:
         return {s: ids[found[0]] if len(found) == 1 else b"".join(map(ids.__getitem__, found)) for s, found in matches.items()}
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        """The texts are split twice, to learn what is new and to look up, so that no list of all parts is held."""
+        """The parts of the texts are held from learning what is new to looking up; a text longer than ``GROUP_CHARS`` is split twice,
+        so that no list of its parts is held."""
         known = self.memo
         if len(known) > MEMO_ENTRIES:
             known.clear()
-        new = set()
+        new, parts = set(), []
         for t in texts:
-            new.update(s for s in self._stretches(t) if s not in known)
+            found = self._stretches(t)
+            new |= set(found).difference(known)
+            parts.append(found if len(t) <= GROUP_CHARS else None)
         made = self._learn(list(new))
         known.update((s, ids) for s, ids in made.items() if len(s) <= MEMO_LENGTH)
         long = {s: ids for s, ids in made.items() if len(s) > MEMO_LENGTH}
         if long:
-            return [b"".join([known.get(s) or long[s] for s in self._stretches(t)]) for t in texts]
-        return [b"".join(map(known.__getitem__, self._stretches(t))) for t in texts]
+            return [b"".join([known.get(s) or long[s] for s in (self._stretches(t) if p is None else p)]) for t, p in zip(texts, parts)]
+        return [b"".join(map(known.__getitem__, self._stretches(t) if p is None else p)) for t, p in zip(texts, parts)]
 
 
 def _schema(df: DataFrame, keep: list[str], more: str) -> str:

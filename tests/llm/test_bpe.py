@@ -110,3 +110,14 @@ def test_decoding_null_and_foreign_ids(spark):
     assert [bytes(r.decoded) for r in bpe.decode(rows).orderBy("k").collect()][1:] == [b"", b""]
     with pytest.raises(Exception, match="vocabulary|OutOf|out of bounds"):
         bpe.decode(spark.createDataFrame([(1, [10**6])], "k int, ids array<int>")).collect()
+
+
+def test_a_text_is_split_once(monkeypatch):
+    ranks = bpe.load_ranks(bpe.vocabulary_path())
+    split, calls = bpe.Encoder._stretches, []
+    monkeypatch.setattr(bpe.Encoder, "_stretches", lambda self, text: calls.append(text) or split(self, text))
+    texts = ["two  spaces and\n lines", "", "a b a b", "x" * 200 + "  y"]
+    ids = bpe.Encoder(ranks, bpe.pattern())(texts)
+    assert sorted(calls) == sorted(texts)
+    monkeypatch.setattr(bpe, "GROUP_CHARS", 1)
+    assert bpe.Encoder(ranks, bpe.pattern())(texts) == ids
