@@ -102,3 +102,33 @@ def test_top_factors_see_every_factor(spark):
     up, down = top_factors()
     r = df.select(up.alias("u"), down.alias("d")).first()
     assert [x["name"] for x in r["u"]] == ["f099", "f098", "f097"] and [x["name"] for x in r["d"]] == ["f000", "f001", "f002"]
+
+
+def test_split_hashes_a_key_no_more_than_twice(spark):
+    """Once for the search and once for the rows, however many steps the search takes."""
+    from fairgauge.operators.split import stratified_split
+    calls = spark.sparkContext.accumulator(0)
+
+    def same(batches):
+        for b in batches:
+            calls.add(b.num_rows)
+            yield b
+    df = spark.range(2000).mapInArrow(same, "id long").select(F.col("id").cast("string").alias("key"), (F.col("id") % 3).alias("lab"))
+    out = stratified_split(df, "key", "lab")
+    got = {(r["lab"], r["split"]): r["n"] for r in out.groupBy("lab", "split").agg(F.count("*").alias("n")).collect()}
+    assert got == {(0, "test"): 134, (0, "train"): 533, (1, "test"): 134, (1, "train"): 533, (2, "test"): 134, (2, "train"): 532}
+    assert calls.value <= 2 * 2000
+
+
+def test_top_factors_from_columns_equal_those_from_factors(spark):
+    from fairgauge.operators.explain import row_contributions, top_column_factors, top_factors
+    from fairgauge.operators.prepare import PrepStats
+    st = PrepStats(["a", "b", "c", "d"], ["t"], dict.fromkeys("abcd", 0.0), dict.fromkeys("abcd", 0.0), dict.fromkeys("abcd", 1.0),
+                   {"t": "x"}, {"t": ["x", "y"]})
+    rows = [(float(i % 7 - 3), float(i % 5 - 2), float(i % 3) / 200, None if i % 4 == 0 else 1.0, [None, "x", "y", "z"][i % 4]) for i in range(60)]
+    df = spark.createDataFrame(rows, "a double, b double, c double, d double, t string")
+    coefs = [0.5, -0.5, 1.0, 2.0, -0.3, 0.02]
+    up, down = top_factors()
+    made, lost = top_column_factors(coefs, st)
+    got = row_contributions(df, coefs, [], st.numeric, stats=st).select(up.alias("u"), down.alias("d"), made.alias("u2"), lost.alias("d2"))
+    assert got.where("u = u2 AND d = d2").count() == 60 and got.where("size(u) = 3").count() > 0
