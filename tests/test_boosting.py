@@ -144,3 +144,33 @@ def test_constant_target(spark):
     df, _, _, _ = data(spark, n=60)
     m = bo.fit(df.withColumn("y", F.lit(2.5)), "regression", label="y", rounds=3, early_stopping=False)
     assert {r["prediction"] for r in m.transform(df).select("prediction").collect()} == {2.5}
+
+
+def test_rows_on_paths_equal_a_walk_down_the_tree():
+    rng = np.random.default_rng(3)
+    layout = bo.Layout([np.arange(k) + 0.5 for k in (254, 6, 40)])
+    x = np.stack([rng.integers(0, k + 1, 4000).astype(float) for k in (254, 6, 40)], 1)
+    x[rng.random(x.shape) < 0.05] = np.nan
+    bins = layout.of_matrix(x)
+    t = bo.Tree()
+    open_ = [t.add()]
+    for i in range(25):
+        node = open_.pop(rng.integers(len(open_)) if i % 3 else -1)
+        t.feature[node] = int(rng.integers(3))
+        t.bin[node], t.missing_left[node] = int(rng.integers(layout.sizes[t.feature[node]])), bool(rng.integers(2))
+        t.left[node], t.right[node] = t.add(), t.add()
+        open_ += [t.left[node], t.right[node]]
+    walked = t.place(bins.dense)
+    paths = bo._paths(t.arrays(), open_ + [0])
+    assert bo._rows_on(paths[0], bins) is None
+    for leaf in open_:
+        assert bo._rows_on(paths[leaf], bins).tolist() == np.flatnonzero(walked == leaf).tolist()
+
+
+def test_waves_read_blocks_that_are_not_compressed(spark, monkeypatch):
+    levels = []
+    of = bo._Spread.histograms
+    monkeypatch.setattr(bo._Spread, "histograms", lambda self, *a: (levels.append([r.getStorageLevel() for r in (self.hot, self.blocks)]), of(self, *a))[1])
+    monkeypatch.setattr(bo, "HELD_BYTES", 0)
+    bo.fit(data(spark, 200)[0], "binary", label="y2", rounds=2)
+    assert levels and all(s.deserialized and s.useMemory and s.useDisk for some in levels for s in some)
